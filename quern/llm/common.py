@@ -68,6 +68,17 @@ def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: str
     return df.mapInArrow(run, schema)
 
 
+def arrow_iter(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
+    """mapInArrow with a generator over all batches of a task that yields columns (dicts)."""
+    target = to_arrow(schema)
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in run(batches):
+            yield as_batch(columns, target)
+
+    return df.mapInArrow(convert, schema)
+
+
 def to_arrow(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from quern.llm.langid import op1_language_id
+from quern.llm.packing import op4_packing
+from quern.llm.secrets import op8_secret_scan
+from quern.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
+    "op4_packing": op4_packing,
+    "op8_secret_scan": op8_secret_scan,
 }
 
 ORACLES: dict[str, str] = {}
