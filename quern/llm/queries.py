@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from quern.llm.decontaminate import op3_decontamination
 from quern.llm.langid import op1_language_id
+from quern.llm.nearest import op5_nearest
 from quern.llm.packing import op4_packing
 from quern.llm.secrets import op8_secret_scan
 from quern.llm.toxicity import op2_toxicity
@@ -10,7 +12,9 @@ from quern.llm.toxicity import op2_toxicity
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
+    "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
+    "op5_nearest": op5_nearest,
     "op8_secret_scan": op8_secret_scan,
 }
 

@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, found through a block-max inverted index.
 
 The examples are a bounded, documented sample: of each class the ``max_examples`` labelled rows with the smallest id
-hashes. Terms are lower-cased word runs; the vocabulary holds the terms whose presence depends on the label among the
+hashes. Terms are lower-cased word runs and their stems (first four characters); the vocabulary holds the terms whose presence depends on the label among the
 examples (chi-square at least ``min_chi2``, odds at least ``min_odds`` to one either way, at most ``max_terms`` of
 them). Document frequencies of these terms and the number of documents are counted over the whole corpus.
 
@@ -34,8 +34,15 @@ _WORDS = re.compile(r"\w+")
 BLOCK = 128
 
 
+STEM = 4
+
+
 def words(text: str | None) -> list[str]:
-    return _WORDS.findall(text.lower()) if text else []
+    """The words, and the stem (a prefix, marked by a star) of each longer one."""
+    if not text:
+        return []
+    found = _WORDS.findall(text.lower())
+    return found + [w[:STEM] + "*" for w in found if len(w) > STEM]
 
 
 @dataclass
@@ -141,7 +148,7 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return np.array(xs), np.array(ys)
 
 
-def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_examples: int = 4000, max_terms: int = 4096, min_chi2: float = 12.0, min_odds: float = 3.0, k: int = 15, shrink: float = 0.5) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_examples: int = 4000, max_terms: int = 4096, min_chi2: float = 30.0, min_odds: float = 3.0, k: int = 15, shrink: float = 0.5) -> ToxicityModel:
     """docs and labels: (doc_id, text) and (doc_id, toxic) to learn from; corpus: (text) for document frequencies."""
     spark = docs.sparkSession
     known = plain(labels, "doc_id", "toxic").toDF("i", "y").where("i IS NOT NULL AND y IS NOT NULL").groupBy("i").agg((F.max("y") > 0).cast("int").alias("y"))
