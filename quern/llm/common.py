@@ -151,3 +151,47 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
                 power = mix(power[:-width] * _MULT + power[width:])
                 width *= 2
     return out
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of rows sorted by keys, cut so that no group spans two of them, with the bounds of their groups."""
+    held: list[pa.RecordBatch] = []
+
+    def bounds(batch: pa.RecordBatch) -> np.ndarray:
+        change = np.zeros(batch.num_rows - 1, bool)
+        for k in keys:
+            v = batch.column(k).to_numpy(zero_copy_only=False)
+            change |= v[1:] != v[:-1]
+        return np.concatenate(([0], np.flatnonzero(change) + 1, [batch.num_rows]))
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def ends_group(batch: pa.RecordBatch) -> bool:
+        """Whether batch holds a row of another group than the rows held back."""
+        return any(held[-1].column(k)[held[-1].num_rows - 1].as_py() != batch.column(k)[batch.num_rows - 1].as_py() for k in keys)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        more = not held or ends_group(batch)
+        held.append(batch)
+        if more:
+            whole = joined()
+            cuts = bounds(whole)
+            if len(cuts) > 2:
+                yield whole.slice(0, cuts[-2]), cuts[:-1]
+            held = [whole.slice(cuts[-2])]
+    if held:
+        whole = joined()
+        yield whole, bounds(whole)
+
+
+def flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a column of packed arrays (binary)."""
+    wide = pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    size = np.dtype(kind).itemsize
+    data = column.buffers()[2]
+    values = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].copy().view(kind) if data is not None else np.empty(0, kind)
+    return values, (offsets - offsets[0]) // size

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quern.llm.decontaminate import op3_decontamination
 from quern.llm.langid import op1_language_id
+from quern.llm.neardup import op6_near_duplicates
 from quern.llm.nearest import op5_nearest
 from quern.llm.packing import op4_packing
 from quern.llm.secrets import op8_secret_scan
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
     "op5_nearest": op5_nearest,
+    "op6_near_duplicates": op6_near_duplicates,
     "op8_secret_scan": op8_secret_scan,
 }
 
