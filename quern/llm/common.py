@@ -118,11 +118,11 @@ class WordHashes:
     def __init__(self, most: int = 400_000):
         import xxhash
 
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.most = most
         self.hash = xxhash.xxh3_64_intdigest
 
-    def __call__(self, words: list[str]) -> np.ndarray:
+    def __call__(self, words: list[bytes]) -> np.ndarray:
         known, out = self.known, None
         try:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -130,7 +130,7 @@ class WordHashes:
             if len(known) > self.most:
                 known.clear()
             for w in set(words).difference(known):
-                known[w] = self.hash(w.encode("utf-8", "surrogatepass"))
+                known[w] = self.hash(w)
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
