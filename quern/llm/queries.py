@@ -9,6 +9,7 @@ from quern.llm.nearest import op5_nearest
 from quern.llm.packing import op4_packing
 from quern.llm.secrets import op8_secret_scan
 from quern.llm.toxicity import op2_toxicity
+from quern.llm.warc import op10_warc
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_nearest": op5_nearest,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_secret_scan": op8_secret_scan,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {}
