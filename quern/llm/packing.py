@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +42,17 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_MARK = "\x01"
+
+
 class Tokens:
-    """Little-endian unsigned 32-bit ids of texts. Runs between blanks and line feeds are kept; a full store is emptied."""
+    """Little-endian unsigned 32-bit ids of texts. Runs between blanks and line feeds are kept; a full store is emptied.
 
-    def __init__(self, path: str, end_id: int, most: int = 300_000):
+    New runs are encoded many at a time with a mark between them, whose id tells where each one's ids end; runs that
+    hold the mark itself are encoded alone.
+    """
+
+    def __init__(self, path: str, end_id: int, most: int = 700_000):
         import os
 
         from tokenizers import Tokenizer
@@ -56,21 +64,56 @@ class Tokens:
         self.end = np.array([end_id], "<u4").tobytes()
         self.known: dict[str, bytes] = {"": b""}
         self.most = most
+        mark = self._ids(_MARK)
+        self.mark = int(mark[0]) if len(mark) == 1 and len(self._ids(f"a {_MARK} a {_MARK} a")) == 2 + 3 * len(self._ids("a")) else None
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, runs: list[str]) -> None:
+        for a in range(0, len(runs), 1000):
+            some = runs[a : a + 1000]
+            ids = self._ids(f" {_MARK} ".join(some)) if self.mark is not None else np.empty(0, "<u4")
+            ends = np.flatnonzero(ids == self.mark) if self.mark is not None else ids
+            if len(ends) == len(some) - 1:
+                data, starts = ids.tobytes(), [0, *(ends + 1).tolist()]
+                for run, i, j in zip(some, starts, [*ends.tolist(), len(ids)], strict=True):
+                    self.known[run] = data[4 * i : 4 * j]
+            else:
+                for run in some:
+                    self.known[run] = self._ids(run).tobytes()
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return self.end
-        runs = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = list(set(runs).difference(known))
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        known, by_text = self.known, [(t or "").replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*by_text).difference(known)
         if new:
             if len(known) > self.most:
                 known.clear()
                 known[""] = b""
-                new = list(set(runs) - {""})
-            for run, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[run] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, runs)) + self.end
+                new = set().union(*by_text) - {""}
+            own = [r for r in new if _MARK in r]
+            self._learn([r for r in new if _MARK not in r] if own else list(new))
+            for run in own:
+                known[run] = self._ids(run).tobytes()
+        return [b"".join(map(known.__getitem__, runs)) + self.end for runs in by_text]
+
+
+@lru_cache(maxsize=1)
+def _tokens(path: str, end_id: int) -> Tokens:
+    """Kept by the worker from task to task."""
+    return Tokens(path, end_id)
+
+
+def _portions(texts: pa.Array, chars: int = 1_000_000) -> Iterator[list[str | None]]:
+    out, size = [], 0
+    for t in texts:
+        out.append(t.as_py())
+        size += len(out[-1] or "")
+        if size >= chars:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, window: int, id_col: str, text: str) -> DataFrame:
@@ -81,11 +124,10 @@ def tokenised(docs: DataFrame, path: str, end_id: int, window: int, id_col: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         from pyspark import TaskContext
 
-        task, tokens, ranks = TaskContext.get().partitionId(), Tokens(path, end_id), np.zeros(window + 1, np.int64)
+        task, tokens, ranks = TaskContext.get().partitionId(), _tokens(path, end_id), np.zeros(window + 1, np.int64)
         for batch in batches:
             ids, rows = batch.column(0), []
-            for j, text in enumerate(batch.column(1)):
-                data = tokens(text.as_py())
+            for j, data in enumerate(d for some in _portions(batch.column(1)) for d in tokens(some)):
                 n = len(data) // 4
                 for start in range(0, n, window):
                     length = min(window, n - start)
