@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from quern.llm.chat import op9_chat_roles
 from quern.llm.decontaminate import op3_decontamination
 from quern.llm.langid import op1_language_id
 from quern.llm.neardup import op6_near_duplicates
 from quern.llm.nearest import op5_nearest
 from quern.llm.packing import op4_packing
+from quern.llm.repeats import op7_repeated_passages
 from quern.llm.secrets import op8_secret_scan
 from quern.llm.toxicity import op2_toxicity
 from quern.llm.warc import op10_warc
@@ -18,7 +20,9 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_nearest": op5_nearest,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_secret_scan": op8_secret_scan,
+    "op9_chat_roles": op9_chat_roles,
     "op10_warc": op10_warc,
 }
 
