@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES: list[str] = []
+_MODULES = ["retrieval", "graph"]
 
 
 def load():
