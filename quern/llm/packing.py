@@ -11,7 +11,7 @@ of equal pieces into such a range. The steps say where the r-th piece of each le
 position within the task that tokenised the piece plus a running sum over tasks, so no length, however common, is
 gathered in one task, and the result is exactly that of packing piece by piece.
 
-Tokens are looked up by runs between blanks and line feeds, which no token of this kind of tokenizer spans; each
+Tokens are looked up by runs between white space, which no token of this kind of tokenizer spans; each
 new run is encoded by the tokenizer itself.
 
 Cases: null or empty text has just the end id; a long document has pieces of its own id at successive starts; repeated
@@ -21,9 +21,9 @@ sequences may be short: padding to the window is then the only loss, none where
 
 from __future__ import annotations
 
+import threading
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,13 +46,13 @@ _MARK = "\x01"
 
 
 class Tokens:
-    """Little-endian unsigned 32-bit ids of texts. Runs between blanks and line feeds are kept; a full store is emptied.
+    """Little-endian unsigned 32-bit ids of texts. Runs between white space are kept; a full store is emptied.
 
-    New runs are encoded many at a time with a mark between them, whose id tells where each one's ids end; runs that
-    hold the mark itself are encoded alone.
+    New runs are encoded many at a time with a mark between them, whose id tells where each one's ids end; where a run
+    holds the mark itself they are encoded one by one.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 700_000):
+    def __init__(self, path: str, end_id: int, most: int):
         import os
 
         from tokenizers import Tokenizer
@@ -61,6 +61,8 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # runs are kept here, so the tokenizer's own store only costs time
         self.end = np.array([end_id], "<u4").tobytes()
         self.known: dict[str, bytes] = {"": b""}
         self.most = most
@@ -70,38 +72,68 @@ class Tokens:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, runs: list[str]) -> None:
+    def _encode(self, runs: list[str]) -> None:
         for a in range(0, len(runs), 1000):
             some = runs[a : a + 1000]
-            ids = self._ids(f" {_MARK} ".join(some)) if self.mark is not None else np.empty(0, "<u4")
-            ends = np.flatnonzero(ids == self.mark) if self.mark is not None else ids
-            if len(ends) == len(some) - 1:
-                data, starts = ids.tobytes(), [0, *(ends + 1).tolist()]
-                for run, i, j in zip(some, starts, [*ends.tolist(), len(ids)], strict=True):
-                    self.known[run] = data[4 * i : 4 * j]
-            else:
-                for run in some:
-                    self.known[run] = self._ids(run).tobytes()
+            if self.mark is not None and not any(_MARK in r for r in some):
+                ids = self._ids(f" {_MARK} ".join(some))
+                ends = np.flatnonzero(ids == self.mark)
+                if len(ends) == len(some) - 1:
+                    data, starts = ids.tobytes(), [0, *(ends + 1).tolist()]
+                    for run, i, j in zip(some, starts, [*ends.tolist(), len(ids)], strict=True):
+                        self.known[run] = data[4 * i : 4 * j]
+                    continue
+            for run in some:
+                self.known[run] = self._ids(run).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        known, by_text = self.known, [(t or "").replace("\n", " ").split(" ") for t in texts]
+        by_text = [_runs(t or "") for t in texts]
+        if len(self.known) > self.most:
+            self.known = {"": b""}
+        known = self.known
         new = set().union(*by_text).difference(known)
         if new:
-            if len(known) > self.most:
-                known.clear()
-                known[""] = b""
-                new = set().union(*by_text) - {""}
-            own = [r for r in new if _MARK in r]
-            self._learn([r for r in new if _MARK not in r] if own else list(new))
-            for run in own:
-                known[run] = self._ids(run).tobytes()
+            self._encode(list(new))
         return [b"".join(map(known.__getitem__, runs)) + self.end for runs in by_text]
 
 
-@lru_cache(maxsize=1)
-def _tokens(path: str, end_id: int) -> Tokens:
-    """Kept by the worker from task to task."""
-    return Tokens(path, end_id)
+def _runs(text: str) -> list[str]:
+    """What white space parts; the few control characters that only Python takes for white space part nothing."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return text.replace("\n", " ").split(" ")
+    return text.split()
+
+
+class _Kept:
+    """A worker's tokens from task to task; dropped when it has been idle for some seconds, as other stages need the memory."""
+
+    IDLE = 3.0
+
+    def __init__(self):
+        self.key, self.tokens, self.timer = None, None, None
+
+    def take(self, *key) -> Tokens:
+        if self.timer is not None:
+            self.timer.cancel()
+        if self.tokens is None or self.key != key:
+            self.key, self.tokens = key, Tokens(*key)
+        return self.tokens
+
+    def rest(self) -> None:
+        self.timer = threading.Timer(self.IDLE, self.drop)
+        self.timer.daemon = True
+        self.timer.start()
+
+    def drop(self) -> None:
+        self.tokens = None
+
+
+_kept = _Kept()
+
+
+def packing_store() -> _Kept:
+    """The worker's own store (looked up there: a store isn't sent with the task)."""
+    return _kept
 
 
 def _portions(texts: pa.Array, chars: int = 1_000_000) -> Iterator[list[str | None]]:
@@ -116,7 +148,7 @@ def _portions(texts: pa.Array, chars: int = 1_000_000) -> Iterator[list[str | No
         yield out
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int, window: int, id_col: str, text: str) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, end_id: int, window: int, id_col: str, text: str, kept_runs: int) -> DataFrame:
     """Pieces with their rank among the pieces of their length in their task; full windows have rank too."""
     base = plain(docs, id_col, text).toDF("doc_id", "text")
     schema = PIECES.format(id=base.schema["doc_id"].dataType.simpleString())
@@ -124,7 +156,8 @@ def tokenised(docs: DataFrame, path: str, end_id: int, window: int, id_col: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         from pyspark import TaskContext
 
-        task, tokens, ranks = TaskContext.get().partitionId(), _tokens(path, end_id), np.zeros(window + 1, np.int64)
+        kept = packing_store()
+        task, tokens, ranks = TaskContext.get().partitionId(), kept.take(path, end_id, kept_runs), np.zeros(window + 1, np.int64)
         for batch in batches:
             ids, rows = batch.column(0), []
             for j, data in enumerate(d for some in _portions(batch.column(1)) for d in tokens(some)):
@@ -135,6 +168,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, window: int, id_col: str,
                     ranks[length] += 1
             at, start, length, crc, n, rank = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else [np.empty(0, np.int64)] * 6
             yield {"doc_id": ids.take(pa.array(at)), "start": start, "length": length, "ids_crc32": crc, "doc_tokens": n, "task": np.full(len(at), task, np.int32), "rank": rank}
+        kept.rest()
 
     return arrow_iter(base, run, schema)
 
@@ -209,10 +243,13 @@ def best_fit(histogram: dict[int, int], window: int) -> np.ndarray:
     return np.array(steps, np.int64).reshape(-1, 6)
 
 
-def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, window: int = 4096, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, window: int = 4096, id_col: str = "doc_id", text: str = "text", kept_runs: int = 1_500_000) -> DataFrame:
+    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    kept_runs bounds the runs whose ids a worker keeps (about 200 bytes each): more memory for less encoding, no other effect.
+    """
     spark = docs.sparkSession
-    pieces = written(tokenised(docs, path or default_tokenizer(), end_id, window, id_col, text))
+    pieces = written(tokenised(docs, path or default_tokenizer(), end_id, window, id_col, text, kept_runs))
     # a row for each task and length at most, summed within tasks first
     by_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
