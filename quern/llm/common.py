@@ -2,62 +2,37 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_scratch: set[str] = set()
+from quern.scratch import new_scratch, scratch_dir, written
 
+__all__ = ["WordHashes", "arrow_iter", "arrow_map", "bucket", "flat", "mix", "new_scratch", "plain", "rolling", "scratch_dir", "sorted_groups", "to_arrow", "values", "written"]
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A folder that all executors share: below spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/quern-{spark.sparkContext.applicationId}"
-    if not _scratch:
-        atexit.register(clear_scratch)
-    _scratch.add(path)
-    return path
 
+BATCH_BYTES = 16 << 20
 
-def new_scratch(spark: SparkSession) -> str:
-    return f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
 
+def _bounded(df: DataFrame) -> None:
+    """Smaller Arrow batches than Spark's default, as workers hold a batch of long texts several times over."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(conf.get(name, str(BATCH_BYTES))).rstrip("b")) > BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
 
-def written(df: DataFrame) -> DataFrame:
-    """Cuts lineage: df as a Parquet table in the shared folder, read again."""
-    path = new_scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def clear_scratch() -> None:
-    """Deletes every scratch table of this session; results that still read one are lost."""
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return
-    try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in list(_scratch):
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-            _scratch.discard(path)
-    except Exception:  # the session may be down by now
-        _scratch.clear()
+def values(column: pa.Array) -> Iterator:
+    """A column's values one at a time, not all at once."""
+    return (x.as_py() for x in column)
 
 
 def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """mapInArrow with a function from a batch to columns (a dict); column types come from schema."""
+    _bounded(df)
     target = to_arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,6 +45,7 @@ def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: str
 
 def arrow_iter(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow with a generator over all batches of a task that yields columns (dicts)."""
+    _bounded(df)
     target = to_arrow(schema)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

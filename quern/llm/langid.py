@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_map, bucket, plain
+from quern.llm.common import arrow_map, bucket, plain, values
 
 _LETTER = regex.compile(r"\p{L}")
 _BASE_BITS = 8.0  # a byte without any context
@@ -153,7 +153,7 @@ def identify(docs: DataFrame, model: PPMModel, text: str = "text") -> DataFrame:
 
     def step(batch: pa.RecordBatch) -> dict:
         m = sent.value
-        got = [m.predict(t) for t in batch.column(text).to_pylist()]
+        got = [m.predict(t) for t in values(batch.column(text))]
         return {c: batch.column(c) for c in batch.schema.names} | {"lang_pred": [x[0] for x in got], "score": [x[1] for x in got]}
 
     return arrow_map(base, step, schema)
