@@ -1,14 +1,14 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, found through a block-max inverted index.
 
 The examples are a bounded, documented sample: of each class the ``max_examples`` labelled rows with the smallest id
-hashes. Terms are lower-cased word runs and their stems (first four characters); the vocabulary holds the terms whose presence depends on the label among the
+hashes. Terms are lower-cased word runs and their stems (the first four to eight characters); the vocabulary holds the terms whose presence depends on the label among the
 examples (chi-square at least ``min_chi2``, odds at least ``min_odds`` to one either way, at most ``max_terms`` of
 them). Document frequencies of these terms and the number of documents are counted over the whole corpus.
 
 A text's vector has weights (1 + ln tf) * idf, normalised. The index keeps, for each term, its postings by blocks of
 example numbers with the largest weight of each block; blocks are visited in the order of their upper bounds until no
 bound can beat the k-th best similarity, so the k nearest are exact. Ties go to the smaller example number.
-Votes are weighted by similarity and by the class's sampling rate and shrunk towards the base rate; an isotonic fit on leave-one-out
+Votes are weighted by a power of the similarity and by the class's sampling rate and shrunk towards the base rate; an isotonic fit on leave-one-out
 votes of the examples (copies of an example's vector left out with it) turns them into calibrated scores.
 
 Cases: null and empty texts, and texts without any term of the vocabulary, get the calibrated score of an empty
@@ -28,21 +28,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_iter, arrow_map, bucket, plain, written
+from quern.llm.common import arrow_iter, arrow_map, bucket, plain, values, written
 
 _WORDS = re.compile(r"\w+")
 BLOCK = 128
 
 
-STEM = 4
+STEMS = range(4, 9)
+
+
+def terms(text: str | None) -> list[str]:
+    """A text's words, and the stems (prefixes, marked by a star) of its longer ones."""
+    found = words(text)
+    return found + [w[:n] + "*" for w in found for n in STEMS if len(w) > n]
 
 
 def words(text: str | None) -> list[str]:
-    """The words, and the stem (a prefix, marked by a star) of each longer one."""
-    if not text:
-        return []
-    found = _WORDS.findall(text.lower())
-    return found + [w[:STEM] + "*" for w in found if len(w) > STEM]
+    return _WORDS.findall(text.lower()) if text else []
+
+
+class Vocabulary:
+    """Numbers of the chosen terms. Most words share no beginning with any, which one lookup tells."""
+
+    def __init__(self, chosen: list[str]):
+        self.number = {t: j for j, t in enumerate(chosen)}
+        self.begins = {t.rstrip("*")[: STEMS[0]] for t in chosen}
+
+    def __len__(self) -> int:
+        return len(self.number)
+
+    def of(self, text: str | None) -> list[int]:
+        """The numbers of a text's terms, repeated as often as they occur."""
+        number, begins, first, out = self.number, self.begins, STEMS[0], []
+        for w in words(text):
+            if w[:first] in begins:
+                if w in number:
+                    out.append(number[w])
+                out += [number[s] for n in STEMS if len(w) > n and (s := w[:n] + "*") in number]
+        return out
 
 
 @dataclass
@@ -95,7 +118,7 @@ class BlockMaxIndex:
 
 @dataclass
 class ToxicityModel:
-    vocabulary: dict[str, int]
+    vocabulary: Vocabulary
     idf: np.ndarray
     index: BlockMaxIndex
     labels: np.ndarray
@@ -103,6 +126,7 @@ class ToxicityModel:
     base: float
     k: int
     shrink: float
+    power: float = 1.0
     steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -111,14 +135,13 @@ class ToxicityModel:
         return terms, w / np.sqrt((w * w).sum()) if len(w) else w
 
     def vote(self, found: np.ndarray, sims: np.ndarray) -> float:
-        toxic = self.labels[found] == 1
-        up, down = self.class_weight[1] * sims[toxic].sum(), self.class_weight[0] * sims[~toxic].sum()
+        toxic, weight = self.labels[found] == 1, sims**self.power
+        up, down = self.class_weight[1] * weight[toxic].sum(), self.class_weight[0] * weight[~toxic].sum()
         return float((up + self.shrink * self.base) / (up + down + self.shrink))
 
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
         """Calibrated score, and the evidence: the nearest examples' numbers and similarities."""
-        known = self.vocabulary
-        counts = Counter(known[w] for w in words(text) if w in known)
+        counts = Counter(self.vocabulary.of(text))
         if counts:
             found, sims = self.index.nearest(*self.vector(counts), self.k)
         else:
@@ -148,7 +171,7 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return np.array(xs), np.array(ys)
 
 
-def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_examples: int = 4000, max_terms: int = 4096, min_chi2: float = 30.0, min_odds: float = 3.0, k: int = 15, shrink: float = 0.5) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_examples: int = 4000, max_terms: int = 4096, min_chi2: float = 20.0, min_odds: float = 3.0, k: int = 15, shrink: float = 0.5, power: float = 3.0) -> ToxicityModel:
     """docs and labels: (doc_id, text) and (doc_id, toxic) to learn from; corpus: (text) for document frequencies."""
     spark = docs.sparkSession
     known = plain(labels, "doc_id", "toxic").toDF("i", "y").where("i IS NOT NULL AND y IS NOT NULL").groupBy("i").agg((F.max("y") > 0).cast("int").alias("y"))
@@ -164,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_examples: i
     base = totals.get(1, 0) / max(1, totals.get(0, 0) + totals.get(1, 0))
     empty = BlockMaxIndex.build([], 0)
     if not n0 or not n1:
-        return ToxicityModel({}, np.empty(0), empty, np.empty(0, int), (1.0, 1.0), base, k, shrink, (np.array([0.0]), np.array([base])))
+        return ToxicityModel(Vocabulary([]), np.empty(0), empty, np.empty(0, int), (1.0, 1.0), base, k, shrink, power, (np.array([0.0]), np.array([base])))
 
     # terms that depend on the label
     by_term = arrow_iter(examples.select("y", "t"), _term_counts, "term string, a bigint, b bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
@@ -173,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_examples: i
     chi2 = num / (float(n0) * float(n1) * (a + b) * (n - a - b + 1e-9))
     odds = ((b + 0.5) / (n1 + 1.0)) / ((a + 0.5) / (n0 + 1.0))
     strong = by_term.withColumn("c", chi2).withColumn("o", odds).where((F.col("c") >= min_chi2) & ((F.col("o") >= min_odds) | (F.col("o") <= 1 / min_odds)))
-    vocabulary = {t: j for j, t in enumerate(sorted(r.term for r in strong.orderBy(F.desc("c"), "term").limit(max_terms).select("term").collect()))}
+    vocabulary = Vocabulary(sorted(r.term for r in strong.orderBy(F.desc("c"), "term").limit(max_terms).select("term").collect()))
 
     # their document frequencies over all documents
     sent = spark.sparkContext.broadcast(vocabulary)
@@ -182,8 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_examples: i
         table, n = Counter(), 0
         for batch in batches:
             n += batch.num_rows
-            for t in batch.column(0).to_pylist():
-                table.update(table_terms(t, sent.value))
+            for t in values(batch.column(0)):
+                table.update(set(sent.value.of(t)))
         yield {"term": [-1, *table], "df": [n, *table.values()]}
 
     counted = {r.term: r.df for r in arrow_iter(plain(corpus, "text"), frequencies, "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect()}
@@ -193,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_examples: i
     # the examples' vectors; a bounded number of short lists
     rows = arrow_map(examples, lambda batch: _example_terms(batch, sent.value), "i string, y int, terms array<int>, n array<int>").collect()
     weights = (totals.get(0, 0) / n0, totals.get(1, 0) / n1)
-    model = ToxicityModel(vocabulary, idf, empty, np.empty(0, int), weights, base, k, shrink)
+    model = ToxicityModel(vocabulary, idf, empty, np.empty(0, int), weights, base, k, shrink, power)
     pairs = [(r.y, model.vector(dict(zip(r.terms, r.n, strict=True)))) for r in sorted(rows, key=lambda r: (r.terms, r.n, r.y, r.i))]
     model.labels = np.array([y for y, _ in pairs])
     model.index = BlockMaxIndex.build([v for _, v in pairs], len(vocabulary))
@@ -218,27 +241,23 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_examples: i
     return model
 
 
-def table_terms(text: str | None, vocabulary: dict[str, int]) -> set[int]:
-    return {vocabulary[w] for w in words(text) if w in vocabulary}
-
-
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Documents of either class that hold a term, summed within the task before the shuffle."""
     both = (Counter(), Counter())
     for batch in batches:
-        for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            both[y].update(set(words(t)))
-    terms = [t for t in both[0].keys() | both[1].keys()]
-    yield {"term": terms, "a": [both[0][t] for t in terms], "b": [both[1][t] for t in terms]}
+        for y, t in zip(batch.column(0).to_pylist(), values(batch.column(1)), strict=True):
+            both[y].update(set(terms(t)))
+    seen = list(both[0].keys() | both[1].keys())
+    yield {"term": seen, "a": [both[0][t] for t in seen], "b": [both[1][t] for t in seen]}
 
 
-def _example_terms(batch: pa.RecordBatch, vocabulary: dict[str, int]) -> dict:
-    terms, counts = [], []
-    for t in batch.column("t").to_pylist():
-        c = Counter(vocabulary[w] for w in words(t) if w in vocabulary)
-        terms.append(sorted(c))
+def _example_terms(batch: pa.RecordBatch, vocabulary: Vocabulary) -> dict:
+    found, counts = [], []
+    for t in values(batch.column("t")):
+        c = Counter(vocabulary.of(t))
+        found.append(sorted(c))
         counts.append([c[x] for x in sorted(c)])
-    return {"i": batch.column("i").cast(pa.string()), "y": batch.column("y"), "terms": terms, "n": counts}
+    return {"i": batch.column("i").cast(pa.string()), "y": batch.column("y"), "terms": found, "n": counts}
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
@@ -250,7 +269,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
 
     def step(batch: pa.RecordBatch) -> dict:
         m = sent.value
-        got = [m.score(t) for t in batch.column(text).to_pylist()]
+        got = [m.score(t) for t in values(batch.column(text))]
         return {c: batch.column(c) for c in batch.schema.names} | {"score": [x[0] for x in got], "examples": [x[1] for x in got], "similarities": [x[2] for x in got]}
 
     return arrow_map(docs.select(*[docs[c] for c in kept]), step, schema)
