@@ -7,7 +7,7 @@ per task), since a record is its header, payload and two line ends; a folder of
 Reading. Files are split like any text, at line feeds. Lines carry no offsets; their byte lengths, summed over each
 split and then over the splits of a file, give them. A task reports each line that looks like the start of a record,
 with the offset of the record that would follow it, and hashes the payload if its split holds all of it. A header that its
-split cuts is completed from the next split's first lines, and a payload that crosses splits in a second pass that only runs
+split cuts is completed from the next split's first lines, and a payload that crosses splits (which are longer than a header) in a second pass that only runs
 if there is one. A payload may hold header text too, so candidates are verified by the chain from the file's first
 byte: each split's chains are followed within one task, which leaves one exit per candidate, and pointer jumping
 over the few candidates that some exit hits decides which of them the file's start reaches. All else is rejected.
