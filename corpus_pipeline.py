@@ -5,12 +5,11 @@ Every stage but the last returns the columns of documents; what it rejects or re
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, neardup, packing, secrets, toxicity
-from quern.llm.common import arrow_map, bucket, plain, written
+from quern.llm.common import bucket, plain, written
 
 REJECT = 0.7  # toxicity score
 MOST_BROADCAST = 1_000_000  # ids
@@ -50,31 +49,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, each run of overlapping secrets replaced by PLACEHOLDER; n_chars follows the text."""
-    found = secrets.find_secrets(docs)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def step(batch: pa.RecordBatch) -> dict:
-        texts = [redacted(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("secrets").to_pylist(), strict=True)]
-        return {c: batch.column(c) for c in batch.schema.names} | {"text": texts}
-
-    out = arrow_map(found, step, schema)
-    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull() & F.col("text").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars"))) if "n_chars" in out.columns else out
-
-
-def redacted(text: str | None, spans: list[dict]) -> str | None:
-    if not spans:
-        return text
-    out, at = [], 0
-    for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
-        if s["start"] >= at:
-            out += [text[at : s["start"]], PLACEHOLDER]
-        at = max(at, s["end"])
-    return "".join(out) + text[at:]
+    out = secrets.redact(docs, placeholder=PLACEHOLDER)
+    if "n_chars" not in out.columns:
+        return out
+    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull() & F.col("text").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 4096 tokens."""
-    return packing.pack(docs)
+    return packing.pack(docs, kept_runs=300_000)  # the workers hold what earlier stages left, too
 
 
 STAGES = [
