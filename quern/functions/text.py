@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
-SENTENCE = r"[^.!?]+[.!?]+"
+#: each match begins where the last one ended, so a long text without a stop is read once
+SENTENCE = r"\G[.!?]*+([^.!?]++[.!?]++)"
 NUMBER = r"(?i)eip[- ]?(\d+)"
 
 
@@ -18,11 +19,11 @@ def tokens(text: Column) -> Column:
 def shingles(words: Column, n: int) -> Column:
     """Distinct runs of n words; fewer words make one shingle, none make none."""
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+    return F.when(F.coalesce(F.size(words), F.lit(0)) <= 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
 
 
 def sentences(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(1)), lambda s: F.trim(s))
 
 
 def content_hash(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["retrieval", "graph"]
+_MODULES = ["retrieval", "graph", "tables", "text", "scoring", "dedup", "evidence"]
 
 
 def load():
