@@ -43,13 +43,6 @@ register(
     lambda s, d: _answers(s, d).select("answer_id", F.round(E.citation_accuracy(T.markers(F.col("text")), F.lit(5)), 6).alias("accuracy")),
     f"WITH {_ANSWERS} SELECT answer_id, round((1 + (x BETWEEN 1 AND 5)::INTEGER + (q BETWEEN 1 AND 5)::INTEGER) / 3, 6) AS accuracy FROM a",
 )
-register(
-    "evi_insert_citations",
-    lambda s, d: E.insert_citations(E.ledger(_answers(s, d).select("answer_id", F.regexp_replace("text", r"\s*\[[^\]]*\]", "").alias("text"))).join(table(s, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("answer_id"), F.col("l_linenumber").alias("m")), "answer_id").withColumn("marker", F.col("m"))),
-    "SELECT l_orderkey || '-' || l_linenumber AS answer_id, 'Part ' || l_partkey || ' was shipped. [' || l_linenumber || '] It is cheap. [' || l_linenumber || '] Supplier ' || l_suppkey || ' sent it! [' || l_linenumber || ']' AS text FROM lineitem",
-)
-
-
 def _pivot(spark, d):
     cells = table(spark, d, "documents").select(F.col("source").alias("feature"), F.col("lang").alias("entity"), F.col("doc_id").cast("string").alias("value"))
     return S.comparison(cells, ["de", "en", "es", "fr"])

@@ -172,3 +172,13 @@ def test_streams_equal_batches(spark, tmp_path):
     got = {r.event_id: (r.failures, r.open) for r in streams.collected(streams.breaker(stream), "breaker", f"{tmp_path}/c3").collect()}
     batch = experiments.breaker(events, "user_id", ["ts", "event_id"], F.col("event_type") == "error")
     assert got == {r.event_id: (r.failures, r.open) for r in batch.collect()}
+
+
+def test_citations_are_inserted_behind_their_sentences(spark):
+    entries = spark.createDataFrame([(1, 0, "One is one.", 2), (1, 0, "One is one.", 1), (1, 1, "Two!", None)], "answer_id bigint, n int, sentence string, marker int")
+    assert evidence.insert_citations(entries).first().text == "One is one. [1, 2] Two!"
+
+
+def test_sentences_of_texts_without_a_stop(spark):
+    assert one(spark, text.sentences(F.col("t")), t="x " * 100_000) == []
+    assert one(spark, text.sentences(F.col("t")), t="..A b. C!? d") == ["A b.", "C!?"]
