@@ -72,7 +72,7 @@ class Heaps:
         at, other = np.nonzero((middle + slack >= floor[:, None]) & ~own)
         for a in range(0, len(at), 65536):  # pairs recomputed at a time
             i, j = at[a : a + 65536], other[a : a + 65536]
-            scores = (q.vectors[i] * c.vectors[j]).sum(axis=1)
+            scores = np.cumsum(q.vectors[i] * c.vectors[j], axis=1)[:, -1]  # summed from the first component on, as SQL does
             for row, score, ident in zip(i.tolist(), scores.tolist(), c.ids[j].tolist(), strict=True):
                 heap = self.heaps[row]
                 if len(heap) < k:

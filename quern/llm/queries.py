@@ -26,4 +26,22 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, {10 * j + 1}, 10))::UBIGINT >> {35 - 5 * k}::UBIGINT) & 31) + 1)::BIGINT, 1)" for j in range(4) for k in range(8))
+
+_LOWER_WORDS = r"w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents)"
+
+ORACLES: dict[str, str] = {
+    "op5_nearest": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+  SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM
+  (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 20 = 0 AND len(q.e) = len(c.e))) WHERE rank <= 20""",
+    "op10_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), f AS (SELECT page_id, t, min(page_id) OVER (PARTITION BY t) AS first, sha1(t) AS hex FROM p)
+  SELECT page_id, strlen(t)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to FROM f""",
+    "op6_near_duplicates": f"""WITH RECURSIVE {_LOWER_WORDS}, s AS (SELECT doc_id, list_sort(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END) AS s FROM w WHERE len(w) > 0),
+  c AS (SELECT min(doc_id) AS rep, s FROM s GROUP BY s), u AS (SELECT rep, len(s) AS n, unnest(s) AS u FROM c),
+  p AS (SELECT x.rep AS a, y.rep AS b FROM u x JOIN u y ON x.u = y.u AND x.rep < y.rep GROUP BY x.rep, y.rep, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+  e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(a, b) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), m AS (SELECT a AS rep, min(b) AS least FROM r GROUP BY a)
+  SELECT doc_id, coalesce(len(s.s), 0)::BIGINT AS n_shingles, coalesce(least, c.rep, doc_id) AS component_id, doc_id = coalesce(least, c.rep, doc_id) AS kept FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN c ON c.s = s.s LEFT JOIN m USING (rep)""",
+    "op7_repeated_passages": f"""WITH {_LOWER_WORDS}, x AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50), h AS (SELECT doc_id, i - 1 AS pos, md5(array_to_string(w[i:i+49], ' ')) AS h FROM x),
+  d AS (SELECT doc_id, pos FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(DISTINCT doc_id) > 1)), g AS (SELECT doc_id, pos, coalesce(pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50, true)::INTEGER AS fresh FROM d),
+  n AS (SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM g) SELECT doc_id, min(pos)::INTEGER AS start_word, (max(pos) + 50 - min(pos))::INTEGER AS n_words FROM n GROUP BY doc_id, span""",
+}
