@@ -7,8 +7,8 @@ per task), since a record is its header, payload and two line ends; a folder of
 Reading. Files are split like any text, at line feeds. Lines carry no offsets; their byte lengths, summed over each
 split and then over the splits of a file, give them. A task reports each line that looks like the start of a record,
 with the offset of the record that would follow it, and hashes the payload if its split holds all of it. A header that its
-split cuts is completed from the next split's first lines, and a payload that crosses splits (which are longer than a header) in a second pass that only runs
-if there is one. A payload may hold header text too, so candidates are verified by the chain from the file's first
+split cuts is completed from the following splits' lines up to the first blank one, however long it is, and a payload that crosses splits in a second pass
+that only runs if there is one. A payload may hold header text too, so candidates are verified by the chain from the file's first
 byte: each split's chains are followed within one task, which leaves one exit per candidate, and pointer jumping
 over the few candidates that some exit hits decides which of them the file's start reaches. All else is rejected.
 
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from quern.llm.common import arrow_iter, arrow_map, new_scratch, plain, written
 
 MAGIC = b"WARC/1."
-LEAD = 1 << 16  # most bytes of a header
 GAP = "\r\n\r\n"
 
 
@@ -86,18 +85,31 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))
 
 
-def parse_header(block: bytes) -> dict[str, str] | None:
-    """Fields of a header from its first line to before the blank one, names in lower case; None if it isn't one."""
-    fields, lines = {}, block.split(b"\r\n")
-    for line in lines[1:]:
-        name, colon, value = line.partition(b":")
+def parse_headers(block: bytes) -> Iterator[tuple[int, dict[str, str]]]:
+    """(offset, fields) of each header that ends at block's end, which is before a blank line; names in lower case.
+
+    A header starts at any line feed, its fields at the next line end after that. Fields are read once, from the last to the first,
+    up to the first that isn't one, as no header reaches over it.
+    """
+    fields, end = {}, len(block)
+    while end >= 0:
+        gap = block.rfind(b"\r\n", 0, end)
+        begin = gap + 2 if gap >= 0 else 0
+        if fields.get("content-length", "").isdecimal() and len(fields["content-length"]) < 16 and "warc-type" in fields:
+            at = begin if block.startswith(MAGIC, begin) else block.find(b"\n" + MAGIC, begin, end) + 1
+            while at >= begin and at + len(MAGIC) <= end and block.startswith(MAGIC, at):
+                yield at, fields
+                at = block.find(b"\n" + MAGIC, at, end) + 1 or len(block)
+        name, colon, value = block[begin:end].partition(b":")
         if not colon or not name or name != name.strip():
-            return None
-        fields[name.decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
-    return fields if fields.get("content-length", "").isdecimal() and len(fields["content-length"]) < 16 and "warc-type" in fields else None
+            return
+        # the last of equal names holds, and it is read first
+        fields.setdefault(name.decode("utf-8", "replace").lower(), value.strip().decode("utf-8", "replace"))
+        end = gap
 
 
-# kind: c a candidate, o a header that the split's end cuts (raw: what there is), l a split (length: its bytes, raw: its first lines)
+# kind: c a candidate, o the headers that the split's end cuts (at: the first one, raw: all from there),
+# l a split (length: its bytes, raw: its lines up to the first blank one, body: the end of that, null without one)
 SCANNED = "kind string, file string, split bigint, at bigint, body bigint, length bigint, page string, type string, refers string, digest string, bytes bigint, sha1 string, raw binary, payload binary"
 _NAMES = [c.split()[0] for c in SCANNED.split(", ")]
 
@@ -107,11 +119,8 @@ def _row(kind: str, file: str, split: int, **more) -> tuple:
     return tuple(values.get(n) for n in _NAMES)
 
 
-def _fields(block: bytes) -> dict | None:
+def _fields(f: dict[str, str]) -> dict:
     """A candidate's columns from its header."""
-    f = parse_header(block)
-    if f is None:
-        return None
     ident = lambda k: f[k][len("<urn:page:") : -1] if f.get(k, "").startswith("<urn:page:") else None
     size = f.get("x-payload-length", "")
     return {"length": int(f["content-length"]), "page": ident("warc-record-id"), "type": f["warc-type"], "refers": ident("warc-refers-to"), "digest": f.get("warc-payload-digest", "").removeprefix("sha1:"), "bytes": int(size) if size.isdecimal() else None}
@@ -122,8 +131,9 @@ class _Split:
 
     def __init__(self, file: str, split: int, payloads: bool):
         self.file, self.split, self.payloads = file, split, payloads
-        self.at, self.lead, self.leading = 0, b"", split > 0
-        self.headers: list[list] = []  # open ones: offset and lines
+        self.at, self.lead, self.lead_end = 0, bytearray(), None
+        self.leading = split > 0
+        self.open_at, self.open = 0, bytearray()  # all lines from the first open header on
         self.waiting: list[tuple[int, dict]] = []  # candidates whose payload isn't complete: end and columns
         self.buffer, self.buffer_at = bytearray(), 0
         self.rows: list[tuple] = []
@@ -135,20 +145,20 @@ class _Split:
             self.buffer += b"\n"
             self._finish()
         if self.leading:
-            self.lead += value + b"\n"
-            self.leading = value != b"\r" and len(self.lead) < LEAD
+            self.lead += value
+            self.lead += b"\n"
+            if value == b"\r":
+                self.leading, self.lead_end = False, self.at
         if value == b"\r":
-            for begin, lines in self.headers:
-                fields = _fields(b"\n".join(lines).removesuffix(b"\r"))
-                if fields is not None:
-                    self._candidate(begin, fields)
-            self.headers = []
-        else:
-            self.headers = [h for h in self.headers if self.at - h[0] < LEAD]
-            for h in self.headers:
-                h[1].append(value)
-            if value.startswith(MAGIC):
-                self.headers.append([start, [value]])
+            if self.open:
+                for offset, fields in parse_headers(bytes(self.open[:-1]).removesuffix(b"\r")):
+                    self._candidate(self.open_at + offset, _fields(fields))
+                self.open = bytearray()
+        elif self.open or value.startswith(MAGIC):
+            if not self.open:
+                self.open_at = start
+            self.open += value
+            self.open += b"\n"
 
     def _candidate(self, begin: int, fields: dict) -> None:
         columns = {"at": begin, "body": self.at} | fields
@@ -169,8 +179,9 @@ class _Split:
 
     def end(self) -> None:
         self.rows += [_row("c", self.file, self.split, **columns) for _, columns in self.waiting]
-        self.rows += [_row("o", self.file, self.split, at=begin, raw=b"\n".join(lines) + b"\n") for begin, lines in self.headers]
-        self.rows.append(_row("l", self.file, self.split, length=self.at, raw=self.lead))
+        if self.open:
+            self.rows.append(_row("o", self.file, self.split, at=self.open_at, raw=bytes(self.open)))
+        self.rows.append(_row("l", self.file, self.split, length=self.at, raw=bytes(self.lead), body=self.lead_end))
         self.waiting, self.buffer = [], bytearray()
 
     def taken(self) -> dict:
@@ -252,24 +263,32 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     lines = _lines(spark, path)
     scanned = written(_scan(lines, payloads))
     order = W.partitionBy("file").orderBy("split")  # a row for each split of a file
-    splits = scanned.where("kind = 'l'").groupBy("file", "split").agg(F.max("length").alias("length"), F.max("raw").alias("raw"))
-    splits = written(splits.select("file", "split", F.coalesce(F.sum("length").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.lead("raw").over(order).alias("lead"), F.sum("length").over(W.partitionBy("file")).alias("size")))
+    sizes = scanned.where("kind = 'l'").select("file", "split", "length", F.col("body").isNotNull().cast("int").alias("blank"))
+    before = lambda c: F.coalesce(F.sum(c).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # splits of a run follow one with a blank line, and the last one has the next; a header that a split cuts goes on in the run behind that split
+    splits = written(sizes.select("file", "split", before("length").alias("base"), F.sum("length").over(W.partitionBy("file")).alias("size"), before("blank").alias("run"), "blank"))
     placed = scanned.where("kind <> 'l'").join(splits, ["file", "split"])
-    whole = placed.where("kind = 'c'").drop("lead")
+    whole = placed.where("kind = 'c'").drop("run", "blank")
+    opened = placed.where("kind = 'o'").select("file", "split", "at", "raw", "base", "size", (F.col("run") + F.col("blank")).alias("run"))
+    leads = scanned.where("kind = 'l'").select("file", "split", "raw").join(splits.select("file", "split", "run", "blank"), ["file", "split"])
+    leads = leads.select("file", "run", F.struct("split", "blank", "raw").alias("lead"))
+    ahead = opened.join(leads, ["file", "run"]).where("lead.split > split").groupBy("file", "split").agg(*[F.first(c).alias(c) for c in ("at", "raw", "base", "size")], F.sort_array(F.collect_list("lead")).alias("leads"))
 
     def complete(batch: pa.RecordBatch) -> dict:
-        """Headers that a split's end cuts, with the next split's first lines."""
+        """Headers that a split's end cuts, with the following splits' lines up to the first blank one."""
         out = {n: [] for n in [*_NAMES, "base", "size"]}
         for r in batch.to_pylist():
-            block, gap, _ = (r["raw"] + (r["lead"] or b"")).partition(GAP.encode())
-            fields = _fields(block) if gap else None
-            if fields is not None:
-                row = r | fields | {"kind": "c", "body": r["at"] + len(block) + len(gap), "raw": None}
+            leads = r.pop("leads")
+            if not leads[-1]["blank"]:
+                continue
+            block = b"".join([r["raw"], *(x["raw"] for x in leads)])
+            for offset, fields in parse_headers(block.removesuffix(b"\r\n").removesuffix(b"\n").removesuffix(b"\r")):
+                row = r | _fields(fields) | {"kind": "c", "at": r["at"] + offset, "body": r["at"] + len(block), "raw": None}
                 for n, values in out.items():
-                    values.append(row[n])
+                    values.append(row.get(n))
         return out
 
-    cut = arrow_map(placed.where("kind = 'o'"), complete, SCANNED + ", base bigint, size bigint").select(*whole.columns)
+    cut = arrow_map(ahead, complete, SCANNED + ", base bigint, size bigint").select(*whole.columns)
     moved = whole.unionByName(cut).withColumn("at", F.col("at") + F.col("base")).withColumn("body", F.col("body") + F.col("base"))
     found = written(moved.withColumn("next", F.col("body") + F.col("length") + len(GAP)).where("next <= size").drop("kind", "raw", "base", "size"))
     records = found.join(verified(found), ["file", "at"])

@@ -255,6 +255,31 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_long_headers_are_read(spark, tmp_path):
+    """A url may be longer than a split, and the records behind it are read too."""
+    pages = [("http://a/" + "u" * n, f"<p>{i}</p>") for i, n in enumerate((5, 200_000, 10, 70_000, 3, 65_536, 1))]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    warc.write_warc(df.coalesce(1), f"{tmp_path}/long")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("128m", "50000", "7000"):
+        try:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {int(r.page_id): bytes(r.payload).decode() for r in warc.read_warc(spark, f"{tmp_path}/long").collect()}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert got == {i: html for i, (_, html) in enumerate(pages)}
+    # a header whose lines begin in three splits
+    (tmp_path / "three").mkdir()
+    more = "".join(f"X-{j}: {'y' * 600}\r\n" for j in range(4))
+    record = lambda i: f"WARC/1.1\r\nWARC-Type: response\r\n{more}WARC-Record-ID: <urn:page:{i}>\r\nContent-Length: 3\r\n\r\n{i}\n.\r\n\r\n"
+    (tmp_path / "three/x.warc").write_text("".join(map(record, range(6))), newline="")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        assert {r.page_id for r in warc.read_warc(spark, f"{tmp_path}/three").collect()} == set("012345")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_broken_chains_end(spark, tmp_path):
     """Nothing behind a gap in the chain is believed, nor a record that the file's end cuts."""
     record = lambda i, body, n=None: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(body) if n is None else n}\r\n\r\n{body}\r\n\r\n"
