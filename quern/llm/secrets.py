@@ -5,8 +5,8 @@ that is too short is dropped but still uses up its text. Kind ``guess`` are valu
 list than the pattern's) whose guess cost is at least ``min_log10_guesses``: a dynamic programme finds the
 cheapest segmentation of the value into common words (also with look-alike characters or capitals), dates, repeated
 units, character sequences, keyboard walks and brute-force spans, where a segmentation costs the product of its parts' guesses
-times the factorial of their number. Values over ``max_value`` characters are beyond any guessing and cost their
-brute-force price.
+times the factorial of their number. Values of any length are searched for a segmentation below the bound, which is exact and takes time in
+proportion to the value.
 
 Cases: null and empty texts have no spans (counts 0, the hash of the empty text); overlapping kinds are all
 reported; repeated rows alike; ids pass through, null or not; only the named columns are read.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -127,7 +128,82 @@ def guess_cost(value: str, max_value: int = 128) -> tuple[float, list[tuple[int,
     return cost, out[::-1]
 
 
-def scan(text: str | None, min_log10_guesses: float = 10.0, max_value: int = 128) -> list[tuple[int, int, str]]:
+class _Segments:
+    """The segments of ``parts`` that cost less than a bound, by their start; starts must be asked for in ascending order."""
+
+    def __init__(self, value: str, below: float):
+        self.value, self.low, self.below = value, value.lower(), below
+        self.plainer, self.ends = self.low.translate(LOOKALIKES), {}
+
+    def _end(self, key: object, i: int, first: int, goes_on: Callable[[int], bool]) -> int:
+        """Where the longest run from i ends whose characters from first on go on; a run is walked once."""
+        j = self.ends.get(key, 0)
+        if j < first:
+            j = first
+            while j < len(self.value) and goes_on(j):
+                j += 1
+            self.ends[key] = j
+        return j
+
+    def of(self, i: int) -> list[tuple[int, float]]:
+        """(end, log10 of guesses)"""
+        value, low, n, out = self.value, self.low, len(self.value), []
+        for j in range(i + 3, min(n, i + _LONGEST) + 1):
+            exact, alike = RANK.get(low[i:j]), RANK.get(self.plainer[i:j])
+            if exact or alike:
+                upper = sum(c.isupper() for c in value[i:j])
+                out.append((j, math.log10(exact or alike) + (0 if exact else 1) + (0 if not upper else 0.3 if upper in (1, j - i) else 1.5)))
+        if m := DATE.match(value, i):
+            out.append((m.end(), math.log10(365 * 120) if m.end() - i > 4 else math.log10(120)))
+        for unit in range(1, (n - i) // 2 + 1):
+            if unit >= self.below:  # each character costs 1 at least
+                break
+            times = (self._end(unit, i, i + unit, lambda j: value[j] == value[j - unit]) - i) // unit  # noqa: B023
+            if times > 1 and unit * times >= 3:
+                out.append((i + unit * times, unit * math.log10(max(10, _alphabet(value[i : i + unit]))) + math.log10(times)))
+        step = ord(low[i + 1]) - ord(low[i]) if i + 1 < n else 0
+        if step in (-1, 1):
+            j = self._end(("sequence", step), i, i + 1, lambda j: ord(low[j]) - ord(low[j - 1]) == step)
+            if j - i >= 3:
+                out.append((j, math.log10(26 * (j - i))))
+        j = self._end("walk", i, i + 1, lambda j: _adjacent(low[j - 1], low[j]))
+        if j - i >= 4:
+            out.append((j, math.log10(47) + 0.5 * (j - i)))
+        return [(j, max(0.05, cost)) for j, cost in out if cost < self.below]
+
+
+def guessable(value: str, below: float) -> bool:
+    """Whether some segmentation of value, however long it is, costs less than below: the DP of ``guess_cost`` over the ways that still can."""
+    n, per, segments = len(value), math.log10(max(10, _alphabet(value))), _Segments(value, below)
+    orders = [0.0]  # log10 of m!
+    reached: dict[int, dict[int, float]] = {0: {0: 0.0}}  # cheapest way to cover value[:j] with m segments
+    spans: dict[int, tuple[int, float]] = {}  # by m: the start of the cheapest open brute-force span, and the cost up to there
+    for j in range(n + 1):
+        here = reached.pop(j, {})
+        for m, (i, so_far) in list(spans.items()):
+            cost = so_far + (j - i) * per
+            if cost + orders[m + 1] >= below:
+                del spans[m]
+            elif cost < here.get(m + 1, math.inf):
+                here[m + 1] = cost
+        if j == n:
+            return any(cost + orders[m] < below for m, cost in here.items())
+        if not here and not spans and not reached:
+            return False
+        follow = segments.of(j) if here else []
+        for m, cost in here.items():
+            while len(orders) <= m + 2:
+                orders.append(orders[-1] + math.log10(len(orders)))
+            if m not in spans or cost < spans[m][1] + (j - spans[m][0]) * per:
+                spans[m] = (j, cost)
+            for end, more in follow:
+                total = cost + more
+                if total + orders[m + 1] < below and total < reached.setdefault(end, {}).get(m + 1, math.inf):
+                    reached[end][m + 1] = total
+    return False
+
+
+def scan(text: str | None, min_log10_guesses: float = 10.0) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) by start, then kind."""
     if not text:
         return []
@@ -137,7 +213,7 @@ def scan(text: str | None, min_log10_guesses: float = 10.0, max_value: int = 128
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".)]}")
             # words of prose follow these words too; a credential has other characters besides letters of one case
-            if len(value) >= 8 and not (value[1:].isalpha() and value[1:] == value[1:].lower()) and guess_cost(value, max_value)[0] >= min_log10_guesses:
+            if len(value) >= 8 and not (value[1:].isalpha() and value[1:] == value[1:].lower()) and not guessable(value, min_log10_guesses):
                 found.append((m.start(1), m.start(1) + len(value), "guess"))
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]

@@ -270,6 +270,23 @@ def test_guess_costs_order_values():
     assert all(cost(v) <= brute(v) + 1e-9 for v in ("a", "zq7", "Summer2024!", "kjhsdf87234"))
 
 
+def test_long_values_cost_their_guesses():
+    rng = random.Random(8)
+    bits = [*secrets.COMMON[:30], "P4ssword", "19991231", "2024-01-02", "abcdef", "fedcba", "qwerty", "zxcvb", "----", "xyxyxy", "aaa", "Q", "7", "$", "kf", "é"]
+    seen = set()
+    for _ in range(4000):
+        value = "".join(rng.choices(bits, k=rng.randint(1, 6)))[: rng.randint(1, 40)]
+        cheap = secrets.guessable(value, 10.0)
+        assert cheap == (secrets.guess_cost(value)[0] < 10.0), value
+        seen.add(cheap)
+    assert len(seen) == 2
+    for n in (128, 129, 5000, 200_000):  # no bound on the length changes a result
+        assert [secrets.scan(word + c * n) for word, c in (("token ", "-"), ("token ", "qw"))] == [[], []]
+        assert not secrets.guessable("T7#kd!92xQ" + "-" * n, 10.0)
+    assert secrets.guessable("password" * 60, 20.0) and not secrets.guessable("-=" * 5000 + "T7#kd!9", 10.0)
+    assert [k for *_, k in secrets.scan("token " + "h7#Kd!92xZ" * 30000)] == ["guess"]
+
+
 def test_secrets_in_rows(spark):
     texts = ["password: Zx9$kQ2!mZ7@vT", "the secret is safe with me", None, "", "password" + " " * 50000 + "x", "my token " * 20000]
     rows = secrets.find_secrets(odd_docs(spark, texts)).collect()
