@@ -5,7 +5,8 @@ that is too short is dropped but still uses up its text. Kind ``guess`` are valu
 list than the pattern's) whose guess cost is at least ``min_log10_guesses``: a dynamic programme finds the
 cheapest segmentation of the value into common words (also with look-alike characters or capitals), dates, repeated
 units, character sequences, keyboard walks and brute-force spans, where a segmentation costs the product of its parts' guesses
-times the factorial of their number. Values of any length are searched for a segmentation below the bound, which is exact and takes time in
+times the factorial of their number. A value that isn't reported may be the credential word of the next one. Nothing else tells values from prose, so
+a word of eight letters or more that isn't among the common ones is reported behind a credential word. Values of any length are searched for a segmentation below the bound, which is exact and takes time in
 proportion to the value.
 
 Cases: null and empty texts have no spans (counts 0, the hash of the empty text); overlapping kinds are all
@@ -210,11 +211,14 @@ def scan(text: str | None, min_log10_guesses: float = 10.0) -> list[tuple[int, i
     low, found = text.lower(), []
     if any(h in low for h in HINTS):
         found += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
-        for m in CONTEXT.finditer(text):
+        m = CONTEXT.search(text)
+        while m:
             value = m[1].rstrip(".)]}")
-            # words of prose follow these words too; a credential has other characters besides letters of one case
-            if len(value) >= 8 and not (value[1:].isalpha() and value[1:] == value[1:].lower()) and not guessable(value, min_log10_guesses):
+            secret = len(value) >= 8 and not guessable(value, min_log10_guesses)
+            if secret:
                 found.append((m.start(1), m.start(1) + len(value), "guess"))
+            # a value that is no secret may be a credential word itself
+            m = CONTEXT.search(text, m.end() if secret else m.start(1))
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]

@@ -287,6 +287,14 @@ def test_long_values_cost_their_guesses():
     assert [k for *_, k in secrets.scan("token " + "h7#Kd!92xZ" * 30000)] == ["guess"]
 
 
+def test_values_behind_two_credential_words():
+    guess = lambda t: [t[a:b] for a, b, k in secrets.scan(t) if k == "guess"]
+    assert guess("Your secret password: T7#kd!92xQ") == guess("secret password token: T7#kd!92xQ") == ["T7#kd!92xQ"]
+    assert guess("auth token: h7#Kd!92xZ and pwd=aaaaaaaa, pass Zx9$kQ2!mZ7@") == ["h7#Kd!92xZ", "Zx9$kQ2!mZ7@"]
+    assert guess("password is kqzvhwjxbnrtgfm") == ["kqzvhwjxbnrtgfm"] and guess("password is passwordadmin") == []
+    assert guess("token " * 20000) == guess("password " * 20000) == guess("pwd=" * 500) == []
+
+
 def test_secrets_in_rows(spark):
     texts = ["password: Zx9$kQ2!mZ7@vT", "the secret is safe with me", None, "", "password" + " " * 50000 + "x", "my token " * 20000]
     rows = secrets.find_secrets(odd_docs(spark, texts)).collect()
