@@ -1,8 +1,9 @@
 """Language identification by prediction by partial matching (PPM).
 
 Training counts byte n-grams up to ``max_order + 1`` for each language on a bounded, documented sample of
-labelled rows (``max_bytes_per_lang`` bytes of the rows with the smallest id hashes; the text that crosses the
-bound is cut there). The counts are then frozen: in a context with T occurrences and q different successors a
+labelled rows: of each language min(all its bytes, ``max_bytes_per_lang``), from the rows with the smallest id hashes
+(text hashes where ids are null). A row gives at most 1/64 of the bound, or the least doubling of that with which the language's
+rows fill it; the text that crosses the bound is cut there. The counts are then frozen: in a context with T occurrences and q different successors a
 known byte costs ``-log2(n / (T + q))`` bits, any other one the escape ``-log2(q / (T + q))`` plus its cost in the
 next shorter context, down to 8 bits without any context. A text's code length under a language is the exact sum
 over all its bytes; the shortest code wins and the score is its posterior under equal priors.
@@ -18,6 +19,7 @@ the named columns are read, so others can't clash.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_map, bucket, plain, values
+from quern.llm.common import arrow_iter, arrow_map, bucket, plain, values
 
 _LETTER = regex.compile(r"\p{L}")
 _BASE_BITS = 8.0  # a byte without any context
@@ -122,28 +124,78 @@ def fit(samples: dict[str, list[bytes]], max_order: int = 3) -> PPMModel:
     return model
 
 
+SHARES = 6  # a row gives at most 1 / 2**SHARES of the bound, doubled as often as a language needs
+
+
+class _Sample:
+    """The first rows in order that fill a bound, of all that are added; it never holds much more than twice the bound."""
+
+    def __init__(self, bound: int):
+        self.bound, self.rows, self.bytes = bound, [], 0
+
+    def add(self, position: int, data: bytes) -> None:
+        self.rows.append((position, data))
+        self.bytes += len(data)
+        if self.bytes > 2 * self.bound and len(self.rows) > 1:
+            self.rows = self.first()
+            self.bytes = sum(len(x) for _, x in self.rows)
+
+    def first(self) -> list[tuple[int, bytes]]:
+        """The rows up to the one that reaches the bound."""
+        out, left = [], self.bound
+        for row in sorted(self.rows):
+            if left <= 0:
+                break
+            out.append(row)
+            left -= len(row[1])
+        return out
+
+
 def train(docs: DataFrame, max_order: int = 3, max_bytes_per_lang: int = 262_144, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> PPMModel:
-    """Fits on a sample of docs that holds at most max_bytes_per_lang bytes of each language, chosen by id hash."""
+    """Fits on a sample of docs that holds min(all its bytes, max_bytes_per_lang) of each language, chosen by id hash."""
+    bound = max_bytes_per_lang
     rows = plain(docs, id_col, lang, text).toDF("i", "l", "t").where("l IS NOT NULL AND t IS NOT NULL AND t <> ''")
-    sizes = {r.l: r.b for r in rows.groupBy("l").agg(F.sum(F.octet_length("t")).alias("b")).collect()}
+    caps = [max(1, bound >> (SHARES - j)) for j in range(SHARES + 1)]
+    sums = [F.sum(F.least(F.octet_length("t"), F.lit(c))).alias(f"b{j}") for j, c in enumerate(caps)]
+    # by language: what a row gives at most, and the bytes that all rows give then
+    plan = {r.l: next(((c, r[f"b{j}"]) for j, c in enumerate(caps) if r[f"b{j}"] >= bound), (bound, r[f"b{SHARES}"])) for r in rows.groupBy("l").agg(*sums).collect()}
     samples: dict[str, list[bytes]] = {}
-    if sizes:
-        share = F.create_map(*[F.lit(x) for name, b in sizes.items() for x in (name, min(1.0, 2.0 * max_bytes_per_lang / b))])
-        position = (F.xxhash64("i") / F.lit(2.0**64)) + 0.5
-        chosen = rows.withColumn("p", position).where(F.col("p") <= share[F.col("l")]).select("l", "p", F.expr(f"left(t, {max_bytes_per_lang})").alias("t"))
-        got: dict[str, list] = {}
-        for r in chosen.toLocalIterator():
-            got.setdefault(r.l, []).append((r.p, r.t))
-        for name, texts in got.items():
-            left, samples[name] = max_bytes_per_lang, []
-            for _, t in sorted(texts):
-                data = t.encode("utf-8", "replace")[:left]
-                if data:
-                    samples[name].append(data)
-                    left -= len(data)
+    place = F.when(F.col("i").isNull(), F.xxhash64("t")).otherwise(F.xxhash64("i"))
+    factor, open_ = 2.0, dict(plan)
+    while open_:
+        # rows up to a hash that should give twice the bound; languages with less than it by chance are read further
+        limit = F.create_map(*[F.lit(x) for name, (_, b) in open_.items() for x in (name, min(1.0, factor * bound / b))])
+        chosen = rows.withColumn("p", place).where((F.col("p") / F.lit(2.0**64)) + 0.5 <= limit[F.col("l")])
+        got = {name: _Sample(bound) for name in open_}
+        sent = {name: cap for name, (cap, _) in open_.items()}
+        for r in _firsts(chosen.select("l", "p", F.expr(f"left(t, {bound})").alias("t")), sent, bound).toLocalIterator():
+            got[r.l].add(r.p, bytes(r.t))
+        for name, sample in got.items():
+            if sum(len(x) for _, x in sample.rows) >= min(bound, open_[name][1]) or factor * bound >= open_[name][1]:
+                left, samples[name] = bound, []
+                for _, data in sample.first():
+                    samples[name].append(data[:left])
+                    left -= len(samples[name][-1])
+                del open_[name]
+        factor *= 4
     return fit(samples, max_order)
 
 
+def _firsts(rows: DataFrame, caps: dict[str, int], bound: int) -> DataFrame:
+    """(l, p, t) of the rows of each task that may be among a language's first, their texts cut to what a row gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        own: dict[str, _Sample] = {}
+        for batch in batches:
+            for name, p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), values(batch.column(2)), strict=True):
+                own.setdefault(name, _Sample(bound)).add(p, t[: caps[name]].encode("utf-8", "replace")[: caps[name]])
+        for name, sample in own.items():
+            first = sample.first()
+            yield {"l": [name] * len(first), "p": [p for p, _ in first], "t": [data for _, data in first]}
+
+    return arrow_iter(rows, run, "l string, p bigint, t binary")
+
+
 def identify(docs: DataFrame, model: PPMModel, text: str = "text") -> DataFrame:
     """docs with lang_pred and score added (columns of these names are replaced)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)

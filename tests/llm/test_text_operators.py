@@ -69,6 +69,26 @@ def test_language_id_cases(spark):
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_every_language_fills_its_bound_from_many_rows(spark, monkeypatch):
+    learned = {}
+    monkeypatch.setattr(langid, "fit", lambda samples, order: learned.update(samples))
+    rows = [(i, "x" * (400_000 if i < 4 else 50), "long") for i in range(15)]  # a few texts hold nearly all bytes
+    rows += [(100 + i, f"{i:05d} " * 2, "many") for i in range(3000)] + [(None, f"null {i:05d}", "null") for i in range(3000)]
+    rows += [(None, "copy", "copies")] * 3000 + [(1, "few", "few"), (2, "", "none")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    held = {}
+    for _, t, name in rows:
+        held.setdefault(name, []).append(t)
+    for bound in (1 << 10, 1 << 13, 1 << 18):
+        learned.clear()
+        langid.train(docs.repartition(3), max_bytes_per_lang=bound)
+        assert {name: sum(map(len, x)) for name, x in learned.items()} == {name: min(bound, sum(map(len, x))) for name, x in held.items() if name != "none"}
+        assert len(learned["long"]) >= 4
+        first = {name: list(x) for name, x in learned.items()}
+        langid.train(docs.repartition(7, "text"), max_bytes_per_lang=bound)
+        assert first == learned
+
+
 def test_language_id_is_right_on_held_out_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     found = langid.op1_language_id(spark, sf_dir)
