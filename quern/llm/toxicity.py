@@ -2,8 +2,8 @@
 
 The examples are a bounded, documented sample: of each class the ``max_examples`` labelled rows with the smallest id
 hashes. Terms are lower-cased word runs and their stems (the first four to eight characters); the vocabulary holds the terms whose presence depends on the label among the
-examples (chi-square at least ``min_chi2``, odds at least ``min_odds`` to one either way, at most ``max_terms`` of
-them). Document frequencies of these terms and the number of documents are counted over the whole corpus.
+examples (chi-square at least ``min_chi2``, odds at least ``min_odds`` to one either way), however many they are; the cosine is over these
+terms alone, as over all terms the topic decides which examples are near and most toxic texts are missed. Document frequencies of these terms and the number of documents are counted over the whole corpus.
 
 A text's vector has weights (1 + ln tf) * idf, normalised. The index keeps, for each term, its postings by blocks of
 example numbers with the largest weight of each block; blocks are visited in the order of their upper bounds until no
@@ -171,7 +171,7 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return np.array(xs), np.array(ys)
 
 
-def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_examples: int = 4000, max_terms: int = 4096, min_chi2: float = 20.0, min_odds: float = 3.0, k: int = 15, shrink: float = 0.5, power: float = 3.0) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_examples: int = 4000, min_chi2: float = 20.0, min_odds: float = 3.0, k: int = 15, shrink: float = 0.5, power: float = 3.0) -> ToxicityModel:
     """docs and labels: (doc_id, text) and (doc_id, toxic) to learn from; corpus: (text) for document frequencies."""
     spark = docs.sparkSession
     known = plain(labels, "doc_id", "toxic").toDF("i", "y").where("i IS NOT NULL AND y IS NOT NULL").groupBy("i").agg((F.max("y") > 0).cast("int").alias("y"))
@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_examples: i
     chi2 = num / (float(n0) * float(n1) * (a + b) * (n - a - b + 1e-9))
     odds = ((b + 0.5) / (n1 + 1.0)) / ((a + 0.5) / (n0 + 1.0))
     strong = by_term.withColumn("c", chi2).withColumn("o", odds).where((F.col("c") >= min_chi2) & ((F.col("o") >= min_odds) | (F.col("o") <= 1 / min_odds)))
-    vocabulary = Vocabulary(sorted(r.term for r in strong.orderBy(F.desc("c"), "term").limit(max_terms).select("term").collect()))
+    vocabulary = Vocabulary(sorted(r.term for r in strong.select("term").collect()))
 
     # their document frequencies over all documents
     sent = spark.sparkContext.broadcast(vocabulary)

@@ -136,6 +136,18 @@ def test_toxicity_cases(spark):
     assert {r.score for r in toxicity.score(docs, one_class).collect()} == {0.0}
 
 
+def test_toxicity_terms_are_not_cut_by_rank(spark):
+    """Few toxic examples of one kind count beside many of another that has thousands of words of its own."""
+    rng = random.Random(9)
+    plain = [" ".join(rng.choices(["sun", "tree", "river", "stone", "cloud", "bird"], k=30)) for _ in range(120)]
+    many = " ".join("".join(rng.choices("abcdefghij", k=4)) + "q" for _ in range(5000))
+    texts = plain + [t + " " + many for t in plain[:30]] + [t + " vile filth vile" for t in plain[30:45]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i >= 120)) for i in range(165)], "doc_id bigint, toxic int"), docs)
+    assert len(model.vocabulary) > 4096 and "vile" in model.vocabulary.number
+    assert model.score("river vile bird filth")[0] >= 0.7 > model.score("river bird")[0]
+
+
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic")
