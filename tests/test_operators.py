@@ -182,3 +182,34 @@ def test_citations_are_inserted_behind_their_sentences(spark):
 def test_sentences_of_texts_without_a_stop(spark):
     assert one(spark, text.sentences(F.col("t")), t="x " * 100_000) == []
     assert one(spark, text.sentences(F.col("t")), t="..A b. C!? d") == ["A b.", "C!?"]
+
+
+def test_signatures_of_documents_equal_their_definition(spark, sf_dir):
+    """Every document has both, texts without a word too."""
+    import hashlib
+
+    from quern.operators import dedup as D
+    from quern.plans import load
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    odd = [(10**9, ""), (10**9 + 1, None), (10**9 + 2, "two Words"), (10**9 + 3, "many words " * 20000), (10**9 + 4, ""), (10**9 + 4, "beside an empty text")]
+    rows = docs.limit(12).collect() + [*odd]
+    from quern.functions import text as T
+
+    small = spark.createDataFrame([tuple(r) for r in rows], docs.schema)
+    words = {}
+    for i, w in small.select("doc_id", T.tokens("text")).collect():
+        words.setdefault(i, []).append(w or [])
+    least = {(r.doc_id, r.i): r.value for r in D.minhash(small).collect()}
+    bits = {r.doc_id: r.simhash % (1 << 64) for r in D.simhash(small).collect()}
+    assert len(least) == 128 * len(words) and set(bits) == set(words)
+    for i, texts in words.items():
+        shingles = {" ".join(w[j : j + 3]) for w in texts for j in range(max(1, len(w) - 2)) if w}
+        hashes = [int(hashlib.md5(s.encode()).hexdigest()[:16], 16) % D.PRIME for s in shingles]
+        for j, (a, b) in enumerate(D.parameters()):
+            assert least[i, j] == min(((a * h + b) % D.PRIME for h in hashes), default=D.MAX_HASH)
+        tokens = [int(hashlib.sha256(x.encode()).hexdigest()[-16:], 16) for w in texts for x in w]
+        assert bits[i] == sum(1 << b for b in range(64) if sum(1 if h >> b & 1 else -1 for h in tokens) > 0)
+    queries = load().QUERIES
+    assert queries["dup_minhash_documents"](spark, sf_dir).count() == 128 * docs.count()
+    assert queries["dup_simhash_documents"](spark, sf_dir).count() == docs.count()
