@@ -9,8 +9,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quern.functions import text as T
 
@@ -45,18 +48,53 @@ def packed(docs: DataFrame, most: int = 512, text: str = "text", delimiter: str
     return chunks.select("document_id", "chunk_index", F.col("c.n").alias("token_count"), F.col("c.t").alias("content"))
 
 
-def packed_turns(turns: DataFrame, most: int = 512) -> DataFrame:
-    """Turns (document_id, turn, text) of each conversation packed greedily in order; windows for oversized ones.
+def packed_turns(turns: DataFrame, most: int = 512, reserve: int = 50) -> DataFrame:
+    """Turns (document_id, turn, text) of each conversation packed greedily in order into chunks of at most most tokens.
 
-    A conversation's chunks follow from running sums, so a window does the work and no conversation becomes one row:
-    chunk numbers count how often the running total passes a multiple of most.
+    An oversized turn is a run of chunks of its own, windows of most - reserve tokens (room for a header) without overlap. Sorted rows are
+    streamed through the fold, so no conversation becomes one row.
     """
-    from pyspark.sql import Window as W
+    kinds = {f.name: f.dataType.simpleString() for f in turns.schema}
+    names = ["document_id", "chunk_index", "turns", "token_count", "first_turn", "last_turn"]
+    schema = f"document_id {kinds['document_id']}, chunk_index int, turns bigint, token_count bigint, first_turn {kinds['turn']}, last_turn {kinds['turn']}"
+    sized = turns.select("document_id", "turn", "text", F.coalesce(F.greatest(F.size(T.tokens(F.col("text"))), F.lit(0)), F.lit(0)).alias("n"))
+    rows = sized.repartition("document_id").sortWithinPartitions("document_id", "turn", "text").select("document_id", "turn", "n")
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, chunk, now, index = [], None, (), 0
+
+        def close() -> None:
+            nonlocal chunk, index
+            if chunk is not None:
+                out.append((now[0], index, *chunk))
+                chunk, index = None, index + 1
+
+        def taken() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
-    order = W.partitionBy("document_id").orderBy("turn", "text").rowsBetween(W.unboundedPreceding, 0)
-    sized = turns.withColumn("n", F.size(T.tokens(F.col("text")))).withColumn("upto", F.sum("n").over(order))
-    numbered = sized.withColumn("chunk_index", F.floor((F.col("upto") - 1) / most).cast("int"))
-    return numbered.groupBy("document_id", "chunk_index").agg(F.count("*").alias("turns"), F.sum("n").alias("token_count"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
+        for batch in batches:
+            for document, turn, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (document,):
+                    close()
+                    now, index = (document,), 0
+                if chunk is not None and chunk[1] + n > most:
+                    close()
+                if n > most:
+                    for start in range(0, n, most - reserve):
+                        chunk = (1, min(most - reserve, n - start), turn, turn)
+                        close()
+                elif chunk is None:
+                    chunk = (1, n, turn, turn)
+                else:
+                    chunk = (chunk[0] + 1, chunk[1] + n, chunk[2], turn)
+            yield taken()
+        close()
+        yield taken()
+
+    return rows.mapInArrow(run, schema)
 
 
 def code_fences(text: F.Column) -> F.Column:

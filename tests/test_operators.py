@@ -213,3 +213,19 @@ def test_signatures_of_documents_equal_their_definition(spark, sf_dir):
     queries = load().QUERIES
     assert queries["dup_minhash_documents"](spark, sf_dir).count() == 128 * docs.count()
     assert queries["dup_simhash_documents"](spark, sf_dir).count() == docs.count()
+
+
+def test_turns_are_packed_up_to_the_limit(spark):
+    """No chunk is above the limit, oversized turns are cut into windows, and neighbours are only parted if they don't fit."""
+    sizes = {1: [300, 300, 400], 2: [512, 1, 511, 1], 3: [10, 1100, 20], 4: [0, 0], None: [513]}
+    rows = [(i, j, "w " * n) for i, ns in sizes.items() for j, n in enumerate(ns)]
+    got = {}
+    for r in chunking.packed_turns(spark.createDataFrame(rows, "document_id int, turn int, text string").repartition(3)).orderBy("document_id", "chunk_index").collect():
+        got.setdefault(r.document_id, []).append((r.chunk_index, r.turns, r.token_count, r.first_turn, r.last_turn))
+    assert got == {
+        1: [(0, 1, 300, 0, 0), (1, 1, 300, 1, 1), (2, 1, 400, 2, 2)],
+        2: [(0, 1, 512, 0, 0), (1, 2, 512, 1, 2), (2, 1, 1, 3, 3)],
+        3: [(0, 1, 10, 0, 0), (1, 1, 462, 1, 1), (2, 1, 462, 1, 1), (3, 1, 176, 1, 1), (4, 1, 20, 2, 2)],
+        4: [(0, 2, 0, 0, 1)],
+        None: [(0, 1, 462, 0, 0), (1, 1, 51, 0, 0)],
+    }
