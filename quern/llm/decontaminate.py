@@ -10,7 +10,8 @@ Texts are compared in lower case with every white space character as a blank, ch
 those of the text. The items are a query set: they are sent in blocks of at most ``block_chars`` characters, each
 of which passes over all documents once.
 
-Cases: null and empty texts hold nothing; null items and items below min_chars are never found (too short to tell);
+Cases: null and empty texts hold nothing; null items and blank ones are never found, items below min_chars only with
+``short``, and then exactly, without the blanks around them and on word borders;
 items with equal text are all reported; repeated documents alike; null ids pass through; an empty side gives no rows.
 Result: for each document and item it holds, the smallest distance and its first occurrence. Only named columns are read.
 """
@@ -77,17 +78,27 @@ def myers(pattern: str, text: str, anchored: bool = False) -> Iterator[int]:
         yield score
 
 
+def _bordered(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on over either end."""
+    over = lambda at: 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+    return not over(start) and not over(end)
+
+
 class Matcher:
     """Finds items (numbered texts) within their error budgets."""
 
-    def __init__(self, items: list[str], max_error: float = 0.05, min_chars: int = 20, min_piece: int = 8):
+    def __init__(self, items: list[str], max_error: float = 0.05, min_chars: int = 20, min_piece: int = 8, short: bool = False):
         import ahocorasick
 
         self.items = [normal(x) for x in items]
         self.budgets = [budget(len(x), max_error, min_piece) for x in self.items]
         hits: dict[str, list] = defaultdict(list)
+        self.short = {j for j, x in enumerate(self.items) if short and len(x) < min_chars and x.strip()}
+        for j in self.short:
+            self.items[j], self.budgets[j] = self.items[j].strip(), 0
+            hits[self.items[j]].append((j, len(self.items[j]) - 1))
         for j, x in enumerate(self.items):
-            if len(x) >= min_chars and x.strip():
+            if j not in self.short and len(x) >= min_chars and x.strip():
                 for at, piece in split(x, self.budgets[j]):
                     hits[piece].append((j, at + len(piece) - 1))
         self.automaton = ahocorasick.Automaton()
@@ -111,7 +122,7 @@ class Matcher:
     def _best(self, j: int, diagonals: list[int], t: str) -> tuple[int, int, int] | None:
         item, k = self.items[j], self.budgets[j]
         for d in diagonals:  # an exact occurrence can't be beaten
-            if d >= 0 and t.startswith(item, d):
+            if d >= 0 and t.startswith(item, d) and (j not in self.short or _bordered(t, d, d + len(item))):
                 return 0, d, d + len(item)
         if not k:
             return None
@@ -134,12 +145,12 @@ class Matcher:
         return distance, end - length, end
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.05, min_chars: int = 20, min_piece: int = 8, block_chars: int = 4_000_000, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.05, min_chars: int = 20, min_piece: int = 8, block_chars: int = 4_000_000, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", short: bool = False) -> DataFrame:
     """doc_id, item_id, distance, start, end: the items that each document holds within their error budgets."""
     base = plain(docs, id_col, text).toDF("doc_id", "text").where("text IS NOT NULL")
     types = [x.schema[c].dataType.simpleString() for x, c in ((base, "doc_id"), (benchmark, item_col))]
     schema = "doc_id {}, item_id {}, distance int, start int, end int".format(*types)
-    parts = [_search(base, rows, (max_error, min_chars, min_piece), schema) for rows in blocks(benchmark, item_col, item_text, min_chars, block_chars)]
+    parts = [_search(base, rows, (max_error, min_chars, min_piece, short), schema) for rows in blocks(benchmark, item_col, item_text, 1 if short else min_chars, block_chars)]
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -164,10 +175,10 @@ def _search(base: DataFrame, rows: list[tuple], limits: tuple, schema: str) -> D
     return arrow_iter(base, run, schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.05, min_chars: int = 20, min_piece: int = 8, block_chars: int = 4_000_000, text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.05, min_chars: int = 20, min_piece: int = 8, block_chars: int = 4_000_000, text: str = "text", item_col: str = "item_id", item_text: str = "text", short: bool = False) -> DataFrame:
     """The rows of docs that hold no item: a filter row by row, without a shuffle; null texts stay."""
-    for rows in blocks(benchmark, item_col, item_text, min_chars, block_chars):
-        docs = _keep_clean(docs, rows, (max_error, min_chars, min_piece), text)
+    for rows in blocks(benchmark, item_col, item_text, 1 if short else min_chars, block_chars):
+        docs = _keep_clean(docs, rows, (max_error, min_chars, min_piece, short), text)
     return docs
 
 
@@ -184,4 +195,4 @@ def _keep_clean(docs: DataFrame, rows: list[tuple], limits: tuple, text: str) ->
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
     """The benchmark items in all documents."""
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short=True)

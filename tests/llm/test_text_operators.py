@@ -210,6 +210,19 @@ def test_contamination_equals_brute_force(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_short_items_are_found_on_word_borders(spark, tmp_path):
+    items = ["What is 2+2?", "red fox", " ", "", None, "a question that is longer than that"]
+    texts = ["So: what\nis 2+2? Four", "A Red Fox.", "hundred fox", "red foxes, then red fox", "red  fox", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.item_id, r.distance, r.start, r.end) for r in decontaminate.op3_decontamination(spark, str(tmp_path)).collect()}
+    assert got == {(0, 0, 0, 4, 16), (1, 1, 0, 2, 9), (3, 1, 0, 16, 23)}
+    import corpus_pipeline
+
+    assert {r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()} == {2, 4, 5, 6}
+
+
 def test_contamination_spans_are_places_in_the_text():
     item = "the quick brown fox jumps over the lazy dog again and again"
     text = "Intro İ.\nThe quick  brown fox jumps over the lazy dog again and again. End"
