@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.scratch import new_scratch, scratch_dir, written
+from quern.scratch import discard, new_scratch, scratch_dir, written
 
-__all__ = ["WordHashes", "arrow_iter", "arrow_map", "bucket", "flat", "mix", "new_scratch", "plain", "rolling", "scratch_dir", "sorted_groups", "to_arrow", "values", "written"]
+__all__ = ["WordHashes", "arrow_iter", "arrow_map", "bucket", "discard", "flat", "mix", "new_scratch", "plain", "rolling", "scratch_dir", "sorted_groups", "to_arrow", "values", "written"]
 
 
 BATCH_BYTES = 16 << 20

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import written
+from quern.llm.common import discard, written
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -25,7 +25,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = large.where("u <> v").distinct()  # links of each node to smaller ones
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u <> v").distinct())
+        edges, last = written(small.where("u <> v").distinct()), edges
+        discard(last)
         now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -169,13 +169,22 @@ def test_repeated_spans_equal_brute_force(spark, monkeypatch):
     texts += [" ".join(shared[3])] * 3
     rows = list(enumerate(texts))
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows] + [(None, texts[-1], 1, "x"), (4, texts[4], 1, "x")], "doc_id bigint, text string, pos int, kind string")
-    for flush in (1_000_000, 50):
+    for flush, hot in ((1_000_000, 4096), (50, 4096), (50, 0), (1_000_000, 12)):
         monkeypatch.setattr(repeats, "FLUSH", flush)
+        monkeypatch.setattr(repeats, "HOT", hot)
         assert {tuple(r) for r in repeats.repeated_spans(df, least=50).collect()} == brute_spans(rows, 50)
     assert {tuple(r) for r in repeats.repeated_spans(df, least=30, prefix=10).collect()} == brute_spans(rows, 30)
     assert repeats.repeated_spans(df.limit(0)).count() == 0
 
 
+def test_a_repeated_line_is_one_row_of_its_key():
+    """A text of one repeated line, and repeated rows of it, don't pile up on a key."""
+    h = repeats.WordHashes()(repeats.split("a b c d e f g h i j k l m n o p q r s t u v w x y z " * 200))
+    at = repeats.minimisers(h, 20, 50)
+    out = repeats._settled(np.tile(repeats.rolling(h, 20)[at].view(np.int64), 3), np.repeat([7, 7, 8], len(at)), np.tile(at, 3))
+    assert len(out["key"]) <= 3 * len(set(repeats.rolling(h, 20)[at].tolist()))
+
+
 def test_cut_spans():
     assert repeats.cut_spans("a b\nc  d e", [(1, 2)]) == "a \n  d e" and repeats.cut_spans(None, [(0, 1)]) is None
 
@@ -268,6 +277,14 @@ def test_long_headers_are_read(spark, tmp_path):
         finally:
             spark.conf.set("spark.sql.files.maxPartitionBytes", old)
         assert got == {i: html for i, (_, html) in enumerate(pages)}
+    # empty payloads whose headers are cut
+    pages = [("http://a/" + "u" * (300 * i), "") for i in range(5)]
+    warc.write_warc(spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id bigint, url string, html string").coalesce(1), f"{tmp_path}/empty", min_bytes=1)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+        assert {(int(r.page_id), r.sha1, bytes(r.payload)) for r in warc.read_warc(spark, f"{tmp_path}/empty").collect()} == {(i, warc.sha1_base32(b""), b"") for i in range(5)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     # a header whose lines begin in three splits
     (tmp_path / "three").mkdir()
     more = "".join(f"X-{j}: {'y' * 600}\r\n" for j in range(4))
@@ -280,6 +297,12 @@ def test_long_headers_are_read(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_null_and_empty_ids_are_told_apart(spark, tmp_path):
+    spark.createDataFrame([("", "u", "a"), (None, "u", "b"), ("x", "u", "a"), (None, None, "a")], "page_id string, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in warc.op10_warc(spark, str(tmp_path)).collect())
+    assert got == [("", "response", "None"), ("None", "response", "None"), ("None", "response", "None"), ("x", "revisit", "")]
+
+
 def test_broken_chains_end(spark, tmp_path):
     """Nothing behind a gap in the chain is believed, nor a record that the file's end cuts."""
     record = lambda i, body, n=None: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(body) if n is None else n}\r\n\r\n{body}\r\n\r\n"
