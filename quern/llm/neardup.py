@@ -2,11 +2,13 @@
 
 1. A text's set holds the hashes of its distinct runs of ``width`` words (of the whole sequence, if shorter). Texts with
    equal sets form a class, represented by its smallest id; later steps see representatives only.
-2. A sketch has ``BANDS * ROWS`` registers; each holds, for one hash function's minimum over the set, its leading-zero count
-   (6 bits) and the next 10 bits. ROWS compressed registers packed in a long form a band key.
+2. A sketch has ``BANDS * ROWS`` registers, one for each bucket of hashes (by their first bits). A register holds, of the smallest
+   hash in its bucket, the leading-zero count (6 bits) behind the bucket's bits and the next 10 bits. An empty bucket takes the
+   register of the first filled one in an order of its own. ROWS compressed registers packed in a long form a band key.
 3. Representatives that share a band key form a bucket; buckets with the same members are one. A bucket's
    members are linked where the collision-corrected estimate from their sketches comes near the threshold
-   (``margin`` below it, over four standard deviations), and only a spanning star of each linked part leaves the task.
+   (``margin`` below it, over four standard deviations; any estimate will do for sets of up to ``SMALL`` shingles, which fill few
+   buckets), and only a spanning star of each linked part leaves the task.
 4. Components of these links are clusters of candidates. Each cluster's whole sets meet in one task, and pairs
    are confirmed exactly by counting common shingles through an inverted index. Again only spanning stars leave.
 5. Components of the confirmed links are the groups.
@@ -16,7 +18,7 @@ linked part has untried ones: links among that part can't change the result, and
 So a large group of near copies costs few comparisons, and no link that joins two parts is lost. Buckets and clusters
 beyond a task's size are dealt as pairs of blocks (tiles), so that every pair still meets somewhere.
 
-At similarity 0.8 the probability that two texts share no band is (1 - 0.8**4)**32, below 5e-8.
+At similarity 0.8 the probability that two texts share no band is about (1 - 0.8**4)**32, 5e-8.
 
 Cases: null or empty texts have no shingles and are never linked; ties and copies share a class; rows with null ids
 are counted but not linked (component null, kept true); repeated rows are one document; no rows give no rows.
@@ -37,7 +39,11 @@ from quern.llm.graph import components
 
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
-_FACTORS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+SMALL = 64  # shingles of a set whose estimate isn't used
+_BITS = REGISTERS.bit_length() - 1
+_STARTS = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(64 - _BITS)
+#: for each bucket the order in which it looks for a filled one
+_ORDER = np.argsort(mix(np.arange(1, REGISTERS * REGISTERS + 1, dtype=np.uint64)).reshape(REGISTERS, REGISTERS), axis=1)
 _BANDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 #: chance that two different minima agree in a register: equal leading zeros (about 1/3), then 10 equal bits
 COLLISION = 2.0**-10 / 3
@@ -59,12 +65,18 @@ class Shingles:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Registers: exponent and leading mantissa bits of each hash function's minimum."""
-    least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(shingles), 1024):
-        np.minimum(least, (shingles[a : a + 1024, None] * _FACTORS).min(axis=0), out=least)
+    """Registers of a set that isn't empty: exponent and leading mantissa bits of each bucket's smallest hash."""
+    shingles = np.sort(shingles)
+    first = np.searchsorted(shingles, _STARTS)
+    filled = np.diff(np.append(first, len(shingles))) > 0
+    least = shingles[np.minimum(first, len(shingles) - 1)] << np.uint64(_BITS)
     # a double's exponent is 63 less the leading zeros, its mantissa the bits behind the first one
-    return ((least.astype(np.float64).view(np.uint64) >> np.uint64(42)) & np.uint64(0xFFFF)).astype(np.uint16)
+    out = ((least.astype(np.float64).view(np.uint64) >> np.uint64(42)) & np.uint64(0xFFFF)).astype(np.uint16)
+    empty = np.flatnonzero(~filled)
+    if len(empty):
+        order = _ORDER[empty]
+        out[empty] = out[order[np.arange(len(empty)), filled[order].argmax(axis=1)]]
+    return out
 
 
 def estimate(matches: np.ndarray) -> np.ndarray:
@@ -127,7 +139,7 @@ def _tiles(rows: DataFrame, blocks: str, member: str) -> DataFrame:
     return out.withColumn("i", F.least("b", "other")).withColumn("j", F.greatest("b", "other")).drop("b", "other")
 
 
-def candidate_links(reps: DataFrame, threshold: float, margin: float = 0.18, tile: int = 4096) -> DataFrame:
+def candidate_links(reps: DataFrame, threshold: float, margin: float = 0.18, tile: int = 1024) -> DataFrame:
     """Spanning links (a, b) of representatives (rep, n, sig) whose sketches are near."""
     light = arrow_map(reps.select("rep", "sig"), _bands, "key bigint, rep bigint")
     buckets = light.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
@@ -143,7 +155,7 @@ def candidate_links(reps: DataFrame, threshold: float, margin: float = 0.18, til
             for start, end in zip(cuts, cuts[1:], strict=False):
                 if end - start > 1:
                     s, n = sigs[start:end], sizes[start:end]
-                    part = linked_parts(end - start, lambda x: ((s == s[x]).sum(axis=1) >= need) & (np.minimum(n, n[x]) >= (threshold - 1e-9) * np.maximum(n, n[x])))  # noqa: B023
+                    part = linked_parts(end - start, lambda x: (((s == s[x]).sum(axis=1) >= need) | (np.minimum(n, n[x]) <= SMALL)) & (np.minimum(n, n[x]) >= (threshold - 1e-9) * np.maximum(n, n[x])))  # noqa: B023
                     p, q = _stars(ids[start:end], part)
                     a.append(p)
                     b.append(q)
@@ -204,9 +216,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     base = plain(docs, id_col, text).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     sketches = written(_sketched(base, width))
-    classes = written(sketches.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")))
-    reps = sketches.select(F.col("doc_id").alias("rep"), "h1", "h2", "n", "sig").join(classes, ["rep", "h1", "h2", "n"]).select("rep", "n", "sig")
-    clusters = written(_with_least(components(candidate_links(written(reps), percent / 100))))
+    # a class's row comes with its sketch, so that neither copies nor repeated rows go further
+    classes = sketches.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "sig")).alias("m"))
+    classes = written(classes.select("h1", "h2", "n", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig")))
+    clusters = written(_with_least(components(candidate_links(classes.select("rep", "n", "sig"), percent / 100))))
 
     # whole sets of the clusters' members; their ids are broadcast only where there are few, else the texts are shuffled
     few = clusters.count() <= most_broadcast
@@ -219,7 +232,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     found = written(arrow_iter(inside, sets, "cluster bigint, rep bigint, shingles binary").where(F.octet_length("shingles") > 0))
     groups = components(confirmed_links(found, percent))
-    out = sketches.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").join(groups, F.col("rep") == F.col("node"), "left")
+    out = sketches.select("doc_id", "n", "h1", "h2").join(classes.drop("sig"), ["h1", "h2", "n"], "left").join(groups, F.col("rep") == F.col("node"), "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
