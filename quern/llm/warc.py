@@ -12,8 +12,10 @@ that only runs if there is one. A payload may hold header text too, so candidate
 byte: each split's chains are followed within one task, which leaves one exit per candidate, and pointer jumping
 over the few candidates that some exit hits decides which of them the file's start reaches. All else is rejected.
 
+Joins of tables that grow with the archive are sort-merge joins; only a counted number of repeated payloads and of crossing records is broadcast.
+
 Cases: null payloads are empty; empty payloads are equal payloads too; repeated rows of the smallest id are all
-responses; null ids are written with an empty id and never referred to; truncated records at the end of a file are rejected; an empty folder
+responses; null ids are written without an id and never referred to, an empty id is one like others; truncated records at the end of a file are rejected; an empty folder
 gives no rows. Only the named columns are read.
 """
 
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_iter, arrow_map, new_scratch, plain, written
+from quern.llm.common import arrow_iter, arrow_map, discard, new_scratch, plain, written
 
 MAGIC = b"WARC/1."
 GAP = "\r\n\r\n"
@@ -46,7 +48,7 @@ def planned(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload
     again = keyed.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").drop("last")
     again = written(again)
     # few repeated payloads are broadcast; beyond that the pages are shuffled by digest
-    joined = keyed.join(F.broadcast(again) if again.count() <= most_broadcast else again, ["digest", "bytes"], "left")
+    joined = keyed.join(F.broadcast(again) if again.count() <= most_broadcast else again.hint("merge"), ["digest", "bytes"], "left")
     return joined.select("page_id", "url", "payload", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
 
 
@@ -58,11 +60,10 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str =
         for ident, target, text, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
             data = text.encode("utf-8", "surrogatepass")
             revisit = refers is not None
-            name = "" if ident is None else ident
             head = [
                 "WARC/1.1",
                 f"WARC-Type: {'revisit' if revisit else 'response'}",
-                f"WARC-Record-ID: <urn:page:{name}>",
+                *([] if ident is None else [f"WARC-Record-ID: <urn:page:{ident}>"]),
                 f"WARC-Target-URI: {' '.join((target or '').split())}",
                 "WARC-Date: 1970-01-01T00:00:00Z",
                 f"WARC-Payload-Digest: sha1:{sha1_base32(data)}",
@@ -230,19 +231,22 @@ def verified(candidates: DataFrame) -> DataFrame:
 
     ends = written(keys.groupBy("file", "split").applyInArrow(exits, "file string, split bigint, at bigint, exit bigint"))
     start = ends.where("at = 0").select("file", "at")
-    hit = ends.select("file", F.col("exit").alias("at")).distinct().join(ends.select("file", "at"), ["file", "at"], "left_semi")
-    entries = hit.unionByName(start).distinct().join(ends.select("file", "at", "exit"), ["file", "at"])
+    hit = ends.select("file", F.col("exit").alias("at")).distinct().join(ends.select("file", "at").hint("merge"), ["file", "at"], "left_semi")
+    entries = hit.unionByName(start).distinct().join(ends.select("file", "at", "exit").hint("merge"), ["file", "at"])
     jumps, reached = written(entries.select("file", "at", F.col("exit").alias("to"))), written(start)
-    known = jumps.select("file", "at")
+    first_jumps, known = jumps, jumps.select("file", "at")
     n, before = reached.count(), 0
     while n != before:
         # after r rounds jumps lead 2**r entries ahead and reached holds the first 2**r entries of each file
-        ahead = reached.join(jumps, ["file", "at"]).select("file", F.col("to").alias("at")).join(known, ["file", "at"], "left_semi")
-        reached = written(reached.unionByName(ahead).distinct())
+        ahead = reached.join(jumps.hint("merge"), ["file", "at"]).select("file", F.col("to").alias("at")).join(known.hint("merge"), ["file", "at"], "left_semi")
+        reached, last = written(reached.unionByName(ahead).distinct()), reached
+        discard(last)
         n, before = reached.count(), n
         further = jumps.select("file", F.col("at").alias("to"), F.col("to").alias("beyond"))
-        jumps = written(jumps.join(further, ["file", "to"]).select("file", "at", F.col("beyond").alias("to")))
-    marked = keys.join(reached.withColumn("entry", F.lit(True)), ["file", "at"], "left")
+        jumps, last = written(jumps.join(further.hint("merge"), ["file", "to"]).select("file", "at", F.col("beyond").alias("to"))), jumps
+        if last is not first_jumps:
+            discard(last)
+    marked = keys.join(reached.withColumn("entry", F.lit(True)).hint("merge"), ["file", "at"], "left")
 
     def follow(group: pa.Table) -> pa.Table:
         """The chain from the entry of a split."""
@@ -267,12 +271,12 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     before = lambda c: F.coalesce(F.sum(c).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     # splits of a run follow one with a blank line, and the last one has the next; a header that a split cuts goes on in the run behind that split
     splits = written(sizes.select("file", "split", before("length").alias("base"), F.sum("length").over(W.partitionBy("file")).alias("size"), before("blank").alias("run"), "blank"))
-    placed = scanned.where("kind <> 'l'").join(splits, ["file", "split"])
+    placed = scanned.where("kind <> 'l'").join(splits.hint("merge"), ["file", "split"])
     whole = placed.where("kind = 'c'").drop("run", "blank")
     opened = placed.where("kind = 'o'").select("file", "split", "at", "raw", "base", "size", (F.col("run") + F.col("blank")).alias("run"))
-    leads = scanned.where("kind = 'l'").select("file", "split", "raw").join(splits.select("file", "split", "run", "blank"), ["file", "split"])
+    leads = scanned.where("kind = 'l'").select("file", "split", "raw").join(splits.select("file", "split", "run", "blank").hint("merge"), ["file", "split"])
     leads = leads.select("file", "run", F.struct("split", "blank", "raw").alias("lead"))
-    ahead = opened.join(leads, ["file", "run"]).where("lead.split > split").groupBy("file", "split").agg(*[F.first(c).alias(c) for c in ("at", "raw", "base", "size")], F.sort_array(F.collect_list("lead")).alias("leads"))
+    ahead = opened.join(leads.hint("merge"), ["file", "run"]).where("lead.split > split").groupBy("file", "split").agg(*[F.first(c).alias(c) for c in ("at", "raw", "base", "size")], F.sort_array(F.collect_list("lead")).alias("leads"))
 
     def complete(batch: pa.RecordBatch) -> dict:
         """Headers that a split's end cuts, with the following splits' lines up to the first blank one."""
@@ -291,15 +295,18 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     cut = arrow_map(ahead, complete, SCANNED + ", base bigint, size bigint").select(*whole.columns)
     moved = whole.unionByName(cut).withColumn("at", F.col("at") + F.col("base")).withColumn("body", F.col("body") + F.col("base"))
     found = written(moved.withColumn("next", F.col("body") + F.col("length") + len(GAP)).where("next <= size").drop("kind", "raw", "base", "size"))
-    records = found.join(verified(found), ["file", "at"])
+    records = found.join(verified(found).hint("merge"), ["file", "at"])
+    # an empty payload behind a header that a split cuts has been read already
+    empty = F.col("sha1").isNull() & (F.col("length") == 0)
+    records = records.withColumn("payload", F.when(empty & F.lit(payloads), F.lit(b"")).otherwise(F.col("payload"))).withColumn("sha1", F.when(empty, F.lit(sha1_base32(b""))).otherwise(F.col("sha1")))
     crossing = written(records.where("sha1 IS NULL").select("file", "at", "body", "length"))
     if not crossing.isEmpty():
         late = _crossing(lines, splits, crossing, payloads)
-        records = records.join(late, ["file", "at"], "left").withColumn("sha1", F.coalesce("sha1", "late")).withColumn("payload", F.coalesce("payload", "whole"))
+        records = records.join(late.hint("merge"), ["file", "at"], "left").withColumn("sha1", F.coalesce("sha1", "late")).withColumn("payload", F.coalesce("payload", "whole"))
     return records.select(F.col("page").alias("page_id"), F.col("type").alias("record_type"), F.col("refers").alias("refers_to"), "digest", F.col("bytes").alias("payload_bytes"), "sha1", "payload")
 
 
-def _crossing(lines: DataFrame, splits: DataFrame, records: DataFrame, payloads: bool) -> DataFrame:
+def _crossing(lines: DataFrame, splits: DataFrame, records: DataFrame, payloads: bool, most_broadcast: int = 200_000) -> DataFrame:
     """(file, at, late, whole) of records whose payload crosses splits: at most one for each split's end."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -313,9 +320,19 @@ def _crossing(lines: DataFrame, splits: DataFrame, records: DataFrame, payloads:
                 at += len(v.as_buffer()) + 1
             yield {"file": files, "split": places, "begin": offsets, "value": values}
 
-    numbered = arrow_iter(lines, number, "file string, split bigint, begin bigint, value binary").join(splits.select("file", "split", "base"), ["file", "split"])
-    pieces = numbered.select("file", (F.col("begin") + F.col("base")).alias("begin"), F.concat("value", F.lit(b"\n")).alias("value"))
-    hit = pieces.join(records, "file").where((F.col("begin") < F.col("body") + F.col("length")) & (F.col("begin") + F.octet_length("value") > F.col("body")))
+    # the splits that each payload touches: a file's splits and payload ends in one order give the number of the split at each of these
+    places = splits.select("file", F.col("base").alias("place"), F.lit(1).alias("is_split"), "split", F.lit(None).cast("struct<at:bigint,body:bigint,length:bigint>").alias("record"))
+    marks = [records.select("file", place.alias("place"), F.lit(0).alias("is_split"), F.lit(None).cast("bigint").alias("split"), F.struct("at", "body", "length").alias("record")) for place in (F.col("body"), F.col("body") + F.col("length") - 1)]
+    upto = W.partitionBy("file").orderBy("place", F.desc("is_split")).rowsBetween(W.unboundedPreceding, 0)
+    numbered = places.unionByName(marks[0]).unionByName(marks[1]).withColumn("no", F.sum("is_split").over(upto))
+    touched = numbered.where("is_split = 0").groupBy("file", "record").agg(F.min("no").alias("low"), F.max("no").alias("high"))
+    touched = touched.select("file", "record.*", F.explode(F.sequence("low", "high")).alias("no"))
+    # by (file, split): its base and the payloads that touch it, a few beside those that lie over all of it
+    wanted = written(touched.join(numbered.where("is_split = 1").select("file", "no", "split", F.col("place").alias("base")).hint("merge"), ["file", "no"]).drop("no"))
+    small = wanted.count() <= most_broadcast
+    pieces = arrow_iter(lines, number, "file string, split bigint, begin bigint, value binary")
+    pieces = pieces.join(F.broadcast(wanted) if small else wanted.hint("merge"), ["file", "split"]).select("file", "at", "body", "length", (F.col("begin") + F.col("base")).alias("begin"), F.concat("value", F.lit(b"\n")).alias("value"))
+    hit = pieces.where((F.col("begin") < F.col("body") + F.col("length")) & (F.col("begin") + F.octet_length("value") > F.col("body")))
     gathered = hit.groupBy("file", "at", "body", "length").agg(F.sort_array(F.collect_list(F.struct("begin", "value"))).alias("parts"))
 
     def join(batch: pa.RecordBatch) -> dict:
@@ -339,4 +356,4 @@ def op10_warc(spark, sf_dir: str) -> DataFrame:
     records = read_warc(spark, path, payloads=False)
     kind = pages.schema["page_id"].dataType
     # a response's digest is taken from the payload that was read, a revisit's from its record
-    return records.select(F.nullif("page_id", F.lit("")).cast(kind).alias("page_id"), "payload_bytes", F.when(F.col("record_type") == "response", F.col("sha1")).otherwise(F.col("digest")).alias("payload_digest"), "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    return records.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", F.when(F.col("record_type") == "response", F.col("sha1")).otherwise(F.col("digest")).alias("payload_digest"), "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
