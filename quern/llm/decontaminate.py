@@ -8,7 +8,7 @@ within the budget is found and nothing else is reported.
 
 Texts are compared in lower case with every white space character as a blank, character by character, so positions are
 those of the text. The items are a query set: they are sent in blocks of at most ``block_chars`` characters, each
-of which passes over all documents once.
+of which passes over all documents once; a worker builds a block's automaton once, for all its tasks.
 
 Cases: null and empty texts hold nothing; null items and blank ones are never found, items below min_chars only with
 ``short``, and then exactly, without the blanks around them and on word borders;
@@ -19,6 +19,7 @@ Result: for each document and item it holds, the smallest distance and its first
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -84,6 +85,17 @@ def _bordered(text: str, start: int, end: int) -> bool:
     return not over(start) and not over(end)
 
 
+_last: list = [None, None]
+
+
+def shared_matcher(key: object, items: list[str], limits: tuple) -> Matcher:
+    """The worker's matcher of a block of items: built once for all its tasks, dropped for the next block's."""
+    if _last[0] != key:
+        _last[:] = None, None
+        _last[:] = key, Matcher(items, *limits)
+    return _last[1]
+
+
 class Matcher:
     """Finds items (numbered texts) within their error budgets."""
 
@@ -163,10 +175,10 @@ def blocks(benchmark: DataFrame, item_col: str, item_text: str, min_chars: int,
 
 
 def _search(base: DataFrame, rows: list[tuple], limits: tuple, schema: str) -> DataFrame:
-    sent = base.sparkSession.sparkContext.broadcast(rows)
+    sent, key = base.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        ids, matcher = [r[0] for r in sent.value], Matcher([r[1] for r in sent.value], *limits)
+        ids, matcher = [r[0] for r in sent.value], shared_matcher(key, [r[1] for r in sent.value], limits)
         for batch in batches:
             found = [(i, *hit) for i, t in enumerate(batch.column(1)) for hit in matcher.find(t.as_py())]
             at, item, distance, start, end = zip(*found, strict=True) if found else [()] * 5
@@ -183,10 +195,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.05, min_ch
 
 
 def _keep_clean(docs: DataFrame, rows: list[tuple], limits: tuple, text: str) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast([r[1] for r in rows])
+    sent, key = docs.sparkSession.sparkContext.broadcast([r[1] for r in rows]), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(sent.value, *limits)
+        matcher = shared_matcher(key, sent.value, limits)
         for batch in batches:
             yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in batch.column(text)], pa.bool_()))
 

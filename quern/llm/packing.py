@@ -61,8 +61,9 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # runs are kept here, so the tokenizer's own store only costs time
         if hasattr(self.tokenizer.model, "_resize_cache"):
-            self.tokenizer.model._resize_cache(0)  # runs are kept here, so the tokenizer's own store only costs time
+            self.tokenizer.model._resize_cache(0)
         self.end = np.array([end_id], "<u4").tobytes()
         self.known: dict[str, bytes] = {"": b""}
         self.most = most
@@ -110,22 +111,30 @@ class _Kept:
     IDLE = 3.0
 
     def __init__(self):
-        self.key, self.tokens, self.timer = None, None, None
+        self.key, self.tokens, self.users, self.uses, self.lock = None, None, 0, 0, threading.Lock()
 
     def take(self, *key) -> Tokens:
-        if self.timer is not None:
-            self.timer.cancel()
-        if self.tokens is None or self.key != key:
-            self.key, self.tokens = key, Tokens(*key)
-        return self.tokens
+        with self.lock:
+            self.users, self.uses = self.users + 1, self.uses + 1
+            if self.tokens is None or self.key != key:
+                self.key, self.tokens = key, Tokens(*key)
+            return self.tokens
 
     def rest(self) -> None:
-        self.timer = threading.Timer(self.IDLE, self.drop)
-        self.timer.daemon = True
-        self.timer.start()
+        with self.lock:
+            self.users -= 1
+            timer = threading.Timer(self.IDLE, self.drop, (self.uses,))
+        timer.daemon = True
+        timer.start()
 
-    def drop(self) -> None:
-        self.tokens = None
+    def drop(self, uses: int) -> None:
+        """Only if nothing has been taken since."""
+        with self.lock:
+            if self.uses == uses and not self.users:
+                self.tokens = None
+
+    def __getstate__(self):
+        raise TypeError("a store stays in its worker")
 
 
 _kept = _Kept()
@@ -158,17 +167,19 @@ def tokenised(docs: DataFrame, path: str, end_id: int, window: int, id_col: str,
 
         kept = packing_store()
         task, tokens, ranks = TaskContext.get().partitionId(), kept.take(path, end_id, kept_runs), np.zeros(window + 1, np.int64)
-        for batch in batches:
-            ids, rows = batch.column(0), []
-            for j, data in enumerate(d for some in _portions(batch.column(1)) for d in tokens(some)):
-                n = len(data) // 4
-                for start in range(0, n, window):
-                    length = min(window, n - start)
-                    rows.append((j, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), n, ranks[length]))
-                    ranks[length] += 1
-            at, start, length, crc, n, rank = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else [np.empty(0, np.int64)] * 6
-            yield {"doc_id": ids.take(pa.array(at)), "start": start, "length": length, "ids_crc32": crc, "doc_tokens": n, "task": np.full(len(at), task, np.int32), "rank": rank}
-        kept.rest()
+        try:
+            for batch in batches:
+                ids, rows = batch.column(0), []
+                for j, data in enumerate(d for some in _portions(batch.column(1)) for d in tokens(some)):
+                    n = len(data) // 4
+                    for start in range(0, n, window):
+                        length = min(window, n - start)
+                        rows.append((j, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), n, ranks[length]))
+                        ranks[length] += 1
+                at, start, length, crc, n, rank = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else [np.empty(0, np.int64)] * 6
+                yield {"doc_id": ids.take(pa.array(at)), "start": start, "length": length, "ids_crc32": crc, "doc_tokens": n, "task": np.full(len(at), task, np.int32), "rank": rank}
+        finally:
+            kept.rest()
 
     return arrow_iter(base, run, schema)
 
