@@ -4,7 +4,8 @@ Observations of a line are its speaker marker (if any), its length and a few lin
 roles. Start, transition and emission probabilities are counted (with add-one smoothing) over all lines of known role,
 by aggregation, and frozen; without such lines a default model reads markers only. Viterbi gives the most likely roles.
 
-A conversation is decoded in blocks of ``block`` positions, so that none, however long, must fit a task. Long ones take two
+Lines are sorted by conversation, position and text over all tasks (by ranges, so a long conversation spans several) and decoded
+in blocks of at most ``block`` lines, so that none, however long, must fit a task. Conversations of several blocks take two
 passes: each block is first reduced to its best score from any entering to any leaving role, a conversation's
 few such tables give the roles at its block ends, and the blocks are then decoded between these. That equals decoding the
 whole at once. Ties go to the role that sorts first.
@@ -13,8 +14,8 @@ Rendering: a turn is a run of lines of one role (a marker starts a new one); its
 markers are cut, and the lines' renderings joined in order are the canonical transcript.
 
 Cases: null and empty texts are empty lines; repeated rows (same conversation, position and text) are one line; lines
-of one position are ordered by text; null ids form one conversation, null positions come first; no rows give no rows. Only the
-named columns are read.
+of one position are ordered by text, positions may be negative; a line with a null id or position is a conversation of its own; no rows
+give no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -67,11 +68,33 @@ def default_model() -> RoleModel:
     return RoleModel(roles, np.log([0.2, 0.3, 0.5]), np.log([[0.6, 0.05, 0.35], [0.1, 0.5, 0.4], [0.4, 0.05, 0.55]]), emit)
 
 
-def _cells(lines: DataFrame, block: int, *more: str) -> DataFrame:
-    """Lines dealt by (conversation, block) and sorted."""
-    cut = F.floor(F.coalesce("pos", F.lit(0)) / block).cast("bigint")
-    rows = lines.withColumn("block", cut).withColumn("cell", F.xxhash64("conv", "block"))
-    return rows.repartition("cell").sortWithinPartitions("cell", "conv", "block", "pos", "text", *more)
+def _blocks(lines: DataFrame, block: int, *more: str) -> DataFrame:
+    """lines with the numbers of their blocks, written; numbers ascend with the order of lines."""
+    order = ["conv", "pos", "text", *more]
+    rows = lines.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", block bigint"
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        from pyspark import TaskContext
+
+        at, now, size = TaskContext.get().partitionId() << 32, None, block
+        for batch in batches:
+            numbers = []
+            for c in batch.column("conv").to_pylist():
+                if c != now or size == block:
+                    at, now, size = at + 1, c, 0
+                size += 1
+                numbers.append(at)
+            yield {c: batch.column(c) for c in batch.schema.names} | {"block": numbers}
+
+    return written(arrow_iter(rows, number, schema))
+
+
+def _sorted(blocks: DataFrame, *more: str) -> DataFrame:
+    return blocks.repartition("block").sortWithinPartitions("block", "pos", "text", *more)
+
+
+PLACED = "conv IS NOT NULL AND pos IS NOT NULL"
 
 
 def _lines(rows: DataFrame, conv: str, pos: str, text: str, *more: str) -> DataFrame:
@@ -80,19 +103,21 @@ def _lines(rows: DataFrame, conv: str, pos: str, text: str, *more: str) -> DataF
 
 
 def fit(rows: DataFrame, conv: str = "conv_id", pos: str = "turn", text: str = "text", role: str = "role", block: int = 4096) -> RoleModel:
-    """Counts over all lines whose role isn't null; pairs of lines are counted within blocks."""
+    """Counts over all lines whose role isn't null; pairs of lines are counted within blocks, lines without id or position by themselves."""
     lines = _lines(rows, conv, pos, text, role).withColumnRenamed(role, "role").where("role IS NOT NULL")
+    placed = _blocks(lines.where(PLACED), block, "role")
+    ahead = placed.groupBy("conv").agg(F.min("block").alias("block")).select("block", F.lit(True).alias("first"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         table: dict[tuple, int] = {}
-        for batch, cuts in sorted_groups(batches, ["cell"]):
-            roles, blocks = batch.column("role").to_pylist(), batch.column("block").to_pylist()
+        for batch, cuts in sorted_groups(batches, ["block"]):
+            roles, starts = batch.column("role").to_pylist(), batch.column("first").to_pylist()
             first = set(cuts.tolist())
             for i, (r, t) in enumerate(zip(roles, batch.column("text"), strict=True)):
                 keys = [("emit", r, str(f), str(v)) for f, v in enumerate(features(t.as_py()))]
                 if i not in first:
                     keys.append(("step", roles[i - 1], r, ""))
-                elif blocks[i] == 0:
+                elif starts[i]:
                     keys.append(("start", r, "", ""))
                 for k in keys:
                     table[k] = table.get(k, 0) + 1
@@ -100,7 +125,10 @@ def fit(rows: DataFrame, conv: str = "conv_id", pos: str = "turn", text: str = "
             kind, a, b, c = zip(*table, strict=True)
             yield {"kind": kind, "a": a, "b": b, "c": c, "n": list(table.values())}
 
-    counted = arrow_iter(_cells(lines, block, "role"), count, "kind string, a string, b string, c string, n bigint").groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n")).collect()
+    grouped = _sorted(placed.join(ahead, "block", "left").select("block", "pos", "text", "role", "first"), "role")
+    alone = lines.where(f"NOT ({PLACED})").select(F.monotonically_increasing_id().alias("block"), "pos", "text", "role", F.lit(True).alias("first"))
+    each = [arrow_iter(x, count, "kind string, a string, b string, c string, n bigint") for x in (grouped, alone)]
+    counted = each[0].unionAll(each[1]).groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n")).collect()
     roles = sorted({r.a for r in counted if r.kind == "emit"})
     if not roles:
         return default_model()
@@ -134,20 +162,21 @@ def viterbi(emissions: np.ndarray, start: np.ndarray, step: np.ndarray, last: in
 def assign_roles(rows: DataFrame, model: RoleModel, conv: str = "conv_id", pos: str = "turn", text: str = "text", block: int = 4096) -> DataFrame:
     """conv, pos, text, role, starts_turn and rendered for every line."""
     lines = _lines(rows, conv, pos, text)
-    sent = rows.sparkSession.sparkContext.broadcast((model, block))
-    cells = _cells(lines, block)
-    many = written(lines.groupBy("conv").agg(F.max("pos").alias("most")).where(F.col("most") >= block).select(F.col("conv").alias("long")))
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    blocks = _blocks(lines.where(PLACED), block)
+    numbers = written(blocks.groupBy("conv", "block").agg(F.count("*").alias("n")))
+    many = numbers.groupBy("conv").agg(F.count("*").alias("n")).where("n > 1")
+    long = written(numbers.join(many, "conv", "left_semi").select("block"))
     conv_type = lines.schema["conv"].dataType.simpleString()
-    ends_schema = f"conv {conv_type}, block bigint, enter int, leave int"
-    if many.isEmpty():
-        ends = None
-    else:
-        tables = arrow_iter(_cells(lines.join(many, lines["conv"].eqNullSafe(many["long"]), "left_semi"), block), lambda b: _tables(b, sent.value[0]), f"conv {conv_type}, block bigint, table array<double>")
+    ends_schema = "block bigint, enter int, leave int"
+    placed = blocks.withColumn("enter", F.lit(None).cast("int")).withColumn("leave", F.lit(None).cast("int"))
+    if not long.isEmpty():
+        tables = arrow_iter(_sorted(blocks.join(long, "block", "left_semi")), lambda b: _tables(b, sent.value), f"conv {conv_type}, block bigint, table array<double>")
         schema = to_arrow(ends_schema)
         states = len(model.roles)
 
         def link(group: pa.Table) -> pa.Table:
-            """Roles at the block ends of one conversation: a row for every block positions."""
+            """Roles at the block ends of one conversation."""
             order = np.argsort(group.column("block").to_numpy())
             tables = [np.array(group.column("table")[int(i)].as_py()).reshape(states + 1, states) for i in order]
             score, back = tables[0][states], []
@@ -159,23 +188,18 @@ def assign_roles(rows: DataFrame, model: RoleModel, conv: str = "conv_id", pos:
             for b in reversed(back):
                 leave.append(int(b[leave[-1]]))
             leave.reverse()
-            blocks = group.column("block").to_numpy()[order]
-            return pa.table([group.column("conv").take(pa.array(order)).combine_chunks(), pa.array(blocks, pa.int64()), pa.array([-1, *leave[:-1]], pa.int32()), pa.array(leave, pa.int32())], schema=schema)
+            return pa.table([pa.array(group.column("block").to_numpy()[order], pa.int64()), pa.array([-1, *leave[:-1]], pa.int32()), pa.array(leave, pa.int32())], schema=schema)
 
         ends = written(written(tables).groupBy("conv").applyInArrow(link, ends_schema))
-
-    # a row for each block of a long conversation; the others have none
-    placed = cells.withColumn("enter", F.lit(None).cast("int")).withColumn("leave", F.lit(None).cast("int"))
-    if ends is not None:
-        ends = ends.toDF("e_conv", "e_block", "enter", "leave")
-        joined = cells.join(ends, cells["conv"].eqNullSafe(ends["e_conv"]) & (cells["block"] == ends["e_block"]), "left")
-        placed = joined.repartition("cell").sortWithinPartitions("cell", "conv", "block", "pos", "text")
-    return arrow_iter(placed.select("cell", "conv", "block", "pos", "text", "enter", "leave"), lambda b: _decoded(b, sent.value[0]), f"conv {conv_type}, pos bigint, text string, role string, starts_turn boolean, rendered string")
+        placed = blocks.join(ends, "block", "left")  # a row for each block of a long conversation; the others have none
+    columns, schema = ("block", "conv", "pos", "text", "enter", "leave"), f"conv {conv_type}, pos bigint, text string, role string, starts_turn boolean, rendered string"
+    alone = lines.where(f"NOT ({PLACED})").select(F.monotonically_increasing_id().alias("block"), "conv", "pos", "text", F.lit(None).cast("int").alias("enter"), F.lit(None).cast("int").alias("leave"))
+    return arrow_iter(_sorted(placed.select(*columns)), lambda b: _decoded(b, sent.value), schema).unionAll(arrow_iter(alone, lambda b: _decoded(b, sent.value), schema))
 
 
 def _tables(batches: Iterator[pa.RecordBatch], model: RoleModel) -> Iterator[dict]:
     """Each block's best scores: rows for each entering role (the previous line's) and one for a conversation's start."""
-    for batch, cuts in sorted_groups(batches, ["cell"]):
+    for batch, cuts in sorted_groups(batches, ["block"]):
         texts, out = batch.column("text").to_pylist(), []
         for a, b in zip(cuts, cuts[1:], strict=False):
             e = model.emissions(texts[a:b])
@@ -188,7 +212,7 @@ def _tables(batches: Iterator[pa.RecordBatch], model: RoleModel) -> Iterator[dic
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], model: RoleModel) -> Iterator[dict]:
-    for batch, cuts in sorted_groups(batches, ["cell"]):
+    for batch, cuts in sorted_groups(batches, ["block"]):
         texts, enter, leave = (batch.column(c).to_pylist() for c in ("text", "enter", "leave"))
         roles, starts, rendered = [], [], []
         for a, b in zip(cuts, cuts[1:], strict=False):

@@ -38,6 +38,24 @@ def test_nearest_equals_brute_force(spark):
     assert nearest.nearest(df.limit(0), asked.limit(0)).count() == 0
 
 
+def test_repeated_rows_and_huge_components(spark):
+    rng = np.random.default_rng(16)
+    rows = [(i, (rng.normal(size=8) * 10.0 ** rng.choice([-160, -3, 0, 150, 152])).tolist()) for i in range(200)]
+    rows += [rows[7]] * 500 + [(5, rows[9][1]), (300, [1e160] * 8), (301, [1e160] * 8), (305, [1e200, -1e200] * 4)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for cells in ({}, {"query_cell": 30, "candidate_cell": 60, "tile": 16}):
+        got = nearest.nearest(df, df.where("vec_id % 5 = 0"), k=20, **cells).collect()
+        expected = {}
+        for i, a in {(i, tuple(a)) for i, a in rows if i % 5 == 0}:
+            with np.errstate(all="ignore"):
+                scored = [(float(np.cumsum(np.array(a) * b)[-1]), j) for j, b in rows if j != i]
+            scored = sorted((-s if s == s else np.inf, j) for s, j in scored)[:20]
+            expected.setdefault(i, []).append([(r, j, -s) for r, (s, j) in enumerate(scored, 1)])
+        for i, lists in expected.items():
+            own = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == i)
+            assert own == sorted(x for part in lists for x in part), i
+
+
 def test_bounds_hold_their_products():
     rng = np.random.default_rng(7)
     a, b = (nearest.Quantised(np.arange(50), rng.normal(size=(50, 16)) * scale) for scale in (1, 1e6))
@@ -208,6 +226,25 @@ def test_blocks_equal_decoding_the_whole(spark):
     assert chat.assign_roles(df.limit(0), model).count() == 0
 
 
+def test_lines_anywhere_are_decoded(spark):
+    """Negative positions, many lines of one position, repeated rows, lines without an id or a position."""
+    texts = ["User: hi", "ok", "assistant: yes", "more words here", "Really?"]
+    rows = [(1, p, texts[p % 5]) for p in range(-9, 9)] + [(2, 3, f"line {i}") for i in range(300)] + [(1, 0, texts[0])] * 500
+    rows += [(None, p, "User: a") for p in range(40)] + [(3, None, f"go {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string")
+    model = chat.default_model()
+    for block in (4096, 4):
+        got = chat.assign_roles(df, model, block=block).collect()
+        assert len(got) == len(set(rows))
+        own = sorted((r.pos, r.role, r.starts_turn) for r in got if r.conv == 1)
+        best = chat.viterbi(model.emissions([texts[p % 5] for p in range(-9, 9)]), model.start, model.step)
+        assert [r for _, r, _ in own] == [model.roles[s] for s in best]
+        assert all(r.starts_turn for r in got if r.conv is None or r.pos is None)
+        best = chat.viterbi(model.emissions(sorted(f"line {i}" for i in range(300))), model.start, model.step)
+        assert [r.role for r in sorted((r for r in got if r.conv == 2), key=lambda r: r.text)] == [model.roles[s] for s in best]
+    assert chat.fit(df.withColumn("role", F.lit("user"))).roles == ["user"]
+
+
 def test_viterbi_equals_enumeration():
     import itertools
 
