@@ -9,10 +9,15 @@ reach with their upper bound; the pairs that do are recomputed in double precisi
 merged into the query's heap of k. Nothing else is dropped, so the result is exact, ties to the smaller id included.
 
 A pair of cells gives one heap for each query, not a row for each tile; a query's heaps are then merged by a
-window that limits each group before the shuffle. Equal vectors of a cell are computed once, and only as many of their smallest ids as can be in a result are kept.
+window that limits each group before the shuffle. Equal rows are one row with a count before they are dealt, as no more of them than k can be in a result; equal vectors
+of a cell are computed once, and only as many of their smallest ids as can be in a result are kept.
+
+Cells are sized in bytes, so each candidate goes to ceil(queries / query cell) tasks: the rows shuffled grow with the product, as the products do.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no part, and vectors of different
-lengths don't meet; a query's own row (same id) is no candidate; repeated ids are one candidate each time; fewer candidates than k are all returned;
+lengths don't meet; a query's own row (same id) is no candidate; repeated ids are one candidate each time; an id with two vectors asks
+with both, each with its own ranks; fewer candidates than k are all returned;
+where products leave the range of doubles the bounds give way and the exact sums decide, infinite ones tied, those that are no number last;
 null ids take no part; empty input gives no rows. Only the named columns are read.
 """
 
@@ -41,15 +46,13 @@ class Quantised:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.scale = np.abs(vectors).max(axis=1) / 127
-        codes = np.rint(vectors / self.scale[:, None]).astype(np.int8)
+        self.scale = np.maximum(np.abs(vectors).max(axis=1) / 127, np.finfo(float).tiny)
+        unit = vectors / self.scale[:, None]
+        codes = np.rint(unit).astype(np.int8)
         # sums of products of codes are integers that float32 holds exactly up to 1040 dimensions
         self.codes = codes.astype(np.float32 if vectors.shape[1] <= 1040 else np.float64)
-        near = codes * self.scale[:, None]
-        slack = 1 + 1e-9
-        self.error = np.sqrt(((vectors - near) ** 2).sum(axis=1)) * slack
-        self.length = np.sqrt((vectors**2).sum(axis=1)) * slack
-        self.near_length = np.sqrt((near**2).sum(axis=1)) * slack
+        norm = lambda x: np.sqrt((x * x).sum(axis=1)) * self.scale * (1 + 1e-9)
+        self.error, self.length, self.near_length = norm(unit - codes), norm(unit), norm(codes.astype(float))
 
 
 class Heaps:
@@ -61,18 +64,23 @@ class Heaps:
 
     def tile(self, c: Quantised) -> None:
         q, k = self.q, self.k
-        middle = (q.codes @ c.codes.T).astype(np.float64) * q.scale[:, None] * c.scale[None, :]
-        slack = q.error[:, None] * c.length[None, :] + q.near_length[:, None] * c.error[None, :] + 1e-9 * q.length[:, None] * c.length[None, :]
-        lower = middle - slack
+        with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+            middle = (q.codes @ c.codes.T).astype(np.float64) * q.scale[:, None] * c.scale[None, :]
+            slack = q.error[:, None] * c.length[None, :] + q.near_length[:, None] * c.error[None, :] + 1e-9 * q.length[:, None] * c.length[None, :] + 1e-300
+            lower, upper = middle - slack, middle + slack
+        wild = ~(np.isfinite(lower) & np.isfinite(upper))
+        lower[wild], upper[wild] = -np.inf, np.inf
         own = q.ids[:, None] == c.ids[None, :]
         lower[own] = -np.inf
         floor = np.array([h[0][0] if len(h) == k else -np.inf for h in self.heaps])
         if c.ids.size > k:
             floor = np.maximum(floor, -np.partition(-lower, k - 1, axis=1)[:, k - 1])
-        at, other = np.nonzero((middle + slack >= floor[:, None]) & ~own)
+        at, other = np.nonzero((upper >= floor[:, None]) & ~own)
         for a in range(0, len(at), 65536):  # pairs recomputed at a time
             i, j = at[a : a + 65536], other[a : a + 65536]
-            scores = np.cumsum(q.vectors[i] * c.vectors[j], axis=1)[:, -1]  # summed from the first component on, as SQL does
+            with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+                scores = np.cumsum(q.vectors[i] * c.vectors[j], axis=1)[:, -1]  # summed from the first component on, as SQL does
+            scores[np.isnan(scores)] = -np.inf
             for row, score, ident in zip(i.tolist(), scores.tolist(), c.ids[j].tolist(), strict=True):
                 heap = self.heaps[row]
                 if len(heap) < k:
@@ -81,7 +89,7 @@ class Heaps:
                     heapq.heapreplace(heap, (score, -ident))
 
 
-def _unique(ids: np.ndarray, vectors: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+def _unique(ids: np.ndarray, vectors: np.ndarray, keep: int) -> np.ndarray:
     """Of equal vectors only the rows of the keep smallest ids: no result of keep - 1 neighbours and the query itself needs more."""
     _, group = np.unique(vectors.view([("", vectors.dtype)] * vectors.shape[1]).ravel(), return_inverse=True)
     order = np.lexsort((ids, group))
@@ -89,27 +97,38 @@ def _unique(ids: np.ndarray, vectors: np.ndarray, keep: int) -> tuple[np.ndarray
     new_group = np.concatenate(([True], g[1:] != g[:-1]))
     new_id = np.cumsum(new_group | np.concatenate(([True], i[1:] != i[:-1])))
     rank = new_id - np.repeat(new_id[new_group], np.diff(np.append(np.flatnonzero(new_group), len(order))))
-    chosen = np.sort(order[rank < keep])
-    return ids[chosen], vectors[chosen]
+    return np.sort(order[rank < keep])
+
+
+QUERY_BYTES, CANDIDATE_BYTES = 8 << 20, 32 << 20  # of a cell's vectors
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", query_cell: int = 4096, candidate_cell: int = 16384, tile: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", query_cell: int | None = None, candidate_cell: int | None = None, tile: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: for each query its k rows of vectors with the largest inner product.
 
-    Queries and candidates are dealt by hash to cells of about the given sizes; each query cell meets each candidate cell.
+    Queries and candidates are dealt by hash to cells of about the given numbers of rows (else of bounded bytes); each query cell meets each candidate cell.
     """
-    rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col).distinct()
-    q_cells, c_cells = max(1, -(-asked.count() // query_cell)), max(1, -(-rows.count() // candidate_cell))
+    rows = usable(vectors, id_col, vector_col).groupBy("id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
+    asked = usable(queries, id_col, vector_col).distinct()
+    n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    query_cell = query_cell or max(256, QUERY_BYTES // (8 * (dim or 1)))
+    # no fewer candidate cells than can be worked on at once, as long as they aren't small
+    at_once = min(vectors.sparkSession.sparkContext.defaultParallelism, -(-n // 4096))
+    q_cells = max(1, -(-asked.count() // query_cell))
+    c_cells = max(1, -(-n // (candidate_cell or max(1024, CANDIDATE_BYTES // (8 * (dim or 1))))), 1 if candidate_cell else -(-at_once // q_cells))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     cell = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
     left = asked.select("id", "v", F.size("v").alias("dim"), cell(q_cells).alias("q"), every(c_cells).alias("c"))
-    right = rows.select("id", "v", F.size("v").alias("dim"), cell(c_cells).alias("c"), every(q_cells).alias("q"))
+    right = rows.select("id", "v", "times", F.size("v").alias("dim"), cell(c_cells).alias("c"), every(q_cells).alias("q"))
     target = to_arrow(FOUND)
 
     def join(_, a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return target.empty_table()
-        own, other = _matrix(a), _unique(*_matrix(b), k + 1)
+        own, other = _matrix(a), _matrix(b)
+        chosen = _unique(*other, k + 1)
+        chosen = np.repeat(chosen, b.column("times").to_numpy()[chosen])
+        other = other[0][chosen], other[1][chosen]
         out = []
         tiles = [Quantised(other[0][t : t + 2 * tile], other[1][t : t + 2 * tile]) for t in range(0, len(other[0]), 2 * tile)]
         for s in range(0, len(own[0]), tile):
