@@ -3,11 +3,13 @@
 Patterns (kinds assign, access, hex) are matched over the whole text, leftmost and non-overlapping per kind; a match
 that is too short is dropped but still uses up its text. Kind ``guess`` are values after a credential word (a wider
 list than the pattern's) whose guess cost is at least ``min_log10_guesses``: a dynamic programme finds the
-cheapest segmentation of the value into common words (also with look-alike characters or capitals), dates, repeated
+cheapest segmentation of the value into dictionary words (also with look-alike characters or capitals), dates, repeated
 units, character sequences, keyboard walks and brute-force spans, where a segmentation costs the product of its parts' guesses
-times the factorial of their number. A value that isn't reported may be the credential word of the next one. Nothing else tells values from prose, so
-a word of eight letters or more that isn't among the common ones is reported behind a credential word. Values of any length are searched for a segmentation below the bound, which is exact and takes time in
-proportion to the value.
+times the factorial of their number. A value that isn't reported may be the credential word of the next one. Values of any length
+are searched for a segmentation below the bound, which is exact and takes time in proportion to the value.
+
+The dictionary is the common words of passwords, then the words of the corpus itself by how often they occur (``dictionary``), which
+tells values from prose: runs of 3 to 20 letters that stand in a share of all documents, without those right behind a credential word.
 
 Cases: null and empty texts have no spans (counts 0, the hash of the empty text); overlapping kinds are all
 reported; repeated rows alike; ids pass through, null or not; only the named columns are read.
@@ -47,12 +49,12 @@ COMMON = (
     "banana apple cherry flower garden silver golden purple yellow green black white blue red one two three four five six seven eight nine ten"
 ).split()
 RANK = {w: j + 1 for j, w in enumerate(COMMON)}
+_LEAST, _MOST = 3, 20  # letters of a dictionary word
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d|(?:19|20)\d\d)")
 
 _KEYS = {c: (y, 2 * x + y) for y, row in enumerate(KEYBOARD) for x, c in enumerate(row)}
-_LONGEST = max(map(len, COMMON))
 
 
 def _adjacent(a: str, b: str) -> bool:
@@ -64,76 +66,11 @@ def _alphabet(value: str) -> int:
     return 10 * any(c.isdigit() for c in value) + 26 * any("a" <= c <= "z" for c in value) + 26 * any("A" <= c <= "Z" for c in value) + 33 * any(not c.isalnum() for c in value)
 
 
-def parts(value: str) -> list[tuple[int, int, str, float]]:
-    """Candidate segments (start, end, what, log10 of guesses) besides brute force."""
-    low, n, out = value.lower(), len(value), []
-    plainer = low.translate(LOOKALIKES)
-    for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            exact, alike = RANK.get(low[i:j]), RANK.get(plainer[i:j])
-            if exact or alike:
-                upper = sum(c.isupper() for c in value[i:j])
-                cost = math.log10(exact or alike) + (0 if exact else 1) + (0 if not upper else 0.3 if upper in (1, j - i) else 1.5)
-                out.append((i, j, "word", cost))
-        for m in (DATE.match(value, i),):
-            if m:
-                out.append((i, m.end(), "date", math.log10(365 * 120) if m.end() - i > 4 else math.log10(120)))
-        for unit in range(1, (n - i) // 2 + 1):  # as often as it repeats
-            times = 1
-            while value.startswith(value[i : i + unit], i + times * unit):
-                times += 1
-            if times > 1 and unit * times >= 3:
-                base = unit * math.log10(max(10, _alphabet(value[i : i + unit])))
-                out.append((i, i + unit * times, "repeat", base + math.log10(times)))
-        j = i + 1
-        step = ord(low[j]) - ord(low[i]) if j < n else 0
-        while j < n and step in (-1, 1) and ord(low[j]) - ord(low[j - 1]) == step:
-            j += 1
-        if j - i >= 3:
-            out.append((i, j, "sequence", math.log10(26 * (j - i))))
-        j = i + 1
-        while j < n and _adjacent(low[j - 1], low[j]):
-            j += 1
-        if j - i >= 4:
-            out.append((i, j, "walk", math.log10(47) + 0.5 * (j - i)))
-    return out
-
-
-def guess_cost(value: str, max_value: int = 128) -> tuple[float, list[tuple[int, int, str]]]:
-    """log10 of the guesses of the cheapest segmentation, and that segmentation."""
-    n, per = len(value), math.log10(max(10, _alphabet(value)))
-    if n > max_value:
-        return n * per, [(0, n, "brute")]
-    by_end: list[list] = [[] for _ in range(n + 1)]
-    for i, j, what, cost in parts(value):
-        by_end[j].append((i, what, max(0.05, cost)))
-    for j in range(1, n + 1):
-        by_end[j] += [(i, "brute", (j - i) * per) for i in range(j)]
-    # best[j][m]: cheapest way to cover value[:j] with m segments; no two brute-force spans side by side
-    best: list[dict] = [{} for _ in range(n + 1)]
-    best[0][0] = (0.0, None)
-    most = min(n, 12)
-    for j in range(1, n + 1):
-        for i, what, cost in by_end[j]:
-            for m, (so_far, last) in best[i].items():
-                if m < most and not (what == "brute" and last is not None and last[2] == "brute"):
-                    total = so_far + cost
-                    if m + 1 not in best[j] or total < best[j][m + 1][0]:
-                        best[j][m + 1] = (total, (i, m, what))
-    m = min(best[n], key=lambda m: best[n][m][0] + math.log10(math.factorial(m)))
-    cost, out, j = best[n][m][0] + math.log10(math.factorial(m)), [], n
-    while j:
-        i, before, what = best[j][m][1]
-        out.append((i, j, what))
-        j, m = i, before
-    return cost, out[::-1]
-
-
 class _Segments:
-    """The segments of ``parts`` that cost less than a bound, by their start; starts must be asked for in ascending order."""
+    """Candidate segments besides brute force that cost less than a bound, by their start; starts must be asked for in ascending order."""
 
-    def __init__(self, value: str, below: float):
-        self.value, self.low, self.below = value, value.lower(), below
+    def __init__(self, value: str, below: float, rank: dict[str, int]):
+        self.value, self.low, self.below, self.rank = value, value.lower(), below, rank
         self.plainer, self.ends = self.low.translate(LOOKALIKES), {}
 
     def _end(self, key: object, i: int, first: int, goes_on: Callable[[int], bool]) -> int:
@@ -146,65 +83,108 @@ class _Segments:
             self.ends[key] = j
         return j
 
-    def of(self, i: int) -> list[tuple[int, float]]:
-        """(end, log10 of guesses)"""
-        value, low, n, out = self.value, self.low, len(self.value), []
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            exact, alike = RANK.get(low[i:j]), RANK.get(self.plainer[i:j])
-            if exact or alike:
-                upper = sum(c.isupper() for c in value[i:j])
-                out.append((j, math.log10(exact or alike) + (0 if exact else 1) + (0 if not upper else 0.3 if upper in (1, j - i) else 1.5)))
+    def of(self, i: int) -> list[tuple[int, str, float]]:
+        """(end, what, log10 of guesses)"""
+        value, low, rank, n, out = self.value, self.low, self.rank, len(self.value), []
+        if len(low) == n:  # a letter whose lower case is longer has no place here
+            for j in range(i + _LEAST, min(n, i + _MOST) + 1):
+                exact, alike = rank.get(low[i:j]), rank.get(self.plainer[i:j])
+                if exact or alike:
+                    upper = sum(c.isupper() for c in value[i:j])
+                    out.append((j, "word", math.log10(exact or alike) + (0 if exact else 1) + (0 if not upper else 0.3 if upper in (1, j - i) else 1.5)))
+        else:
+            low = value
         if m := DATE.match(value, i):
-            out.append((m.end(), math.log10(365 * 120) if m.end() - i > 4 else math.log10(120)))
+            out.append((m.end(), "date", math.log10(365 * 120) if m.end() - i > 4 else math.log10(120)))
         for unit in range(1, (n - i) // 2 + 1):
             if unit >= self.below:  # each character costs 1 at least
                 break
             times = (self._end(unit, i, i + unit, lambda j: value[j] == value[j - unit]) - i) // unit  # noqa: B023
             if times > 1 and unit * times >= 3:
-                out.append((i + unit * times, unit * math.log10(max(10, _alphabet(value[i : i + unit]))) + math.log10(times)))
+                out.append((i + unit * times, "repeat", unit * math.log10(max(10, _alphabet(value[i : i + unit]))) + math.log10(times)))
         step = ord(low[i + 1]) - ord(low[i]) if i + 1 < n else 0
         if step in (-1, 1):
             j = self._end(("sequence", step), i, i + 1, lambda j: ord(low[j]) - ord(low[j - 1]) == step)
             if j - i >= 3:
-                out.append((j, math.log10(26 * (j - i))))
+                out.append((j, "sequence", math.log10(26 * (j - i))))
         j = self._end("walk", i, i + 1, lambda j: _adjacent(low[j - 1], low[j]))
         if j - i >= 4:
-            out.append((j, math.log10(47) + 0.5 * (j - i)))
-        return [(j, max(0.05, cost)) for j, cost in out if cost < self.below]
+            out.append((j, "walk", math.log10(47) + 0.5 * (j - i)))
+        return [(j, what, max(0.05, cost)) for j, what, cost in out if cost < self.below]
+
 
+def _cheapest(value: str, below: float, rank: dict[str, int]) -> tuple[float, tuple] | None:
+    """The cheapest segmentation that costs less than below, and its parts as a chain from the last one; None without one.
 
-def guessable(value: str, below: float) -> bool:
-    """Whether some segmentation of value, however long it is, costs less than below: the DP of ``guess_cost`` over the ways that still can."""
-    n, per, segments = len(value), math.log10(max(10, _alphabet(value))), _Segments(value, below)
+    Only ways that can still stay below the bound are followed, so with a fixed bound the time is in proportion to the value.
+    """
+    n, per, segments = len(value), math.log10(max(10, _alphabet(value))), _Segments(value, below, rank)
     orders = [0.0]  # log10 of m!
-    reached: dict[int, dict[int, float]] = {0: {0: 0.0}}  # cheapest way to cover value[:j] with m segments
-    spans: dict[int, tuple[int, float]] = {}  # by m: the start of the cheapest open brute-force span, and the cost up to there
+    reached: dict[int, dict[int, tuple[float, tuple]]] = {0: {0: (0.0, ())}}  # cheapest way to cover value[:j] with m parts
+    spans: dict[int, tuple[int, float, tuple]] = {}  # by m: the start of the cheapest open brute-force span, the cost up to there
     for j in range(n + 1):
         here = reached.pop(j, {})
-        for m, (i, so_far) in list(spans.items()):
+        for m, (i, so_far, chain) in list(spans.items()):
             cost = so_far + (j - i) * per
             if cost + orders[m + 1] >= below:
                 del spans[m]
-            elif cost < here.get(m + 1, math.inf):
-                here[m + 1] = cost
+            elif m + 1 not in here or cost < here[m + 1][0]:
+                here[m + 1] = cost, (chain, i, j, "brute")
         if j == n:
-            return any(cost + orders[m] < below for m, cost in here.items())
+            ends = [(cost + orders[m], chain) for m, (cost, chain) in here.items() if cost + orders[m] < below]
+            return min(ends, key=lambda x: x[0]) if ends else None
         if not here and not spans and not reached:
-            return False
+            return None
         follow = segments.of(j) if here else []
-        for m, cost in here.items():
+        for m, (cost, chain) in here.items():
             while len(orders) <= m + 2:
                 orders.append(orders[-1] + math.log10(len(orders)))
-            if m not in spans or cost < spans[m][1] + (j - spans[m][0]) * per:
-                spans[m] = (j, cost)
-            for end, more in follow:
+            if not (chain and chain[3] == "brute") and (m not in spans or cost < spans[m][1] + (j - spans[m][0]) * per):
+                spans[m] = (j, cost, chain)
+            for end, what, more in follow:
                 total = cost + more
-                if total + orders[m + 1] < below and total < reached.setdefault(end, {}).get(m + 1, math.inf):
-                    reached[end][m + 1] = total
-    return False
+                if total + orders[m + 1] < below:
+                    ways = reached.setdefault(end, {})
+                    if m + 1 not in ways or total < ways[m + 1][0]:
+                        ways[m + 1] = total, (chain, j, end, what)
+
+
+def guess_cost(value: str, rank: dict[str, int] = RANK) -> tuple[float, list[tuple[int, int, str]]]:
+    """log10 of the guesses of the cheapest segmentation, and that segmentation: (start, end, what)."""
+    brute = len(value) * math.log10(max(10, _alphabet(value)))
+    found = _cheapest(value, brute, rank) if value else None
+    if found is None:
+        return brute, [(0, len(value), "brute")] if value else []
+    out, chain = [], found[1]
+    while chain:
+        chain, *part = chain
+        out.append(tuple(part))
+    return found[0], out[::-1]
+
+
+def guessable(value: str, below: float, rank: dict[str, int] = RANK) -> bool:
+    """Whether some segmentation of value, however long it is, costs less than below."""
+    return _cheapest(value, below, rank) is not None
+
+
+_VALUE = r"(?:pass|pwd|secret|token|key|auth|bearer|credential)[\p{L}\p{N}_-]{0,12}[\"']?\x20{0,4}(?:[:=]|=>|\x20is\x20|\x20)\x20{0,4}[\"']?[^\s\"'<>,;]+"
+
+
+def dictionary(docs: DataFrame, text: str = "text", most: int = 20_000, least_share: float = 1e-4, least_docs: int = 5) -> dict[str, int]:
+    """Ranks of words: the common ones of passwords, then the ``most`` most frequent words (letters only) of docs that occur in
+    least_share of all documents, and in least_docs at least. Words right behind a credential word don't count.
+
+    Counted over all texts on the executors; the driver gets at most ``most`` words.
+    """
+    base = plain(docs, text).toDF("t").where("t IS NOT NULL")
+    found = F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.lower("t"), _VALUE, " "), F.lit(r"(?<![\p{L}\p{N}_])\p{L}{%d,%d}(?![\p{L}\p{N}_])" % (_LEAST, _MOST)), F.lit(0)))
+    counted = base.select(F.explode(found).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    least = max(least_docs, math.ceil(least_share * base.count()))
+    words = [r.w for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(most).collect()]
+    return RANK | {w: len(RANK) + j for j, w in enumerate((w for w in words if w not in RANK), 1)}
 
 
-def scan(text: str | None, min_log10_guesses: float = 10.0) -> list[tuple[int, int, str]]:
+def scan(text: str | None, min_log10_guesses: float = 10.0, rank: dict[str, int] = RANK) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) by start, then kind."""
     if not text:
         return []
@@ -214,7 +194,7 @@ def scan(text: str | None, min_log10_guesses: float = 10.0) -> list[tuple[int, i
         m = CONTEXT.search(text)
         while m:
             value = m[1].rstrip(".)]}")
-            secret = len(value) >= 8 and not guessable(value, min_log10_guesses)
+            secret = len(value) >= 8 and not guessable(value, min_log10_guesses, rank)
             if secret:
                 found.append((m.start(1), m.start(1) + len(value), "guess"))
             # a value that is no secret may be a credential word itself
@@ -225,14 +205,15 @@ def scan(text: str | None, min_log10_guesses: float = 10.0) -> list[tuple[int, i
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def find_secrets(docs: DataFrame, text: str = "text", min_log10_guesses: float = 10.0) -> DataFrame:
-    """docs with secrets: an array of (start, end, kind), code points with the end exclusive."""
+def find_secrets(docs: DataFrame, text: str = "text", min_log10_guesses: float = 10.0, rank: dict[str, int] | None = None) -> DataFrame:
+    """docs with secrets: an array of (start, end, kind), code points with the end exclusive. rank: a dictionary, else that of docs."""
+    sent = docs.sparkSession.sparkContext.broadcast(dictionary(docs, text) if rank is None else rank)
     kept = [c for c in docs.columns if c != "secrets"]
     base = docs.select(*[docs[c] for c in kept])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + ["secrets array<struct<start:int,end:int,kind:string>>"])
 
     def step(batch: pa.RecordBatch) -> dict:
-        spans = [[{"start": a, "end": b, "kind": k} for a, b, k in scan(t, min_log10_guesses)] for t in values(batch.column(text))]
+        spans = [[{"start": a, "end": b, "kind": k} for a, b, k in scan(t, min_log10_guesses, sent.value)] for t in values(batch.column(text))]
         return {c: batch.column(c) for c in batch.schema.names} | {"secrets": spans}
 
     return arrow_map(base, step, schema)
@@ -254,12 +235,13 @@ def redacted(text: str | None, spans: list[tuple[int, int, str]], placeholder: s
     return "".join(out) + text[at:]
 
 
-def redact(docs: DataFrame, text: str = "text", placeholder: str = "[secret]", min_log10_guesses: float = 10.0) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", placeholder: str = "[secret]", min_log10_guesses: float = 10.0, rank: dict[str, int] | None = None) -> DataFrame:
     """docs with their secrets replaced."""
+    sent = docs.sparkSession.sparkContext.broadcast(dictionary(docs, text) if rank is None else rank)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def step(batch: pa.RecordBatch) -> dict:
-        return {c: batch.column(c) for c in batch.schema.names} | {text: [redacted(t, scan(t, min_log10_guesses), placeholder) for t in values(batch.column(text))]}
+        return {c: batch.column(c) for c in batch.schema.names} | {text: [redacted(t, scan(t, min_log10_guesses, sent.value), placeholder) for t in values(batch.column(text))]}
 
     return arrow_map(docs, step, schema)
 
