@@ -12,7 +12,8 @@ Votes are weighted by a power of the similarity and by the class's sampling rate
 votes of the examples (copies of an example's vector left out with it) turns them into calibrated scores.
 
 Cases: null and empty texts, and texts without any term of the vocabulary, get the calibrated score of an empty
-vote; without labelled rows of both classes every score is the base rate (0 without any); conflicting labels of one
+vote; an id with several rows is one example, that of its smallest text; equal examples are numbered by id, whatever their labels;
+without labelled rows of both classes every score is the base rate (0 without any); conflicting labels of one
 id count as the larger; null labels and ids teach nothing; repeated rows are scored alike. Only the named columns are read.
 """
 
@@ -180,7 +181,8 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_examples: i
     picks = [ranked.where(F.col("y") == y).orderBy("r", "i").limit(max_examples) for y in (0, 1)]
     picked = written(picks[0].unionAll(picks[1]).select("i", "y"))  # at most twice max_examples rows, so it can be broadcast
     texts = plain(docs, "doc_id", "text").toDF("i", "t")
-    examples = written(texts.join(F.broadcast(picked), "i").select("i", "y", "t"))
+    # an example is one row however often its id is repeated
+    examples = written(texts.join(F.broadcast(picked), "i").groupBy("i", "y").agg(F.min("t").alias("t")))
 
     chosen = {r.y: r.n for r in examples.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = chosen.get(0, 0), chosen.get(1, 0)
@@ -217,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_examples: i
     rows = arrow_map(examples, lambda batch: _example_terms(batch, sent.value), "i string, y int, terms array<int>, n array<int>").collect()
     weights = (totals.get(0, 0) / n0, totals.get(1, 0) / n1)
     model = ToxicityModel(vocabulary, idf, empty, np.empty(0, int), weights, base, k, shrink, power)
-    pairs = [(r.y, model.vector(dict(zip(r.terms, r.n, strict=True)))) for r in sorted(rows, key=lambda r: (r.terms, r.n, r.y, r.i))]
+    pairs = [(r.y, model.vector(dict(zip(r.terms, r.n, strict=True)))) for r in sorted(rows, key=lambda r: (r.terms, r.n, r.i))]
     model.labels = np.array([y for y, _ in pairs])
     model.index = BlockMaxIndex.build([v for _, v in pairs], len(vocabulary))
 
