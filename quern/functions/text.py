@@ -82,26 +82,33 @@ def first_section(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
 
 
+_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 #: fixed values: date spellings
 DATES = (
-    r"\d{4}-\d{2}-\d{2}",
-    r"\d{1,2}/\d{1,2}/\d{4}",
-    r"(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}",
-    r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{4}",
-    r"Q[1-4]\s+\d{4}",
-    r"\b(?:19|20)\d{2}\b",
+    r"\b(\d{4}-\d{2}-\d{2})\b",
+    r"\b(\d{4}/\d{2}/\d{2})\b",
+    rf"\b((?:{_MONTHS})\s+\d{{1,2}},?\s+\d{{4}})\b",
+    rf"\b(\d{{1,2}}\s+(?:{_MONTHS})\s+\d{{4}})\b",
+    r"\b(Q[1-4]\s+\d{4})\b",
+    r"\b(\d{4})\b",
 )
 
 
 def dates(text: Column) -> Column:
-    """All spellings of dates in a text, pattern by pattern, repeated ones once."""
-    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in DATES])))
+    """All spellings of dates in a text, pattern by pattern, as often as they occur."""
+    return F.flatten(F.array(*[F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(1)) for p in DATES]))
 
 
 def date_key(text: Column) -> Column:
-    """A sortable date: ISO, slash, month names, quarter, year; null if none fits."""
-    plain = F.regexp_replace(text, ",", "")
-    quarter = F.concat(F.regexp_extract(text, r"Q[1-4]\s+(\d{4})", 1), F.lit("-"), F.lpad((F.regexp_extract(text, r"Q([1-4])", 1).try_cast("int") * 3 - 2).cast("string"), 2, "0"), F.lit("-01"))
-    tries = [F.try_to_timestamp(text, F.lit("yyyy-MM-dd")), F.try_to_timestamp(text, F.lit("M/d/yyyy")), F.try_to_timestamp(plain, F.lit("MMMM d yyyy")), F.try_to_timestamp(plain, F.lit("MMM yyyy"))]
-    named = [F.try_to_timestamp(quarter, F.lit("yyyy-MM-dd")), F.try_to_timestamp(F.when(text.rlike(r"^\d{4}$"), text), F.lit("yyyy"))]
-    return F.coalesce(*tries, *named).cast("date")
+    """A sortable date: ISO, slashes, month names, the start of a quarter or of the year that comes first; null if none fits."""
+    named = F.initcap(text)
+    quarter = F.concat(F.regexp_extract(text, r"^[Qq]\d\s+(\d{4})", 1), F.lit("-"), F.lpad((F.regexp_extract(text, r"^[Qq](\d)", 1).try_cast("int") * 3 - 2).cast("string"), 2, "0"), F.lit("-01"))
+    tries = [F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd", "yyyy/MM/dd")]
+    tries += [F.try_to_timestamp(named, F.lit(f)) for f in ("MMMM d, yyyy", "MMMM d yyyy", "d MMMM yyyy")]
+    tries += [F.try_to_timestamp(quarter, F.lit("yyyy-MM-dd")), F.try_to_timestamp(F.regexp_extract(text, r"^(\d{4})", 1), F.lit("yyyy"))]
+    return F.coalesce(*tries).cast("date")
+
+
+def source_type(document_id: Column) -> Column:
+    low = F.lower(document_id)
+    return F.when(F.startswith(low, F.lit("eip-")), "eip").when(F.contains(low, F.lit("magicians")) | F.contains(low, F.lit("forum")), "forum").when(F.contains(low, F.lit("research")), "research").otherwise("document")

@@ -90,16 +90,18 @@ def bounded_search(edges: DataFrame, root: int, least: float = 0.7, depth: int =
     return seen.where("depth > 0").select("id", "depth", "confidence")
 
 
-def edge_confidence(similarity: Column, evidence: Column, community: Column, recency: Column, evidence_count: Column, reasoning: Column) -> Column:
-    """0.4 evidence (with bonuses for counts and reasoning) + 0.25 similarity + 0.2 community + 0.15 recency."""
-    bonus = F.least(evidence_count * 0.05, F.lit(0.2)) + F.when(reasoning, 0.1).otherwise(0.0)
-    return 0.4 * F.least(evidence + bonus, F.lit(1.0)) + 0.25 * similarity + 0.2 * community + 0.15 * recency
+def edge_confidence(similarity: Column, evidence: Column, community: Column, recency: Column, evidence_count: Column, reasoning_length: Column) -> Column:
+    """0.4 evidence (with bonuses for counts and length of reasoning) + 0.25 similarity + 0.2 community + 0.15 recency; null or 0 counts as 0.5 in the last three."""
+    half = lambda x: F.coalesce(F.nullif(x.cast("double"), F.lit(0.0)), F.lit(0.5))
+    bonus = F.least(evidence_count * 0.05, F.lit(0.2)) + F.least(reasoning_length / 500, F.lit(0.1))
+    total = 0.4 * F.least(evidence + bonus, F.lit(1.0)) + 0.25 * half(similarity) + 0.2 * half(community) + 0.15 * half(recency)
+    return F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))
 
 
 def calibrated(confidence: Column, negative: Column, positive: Column, positives: int, total: int) -> Column:
-    """Known negatives times 0.3, known positives times 1.2 up to 1, others by the share of positives."""
-    factor = 0.8 + 0.4 * (positives / total if total else 0.5)
-    return F.least(F.when(negative, confidence * 0.3).when(positive, confidence * 1.2).otherwise(confidence * factor), F.lit(1.0))
+    """Known negatives times 0.3, known positives times 1.2 up to 1, others by the share of positives (unchanged without known ones)."""
+    factor = 0.8 + 0.4 * (positives / total) if total else 1.0
+    return F.when(negative, confidence * 0.3).when(positive, F.least(confidence * 1.2, F.lit(1.0))).otherwise(confidence * factor)
 
 
 def co_mentions(mentions: DataFrame, source: str, target: str) -> DataFrame:

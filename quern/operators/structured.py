@@ -7,24 +7,39 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 
-PRO = (r"(?i)(?:advantage|benefit|improves?|enables?)\s+(?:is|of|that|the)?\s*([^.!?]{20,})", r"(?i)(?:in favou?r of|supports?)\s+([^.!?]{20,})")
-CON = (r"(?i)(?:disadvantage|drawback|risk|concern)\s+(?:is|of|that|the)?\s*([^.!?]{20,})", r"(?i)(?:against|opposes?)\s+([^.!?]{20,})")
+# fixed values: patterns of arguments for and against
+PRO = (r"(?:benefit|advantage|pro|support|favor)[\s:]+([^.]+\.)", r"(?:improves?|enables?|allows?)[\s]+([^.]+\.)")
+CON = (r"(?:drawback|disadvantage|con|against|concern)[\s:]+([^.]+\.)", r"(?:risks?|issues?|problems?)[\s:]+([^.]+\.)")
+# fixed values: the order of strengths
+STRENGTH = {"strong": 3, "moderate": 2, "weak": 1}
 
 
 def timeline(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, found, day): dated events in order of day, unknown days last."""
+    """(key, found, day): dated events in order of day, unknown days last; a spelling that occurs twice is two events."""
     found = texts.select(key, F.explode(T.dates(F.col(text))).alias("found"))
     return found.withColumn("day", T.date_key(F.col("found"))).orderBy(F.asc_nulls_last("day"), key, "found")
 
 
 def positions(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, side, claim) of pro and con patterns."""
+    """(key, n, side, claim, strength) of pro and con patterns, pattern by pattern; claims of over 20 characters, all of moderate strength."""
 
     def of(side: str, pattern: str) -> F.Column:
-        return F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)), lambda c: F.struct(F.lit(side).alias("side"), F.trim(c).alias("claim")))
+        return F.transform(F.regexp_extract_all(F.col(text), F.lit("(?i)" + pattern), F.lit(1)), lambda c: F.struct(F.lit(side).alias("side"), F.trim(c).alias("claim")))
 
-    parts = [of(side, p) for side, ps in (("pro", PRO), ("con", CON)) for p in ps]
-    return texts.select(key, F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("p")).select(key, "p.side", "p.claim")
+    parts = F.filter(F.flatten(F.array(*[of(side, p) for side, ps in (("pro", PRO), ("con", CON)) for p in ps])), lambda x: F.length(x["claim"]) > 20)
+    return texts.select(key, F.posexplode(parts).alias("n", "p")).select(key, "n", "p.side", "p.claim", F.lit("moderate").alias("strength"))
+
+
+def strength_order(strength: F.Column) -> F.Column:
+    """3 to 1 from strong to weak; unknown ones count as moderate."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in STRENGTH.items() for x in kv])[strength], F.lit(2))
+
+
+def argument_summary(arguments: DataFrame, key: str) -> DataFrame:
+    """Counts of sides, and the strongest claim of each by (strength, n)."""
+    best = lambda side: F.min_by(F.when(F.col("side") == side, F.col("claim")), F.when(F.col("side") == side, F.struct(-strength_order(F.col("strength")), F.col("n"))))
+    counts = [F.count_if(F.col("side") == x).alias(x) for x in ("pro", "con", "neutral")]
+    return arguments.groupBy(key).agg(*counts, best("pro").alias("best_pro"), best("con").alias("best_con"))
 
 
 def comparison(cells: DataFrame, entities: list[str], feature: str = "feature", entity: str = "entity", value: str = "value") -> DataFrame:

@@ -65,16 +65,16 @@ register(
 
 
 def _expanded(spark, d):
-    from quern.plans.scoring import asked
+    from quern.plans.phrases import asked
 
     names = spark.createDataFrame([(1559, ["fee market", "pros"]), (20, ["chain", "evolve"])], "number int, names array<string>")
     return S.expand(asked(spark, d), names, "o_orderkey").select("o_orderkey", F.array_join(F.col("numbers").cast("array<string>"), ",").alias("numbers"))
 
 
 def _expansion_sql() -> str:
-    from quern.plans.scoring import _ASKED
+    from quern.plans.phrases import ASKED
 
-    return f"""WITH {_ASKED} SELECT o_orderkey, array_to_string(list_concat(e, list_filter(n, lambda x: NOT list_contains(e, x))), ',') AS numbers FROM (SELECT o_orderkey, list_sort(list_distinct(list_transform(regexp_extract_all(q, '(?i)eip[- ]?(\\d+)', 1), lambda x: x::INTEGER))) AS e,
+    return f"""WITH {ASKED} SELECT o_orderkey, array_to_string(list_concat(e, list_filter(n, lambda x: NOT list_contains(e, x))), ',') AS numbers FROM (SELECT o_orderkey, list_sort(list_distinct(list_transform(regexp_extract_all(q, '(?i)eip[- ]?(\\d+)', 1), lambda x: x::INTEGER))) AS e,
   list_concat(CASE WHEN contains(lower(q), 'chain') OR contains(lower(q), 'evolve') THEN [20] ELSE [] END, CASE WHEN contains(lower(q), 'fee market') OR contains(lower(q), 'pros') THEN [1559] ELSE [] END) AS n FROM q)"""
 
 

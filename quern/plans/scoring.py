@@ -8,16 +8,13 @@ from quern.functions import scoring as S
 from quern.functions import text as T
 from quern.operators import experiments as X
 from quern.plans.catalog import register, table
+from quern.plans.phrases import ASKED, asked, sql_any, sql_sum
 
 WEIGHTS = [("a", 0.5), ("b", 0.3), ("c", 0.2)]
 _BUCKET = "(('0x' || left(sha256(user_id::VARCHAR), 8))::UBIGINT % 1000)::DOUBLE / 1000"
 _VARIANT = f"CASE WHEN {_BUCKET} < 0.5::DOUBLE THEN 'a' WHEN {_BUCKET} < 0.8::DOUBLE THEN 'b' ELSE 'c' END"
 
 
-def _sum(patterns, text):
-    return " + ".join(f"regexp_matches({text}, '(?i){p}')::INTEGER" for p in patterns)
-
-
 register(
     "sco_ab_assignment",
     lambda s, d: table(s, d, "events").select("event_id", S.bucket(F.col("user_id").cast("string")).alias("bucket"), S.variant(S.bucket(F.col("user_id").cast("string")), WEIGHTS).alias("variant")),
@@ -74,12 +71,29 @@ register(
   r AS (SELECT *, sum(f) OVER (PARTITION BY user_id, island ORDER BY ts, event_id)::BIGINT AS failures FROM i)
   SELECT event_id, failures, max((failures >= 3)::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 AS open FROM r""",
 )
+def _damaged(spark, d):
+    """Documents, some with marks of bad extraction behind them."""
+    bad = F.when(F.col("doc_id") % 5 == 0, F.repeat(F.lit("\ufffd"), 13)).when(F.col("doc_id") % 5 == 1, F.repeat(F.lit(S.MOJIBAKE[0] + " " + S.MOJIBAKE[3]), 4)).when(F.col("doc_id") % 5 == 2, F.repeat(F.lit("\x01"), 40))
+    bad = F.coalesce(bad.otherwise(F.when(F.col("doc_id") % 5 == 3, F.repeat(F.lit(" bcdfgh |||||   #####"), 60))), F.lit(""))
+    return table(spark, d, "documents").select("doc_id", F.concat("text", bad).alias("text"))
+
+
+_DAMAGED = f"""t AS (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN repeat('\ufffd', 13) WHEN 1 THEN repeat('{S.MOJIBAKE[0]} {S.MOJIBAKE[3]}', 4) WHEN 2 THEN repeat(chr(1), 40) WHEN 3 THEN repeat(' bcdfgh |||||   #####', 60) ELSE '' END AS text FROM documents)"""
+_PAIRS = " + ".join(f"(length(text) - length(replace(text, '{m}', ''))) // {len(m)}" for m in S.MOJIBAKE)
 register(
     "sco_encoding_quality",
-    lambda s, d: table(s, d, "documents").select("doc_id", F.round(S.encoding_quality(F.col("text")), 6).alias("quality")),
-    r"SELECT doc_id, CASE WHEN length(text) = 0 THEN 0.0 ELSE round(greatest(0.0, 1 - (len(regexp_extract_all(text, '\x{fffd}')) * 10 + len(regexp_extract_all(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]')) * 5 + len(regexp_extract_all(text, '\x{c3}[\x{80}-\x{bf}]|\x{e2}\x{20ac}')) * 5) / length(text)), 6) END::DOUBLE AS quality FROM documents",
+    lambda s, d: _damaged(s, d).select("doc_id", F.round(S.encoding_quality(F.col("text")), 6).alias("quality")),
+    f"""WITH {_DAMAGED}, c AS (SELECT doc_id, length(text) - length(replace(text, '\ufffd', '')) AS r, len(regexp_extract_all(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]')) AS k, {_PAIRS} AS m FROM t)
+  SELECT doc_id, round(greatest(0.0, 1 - CASE WHEN r > 10 THEN least(0.3, r / 100) ELSE 0 END - CASE WHEN k > 10 THEN least(0.2, k / 100) ELSE 0 END - CASE WHEN m > 5 THEN least(0.2, m / 50) ELSE 0 END), 6)::DOUBLE AS quality FROM c""",
+)
+_MARKS = " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in S.ARTIFACTS)
+register(
+    "sco_text_quality",
+    lambda s, d: _damaged(s, d).select("doc_id", F.round(S.text_quality(F.col("text")), 6).alias("quality")),
+    f"""WITH {_DAMAGED}, c AS (SELECT doc_id, ({_MARKS}) / length(text) * 1000 AS r, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) / length(text) * 100 AS w, len(regexp_extract_all(lower(text), '[bcdfghjklmnpqrstvwxz]{{6,}}')) AS g, regexp_split_to_array(text, '[.!?]+') AS s FROM t WHERE length(text) > 0)
+  SELECT doc_id, round(greatest(0.0, 1 - (CASE WHEN r > 10 THEN least(0.3, r / 100) ELSE 0 END + CASE WHEN w < 10 THEN 0.2 WHEN w > 25 THEN 0.1 ELSE 0 END + CASE WHEN g > 5 THEN 0.2 ELSE 0 END + CASE WHEN len(list_filter(s, lambda x: len(regexp_extract_all(x, '\\S+')) BETWEEN 11 AND 99 AND regexp_matches(x, '[a-zA-Z]'))) / len(s) < 0.3 THEN 0.2 ELSE 0 END)), 6)::DOUBLE AS quality FROM c
+  UNION ALL SELECT doc_id, 0.0 FROM t WHERE length(text) = 0""",
 )
-register("sco_text_quality", lambda s, d: table(s, d, "documents").select("doc_id", F.round(S.text_quality(F.col("text")), 6).alias("quality")), None)
 
 
 def _confidence(spark, d):
@@ -93,51 +107,55 @@ register(
     _confidence,
     """WITH h AS (SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds, avg(value / 1000) AS relevance, avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.5 END::DOUBLE) AS authority FROM events GROUP BY user_id),
   s AS (SELECT user_id, 0.4::DOUBLE * relevance + 0.2::DOUBLE * (kinds / 5) + 0.2::DOUBLE * CASE WHEN kinds <= 1 THEN 0.2::DOUBLE ELSE least(1.5::DOUBLE * kinds / n, 1.0) END + 0.2::DOUBLE * authority AS s, n FROM h), r AS (SELECT user_id, round(least(CASE WHEN n < 3 THEN s * n / 3 ELSE s END, 1.0), 6) AS score FROM s)
-  SELECT user_id, score, CASE WHEN score >= 0.85 THEN 'proceed' WHEN score >= 0.7 THEN 'proceed_with_caution' WHEN score >= 0.5 THEN 'expand_search' ELSE 'insufficient' END AS recommendation FROM r""",
+  SELECT user_id, score, CASE WHEN score >= 0.85 THEN 'High confidence - single model response should be sufficient' WHEN score >= 0.7 THEN 'Good confidence - consider ensemble for critical queries' WHEN score >= 0.5 THEN 'Moderate confidence - ensemble recommended for better coverage' ELSE 'Low confidence - ensemble strongly recommended; consider query reformulation' END AS recommendation FROM r""",
 )
 
-# queries: sentences about the orders' keys, one template for each remainder
-_TEMPLATES = ["What is EIP-{a}?", "Compare EIP-{a} and EIP-{b}", "How did EIP-{a} evolve over time?", "Which chain of proposals depends on EIP-{a} and how do they relate to EIP-{b}?", "Show the pros and cons of EIP-{a}", "What does EIP-{a} require?"]
-
-
-def asked(spark, d):
-    out = None
-    for j, t in enumerate(_TEMPLATES):
-        a, rest = t.split("{a}")
-        parts = [F.lit(a), F.col("o_orderkey"), *([F.lit(rest)] if "{b}" not in rest else [F.lit(rest.split("{b}")[0]), F.col("o_custkey"), F.lit(rest.split("{b}")[1])])]
-        out = F.when(F.col("o_orderkey") % 6 == j, F.concat(*parts)) if out is None else out.when(F.col("o_orderkey") % 6 == j, F.concat(*parts))
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey", out.alias("q"))
-
-
-_ASKED = "q AS (SELECT o_orderkey, o_custkey, CASE o_orderkey % 6 " + " ".join(f"WHEN {j} THEN replace(replace('{t}', '{{a}}', o_orderkey::VARCHAR), '{{b}}', o_custkey::VARCHAR)" for j, t in enumerate(_TEMPLATES)) + " END AS q FROM orders)"
-_MENTIONS = "len(list_distinct(regexp_extract_all(q, '(?i)eip[- ]?(\\d+)', 1)))"
-_CLASS = f"CASE WHEN ({_sum(S.MULTI_HOP, 'q')}) >= 1 AND {_MENTIONS} >= 2 OR ({_sum(S.MULTI_HOP, 'q')}) >= 2 THEN 'multi_hop' WHEN ({_sum(S.COMPARISON, 'q')}) > 0 OR ({_sum(S.EVOLUTION, 'q')}) > 0 OR ({_sum(S.MULTI_ENTITY, 'q')}) > 0 OR {_MENTIONS} >= 2 THEN 'complex' ELSE 'simple' END"
-register("sco_query_classification", lambda s, d: asked(s, d).select("o_orderkey", S.query_class(F.col("q"), F.size(T.numbers(F.col("q")))).alias("kind")), f"WITH {_ASKED} SELECT o_orderkey, {_CLASS} AS kind FROM q")
+_MENTIONS = "len(regexp_extract_all(lower(q), 'eip-?\\d+'))"
+_COUNTS = f"n AS (SELECT *, {sql_sum(S.COMPARISON, 'lower(q)')} AS c, {sql_sum(S.EVOLUTION, 'lower(q)')} AS e, {sql_sum(S.MULTI_HOP, 'lower(q)')} AS h, {_MENTIONS} AS m FROM q)"
+CLASSIFIED = f"""{ASKED}, {_COUNTS}, k AS (SELECT o_orderkey, o_custkey, q, h, c, e, m, CASE WHEN h >= 1 OR (m >= 2 AND (c > 0 OR e > 0)) THEN 'multi_hop' WHEN c > 0 OR e > 0 OR m >= 2 THEN 'complex' ELSE 'simple' END AS kind FROM n),
+  classified AS (SELECT *, round(CASE kind WHEN 'multi_hop' THEN least(0.7::DOUBLE + h * 0.1::DOUBLE, 0.95) WHEN 'complex' THEN least(0.6::DOUBLE + (c + e + m) * 0.1::DOUBLE, 0.9) ELSE 0.8 END, 6)::DOUBLE AS confidence, CASE kind WHEN 'multi_hop' THEN greatest(2, m + 1) WHEN 'complex' THEN greatest(2, m) ELSE 1 END::INTEGER AS sub_questions FROM k)"""
+register(
+    "sco_query_classification",
+    lambda s, d: asked(s, d).select("o_orderkey", S.classified(F.col("q")).alias("k")).select("o_orderkey", "k.*"),
+    f"WITH {CLASSIFIED} SELECT o_orderkey, kind, confidence, sub_questions, kind <> 'simple' AS decompose FROM classified",
+)
 
 
 def _routed(spark, d):
-    kind = S.query_class(F.col("q"), F.size(T.numbers(F.col("q"))))
-    rows = asked(spark, d).withColumn("kind", kind).withColumn("tier", S.tier(F.col("kind"), F.col("o_custkey") * 100, (F.col("o_custkey") % 10) / 10))
+    rows = asked(spark, d).withColumn("kind", S.query_class(F.col("q"))).withColumn("tier", S.tier(F.col("kind"), F.col("o_custkey") * 100, (F.col("o_custkey") % 10) / 10))
+    tokens_in = F.col("o_custkey") * 100 + F.size(F.filter(F.split("q", r"\s+"), lambda w: w != "")) * 2
     tokens_out = F.when(F.col("kind") == "simple", 500).when(F.col("kind") == "complex", 1500).otherwise(2500)
-    return rows.select("o_orderkey", "tier", F.round(S.cost(F.col("tier"), F.col("o_custkey").cast("double"), tokens_out.cast("double")), 8).alias("cost"))
+    return rows.select("o_orderkey", "tier", F.round(S.cost(F.col("tier"), tokens_in.cast("double"), tokens_out.cast("double")), 8).alias("cost"))
 
 
 register(
     "sco_tier_routing_cost",
     _routed,
-    f"""WITH {_ASKED}, k AS (SELECT o_orderkey, o_custkey, {_CLASS} AS kind FROM q), t AS (SELECT *, CASE WHEN kind = 'simple' THEN CASE WHEN o_custkey * 100 > 50000 OR o_custkey % 10 < 5 THEN 'balanced' ELSE 'fast' END WHEN kind = 'complex' THEN 'balanced' ELSE 'powerful' END AS tier, CASE kind WHEN 'simple' THEN 500 WHEN 'complex' THEN 1500 ELSE 2500 END AS o FROM k)
-  SELECT o_orderkey, t.tier, round(o_custkey::DOUBLE / 1000 * a + o::DOUBLE / 1000 * b, 8) AS cost FROM t JOIN (VALUES ('fast', 0.0008::DOUBLE, 0.004::DOUBLE), ('balanced', 0.003::DOUBLE, 0.015::DOUBLE), ('powerful', 0.015::DOUBLE, 0.075::DOUBLE)) p(tier, a, b) ON p.tier = t.tier""",
-)
-_OUT = {n: " + ".join(f"contains(lower(q), '{i}')::INTEGER" for i in w) for n, w in S.OUTPUTS.items()}
-register(
-    "sco_output_type",
-    lambda s, d: asked(s, d).select("o_orderkey", S.output_type(F.col("q")).alias("type")),
-    f"WITH {_ASKED}, s AS (SELECT o_orderkey, {', '.join(f'{e} AS {n}' for n, e in _OUT.items())} FROM q) SELECT o_orderkey, CASE greatest(timeline, argument_map, comparison, dependency) WHEN timeline THEN 'timeline' WHEN argument_map THEN 'argument_map' WHEN comparison THEN 'comparison' ELSE 'dependency' END AS type FROM s",
+    f"""WITH {CLASSIFIED}, t AS (SELECT *, CASE WHEN kind = 'simple' THEN CASE WHEN o_custkey * 100 > 50000 OR o_custkey % 10 < 5 THEN 'balanced' ELSE 'fast' END WHEN kind = 'complex' THEN 'balanced' ELSE 'powerful' END AS tier, CASE kind WHEN 'simple' THEN 500 WHEN 'complex' THEN 1500 ELSE 2500 END AS o,
+  o_custkey * 100 + 2 * len(regexp_extract_all(q, '\\S+')) AS i FROM classified)
+  SELECT o_orderkey, t.tier, round(i::DOUBLE / 1000 * a + o::DOUBLE / 1000 * b, 8) AS cost FROM t JOIN (VALUES ('fast', 0.0008::DOUBLE, 0.004::DOUBLE), ('balanced', 0.003::DOUBLE, 0.015::DOUBLE), ('powerful', 0.015::DOUBLE, 0.075::DOUBLE)) p(tier, a, b) ON p.tier = t.tier""",
 )
+_NUMBERED = "len(regexp_extract_all(lower(q), 'eip[- ]?\\d+'))"
+_OUT = {n: " + ".join(f"contains(lower(q), '{i}')::INTEGER * {1 + S.BONUS.get(i, 0)}" for i in w) for n, w in S.OUTPUTS.items()}
+_OUT["comparison"] += f" + CASE WHEN {_NUMBERED} >= 2 THEN 3 ELSE 0 END"
+_OUT["dependency"] += f" + CASE WHEN {_NUMBERED} = 1 AND {sql_any(S.DEPENDS, 'lower(q)')} THEN 3 ELSE 0 END"
+OUTPUT_TYPES = f"s AS (SELECT o_orderkey, q, {', '.join(f'{e} AS {n}' for n, e in _OUT.items())} FROM q), types AS (SELECT o_orderkey, q, CASE greatest(timeline, argument_map, comparison, dependency) WHEN timeline THEN 'timeline' WHEN argument_map THEN 'argument_map' WHEN comparison THEN 'comparison' ELSE 'dependency' END AS type FROM s)"
+register("sco_output_type", lambda s, d: asked(s, d).select("o_orderkey", S.output_type(F.col("q")).alias("type")), f"WITH {ASKED}, {OUTPUT_TYPES} SELECT o_orderkey, type FROM types")
+
+
+def _enforced(spark, d):
+    """Sentences as claims; every third one is cited."""
+    claims = table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence")).withColumn("has", F.col("n") % 3 == F.col("doc_id") % 3)
+    out = claims.groupBy("doc_id").agg(F.count("*").alias("claims"), F.count_if("has").alias("cited"), F.count_if(~F.col("has") & S.needs_citation(F.col("sentence"))).alias("uncited_factual"))
+    return out.withColumn("compliant", S.compliant(F.col("claims"), F.col("cited"), F.col("uncited_factual"), 0.3))
+
+
+_FACTUAL = f"(length(s) >= 20 AND {sql_sum(S.NOT_FACTUAL, 's')} = 0 AND ({sql_sum(S.FACTUAL, 's')} > 0 OR {sql_any(S.TECHNICAL, 'lower(s)')}))"
 register(
     "sco_citation_enforcement",
-    lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence")).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.count_if(S.needs_citation(F.col("sentence"))).alias("factual")),
-    f"WITH s AS (SELECT doc_id, trim(unnest(regexp_extract_all(text, '[^.!?]+[.!?]+')), ' ') AS s FROM documents) SELECT doc_id, count(*) AS sentences, count(*) FILTER (length(s) >= 20 AND ({_sum(S.NOT_FACTUAL, 's')}) = 0 AND ({_sum([p.replace(chr(39), chr(39) * 2) for p in S.FACTUAL], 's')}) > 0) AS factual FROM s GROUP BY doc_id",
+    _enforced,
+    f"""WITH l AS (SELECT doc_id, regexp_extract_all(text, '[^.!?]+[.!?]+') AS l FROM documents), s AS (SELECT doc_id, i - 1 AS n, trim(l[i], ' ') AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM l)),
+  g AS (SELECT doc_id, count(*) AS claims, count(*) FILTER (n % 3 = doc_id % 3) AS cited, count(*) FILTER (n % 3 <> doc_id % 3 AND {_FACTUAL}) AS uncited_factual FROM s GROUP BY doc_id) SELECT *, cited / claims >= 0.3 AND uncited_factual <= claims * 0.1 AS compliant FROM g""",
 )
 
 
