@@ -151,6 +151,10 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001), (5, 5)], "a bigint, b bigint")
     found = {r.node: r.component for r in graph.components(links).collect()}
     assert found == {i: 0 for i in range(1, 201)} | {1001: 1000}
+    star = spark.createDataFrame([(500, i) for i in range(0, 400)] + [(600, i) for i in range(700, 900)] + [(399, 450)], "a bigint, b bigint")
+    for hub in (1000, 10):
+        found = {r.node: r.component for r in graph.components(star, hub=hub).collect()}
+        assert found == {i: 0 for i in (*range(1, 400), 450, 500)} | {i: 600 for i in range(700, 900)}
     assert graph.components(links.limit(0)).count() == 0
 
 
