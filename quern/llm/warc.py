@@ -41,7 +41,7 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def planned(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, most_broadcast: int = 200_000) -> DataFrame:
+def planned(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, most_broadcast: int = 20_000) -> DataFrame:
     """(page_id, url, payload, refers_to): refers_to is null for responses."""
     base = plain(pages, id_col, url, payload).toDF("page_id", "url", "payload").withColumn("payload", F.coalesce(F.col("payload").cast("string"), F.lit("")))
     keyed = base.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload"))
