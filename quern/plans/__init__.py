@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["retrieval", "graph", "tables", "text", "scoring", "dedup", "evidence", "control", "small", "understanding"]
+_MODULES = ["retrieval", "graph", "tables", "text", "scoring", "dedup", "evidence", "control", "small", "understanding", "claims"]
 
 
 def load():

@@ -60,7 +60,7 @@ register(
     "evi_timeline",
     _timeline,
     """WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%B %-d, %Y') AS a, 'Q' || quarter(o_orderdate) || ' ' || year(o_orderdate) AS b, year(o_orderdate)::VARCHAR AS y, o_orderdate FROM orders)
-  SELECT o_orderkey, a AS found, o_orderdate::DATE::VARCHAR AS day FROM o UNION ALL SELECT o_orderkey, b, (date_trunc('quarter', o_orderdate)::DATE)::VARCHAR FROM o UNION ALL SELECT o_orderkey, y, y || '-01-01' FROM o""",
+  SELECT o_orderkey, a AS found, o_orderdate::DATE::VARCHAR AS day FROM o UNION ALL SELECT o_orderkey, b, (date_trunc('quarter', o_orderdate)::DATE)::VARCHAR FROM o UNION ALL SELECT o_orderkey, y, y || '-01-01' FROM o, range(2)""",
 )
 
 

@@ -102,15 +102,15 @@ register(
 
 def _calibrated(spark, d):
     e = edges(spark, d)
-    c = G.edge_confidence((F.col("src") % 10) / 10, (F.col("dst") % 7) / 7, (F.col("src") % 3) / 3, (F.col("dst") % 4) / 4, F.col("src") % 6, F.col("dst") % 2 == 0)
+    c = G.edge_confidence((F.col("src") % 10) / 10, (F.col("dst") % 7) / 7, (F.col("src") % 3) / 3, (F.col("dst") % 4) / 4, F.col("src") % 6, F.col("dst") % 90)
     return e.select("src", "dst", F.round(G.calibrated(c, F.col("src") % 11 == 0, F.col("src") % 7 == 0, 3, 10), 6).alias("confidence"))
 
 
 register(
     "graph_edge_confidence_calibrated",
     _calibrated,
-    f"""WITH {EDGES}, c AS (SELECT src, dst, 0.4::DOUBLE * least((dst % 7)::DOUBLE / 7 + least((src % 6) * 0.05::DOUBLE, 0.2::DOUBLE) + CASE WHEN dst % 2 = 0 THEN 0.1::DOUBLE ELSE 0 END, 1.0) + 0.25::DOUBLE * ((src % 10)::DOUBLE / 10) + 0.2::DOUBLE * ((src % 3)::DOUBLE / 3) + 0.15::DOUBLE * ((dst % 4)::DOUBLE / 4) AS c FROM e)
-  SELECT src, dst, round(least(CASE WHEN src % 11 = 0 THEN c * 0.3::DOUBLE WHEN src % 7 = 0 THEN c * 1.2::DOUBLE ELSE c * (0.8::DOUBLE + 0.4::DOUBLE * 0.3::DOUBLE) END, 1.0), 6) AS confidence FROM c""",
+    f"""WITH {EDGES}, c AS (SELECT src, dst, 0.4::DOUBLE * least((dst % 7)::DOUBLE / 7 + least((src % 6) * 0.05::DOUBLE, 0.2::DOUBLE) + least((dst % 90) / 500, 0.1::DOUBLE), 1.0) + 0.25::DOUBLE * coalesce(nullif((src % 10)::DOUBLE / 10, 0), 0.5) + 0.2::DOUBLE * coalesce(nullif((src % 3)::DOUBLE / 3, 0), 0.5) + 0.15::DOUBLE * coalesce(nullif((dst % 4)::DOUBLE / 4, 0), 0.5) AS c FROM e)
+  SELECT src, dst, round(CASE WHEN src % 11 = 0 THEN c * 0.3::DOUBLE WHEN src % 7 = 0 THEN least(c * 1.2::DOUBLE, 1.0) ELSE c * (0.8::DOUBLE + 0.4::DOUBLE * 0.3::DOUBLE) END, 6) AS confidence FROM c""",
 )
 
 

@@ -37,17 +37,19 @@ register(
 
 
 def _completeness(spark, d):
-    """Characters against 500 a page, with parts for references and a title."""
-    p = table(spark, d, "pages")
-    links, title = F.regexp_count("html", F.lit('href="')), F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    score = 0.6 * F.least(F.length("html") / 500, F.lit(1.0)) + 0.2 * F.least(links / 5, F.lit(1.0)) + F.when(title != "", 0.2).otherwise(0.0)
+    """Pages as extractions of as many pages as their title has words."""
+    from quern.functions.scoring import completeness
+
+    p = table(spark, d, "pages").withColumn("t", F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    score = completeness(F.length("html"), F.size(F.split("t", " ")), F.regexp_count("html", F.lit('href="')), F.col("t"))
     return p.select("page_id", F.round(score, 6).alias("score"))
 
 
 register(
     "sml_completeness",
     _completeness,
-    "SELECT page_id, round(0.6::DOUBLE * least(length(html) / 500, 1.0) + 0.2::DOUBLE * least(len(regexp_extract_all(html, 'href=\"')) / 5, 1.0) + CASE WHEN regexp_extract(html, '<title>([^<]*)</title>', 1) <> '' THEN 0.2::DOUBLE ELSE 0 END, 6) AS score FROM pages",
+    """WITH p AS (SELECT page_id, length(html) AS c, len(regexp_extract_all(html, 'href="')) AS r, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages), q AS (SELECT *, len(string_split(t, ' ')) * 500 AS least FROM p)
+  SELECT page_id, round(greatest(0.0, 1.0 - CASE WHEN c < least THEN (1 - c / least) * 0.3 ELSE 0 END - CASE WHEN r = 0 THEN 0.1 WHEN r < 5 THEN 0.05 ELSE 0 END - CASE WHEN t IN ('', 'Untitled') THEN 0.1 ELSE 0 END), 6)::DOUBLE AS score FROM q""",
 )
 
 

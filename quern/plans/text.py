@@ -46,12 +46,6 @@ register(
     lambda s, d: _numbered(s, d).select("o_orderkey", F.array_join(T.numbers(F.col("t")).cast("array<string>"), ",").alias("numbers")),
     f"WITH {_N} SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t, '(?i)eip[- ]?(\\d+)', 1), lambda x: x::INTEGER))), ',') AS numbers FROM n",
 )
-register(
-    "txt_date_extraction",
-    lambda s, d: _numbered(s, d).select("o_orderkey", F.explode(T.dates(F.col("t"))).alias("found")).select("o_orderkey", "found", T.date_key(F.col("found")).cast("string").alias("key")),
-    f"""WITH {_N} SELECT o_orderkey, unnest(list_distinct(list_concat(regexp_extract_all(t, '\\d{{4}}-\\d{{2}}-\\d{{2}}'), regexp_extract_all(t, '\\b(?:19|20)\\d{{2}}\\b')))) AS found,
-  CASE WHEN length(found) = 10 THEN found ELSE found || '-01-01' END AS key FROM n""",
-)
 register(
     "txt_citation_markers",
     lambda s, d: _numbered(s, d).select("o_orderkey", F.explode(T.markers(F.col("t"))).alias("marker")),
