@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -101,9 +102,14 @@ def code_fences(text: F.Column) -> F.Column:
     return F.regexp_extract_all(text, F.lit(r"(?s)```.*?```"), F.lit(0))
 
 
+# fixed values: marks of equations and of figures
+EQUATIONS = (r"(?s)\$\$.*?\$\$", r"\$[^$]+\$", r"(?s)\\begin\{equation\}.*?\\end\{equation\}", r"(?s)\\begin\{align\}.*?\\end\{align\}", r"=\s*\d+")
+FIGURES = (r"(?i)Figure\s+\d+", r"(?i)Fig\.\s*\d+", r"(?i)Table\s+\d+", r"(?i)\\begin\{figure\}", r"(?i)\\begin\{table\}")
+
+
 def flags(text: F.Column) -> tuple[F.Column, F.Column]:
-    """Whether a text has an equation, and whether it has a figure."""
-    return text.rlike(r"(?s)\$\$.+?\$\$|\\begin\{equation\}|\\\["), text.rlike(r"(?i)\b(?:figure|fig\.)\s+\d+")
+    """Whether a text has an equation, and whether it has a figure or a table."""
+    return tuple(reduce(lambda a, b: a | b, [text.rlike(p) for p in ps]) for ps in (EQUATIONS, FIGURES))
 
 
 HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$", re.M)
