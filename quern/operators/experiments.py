@@ -20,10 +20,11 @@ def analysis(results: DataFrame) -> DataFrame:
 
 
 def winner(analysed: DataFrame, least: int = 30) -> DataFrame:
-    """The variant of the best mean quality among those with enough trials, and 100 times the relative gap to the next (at most 99, 50 if alone)."""
+    """The variant of the best mean quality among those with enough trials, and 100 times the gap to the next by its own mean (at most 99, 50 if alone)."""
     order = W.orderBy(F.desc("quality_mean"), "variant")  # a row per variant
     best = analysed.where(F.col("trials") >= least).withColumn("n", F.row_number().over(order)).withColumn("next", F.lead("quality_mean").over(order))
-    gap = F.when(F.col("next").isNull(), 50.0).otherwise(F.least(F.round(100 * (F.col("quality_mean") - F.col("next")) / F.abs("next"), 4), F.lit(99.0)))
+    rest = F.coalesce((F.col("quality_mean") - F.col("next")) / F.nullif(F.abs("quality_mean"), F.lit(0.0)), F.lit(0.0))
+    gap = F.when(F.col("next").isNull(), 50.0).otherwise(F.least(F.round(100 * rest, 4), F.lit(99.0)))
     return best.where("n = 1").select("variant", gap.alias("confidence"))
 
 
@@ -37,14 +38,20 @@ def calibration_error(curve: DataFrame, *by: str) -> DataFrame:
     return curve.groupBy(*by).agg(F.round(F.sum(F.col("n") * F.abs(F.col("predicted") - F.col("actual"))) / F.sum("n"), 6).alias("ece"))
 
 
-def isotonic(points: DataFrame, predicted: str = "predicted", actual: str = "actual", least: int = 20) -> DataFrame | None:
-    """(boundary, value) of the isotonic fit; None with fewer points. Equal predictions are pooled before the shuffle."""
+DIGITS = 4  # of a prediction: at most 10,001 boundaries
+
+
+def isotonic(points: DataFrame, predicted: str = "predicted", actual: str = "actual", least: int = 20, digits: int = DIGITS) -> DataFrame | None:
+    """(boundary, value) of the isotonic fit of predictions in [0, 1], rounded to digits, which bounds the boundaries; None with fewer points.
+
+    Equal predictions are pooled before the shuffle.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import IsotonicRegression
 
     if points.limit(least).count() < least:
         return None
-    pooled = points.groupBy(predicted).agg(F.avg(actual).alias("label"), F.count("*").cast("double").alias("weight"))
+    pooled = points.withColumn(predicted, F.round(F.col(predicted).cast("double"), digits)).groupBy(predicted).agg(F.avg(actual).alias("label"), F.count("*").cast("double").alias("weight"))
     rows = VectorAssembler(inputCols=[predicted], outputCol="features").transform(pooled.withColumn(predicted, F.col(predicted).cast("double")))
     model = IsotonicRegression(weightCol="weight").fit(rows)
     return points.sparkSession.createDataFrame(pd.DataFrame({"boundary": np.array(model.boundaries), "value": np.array(model.predictions)}))

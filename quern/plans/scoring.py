@@ -31,7 +31,7 @@ _RESULTS = f"r AS (SELECT {_VARIANT} AS variant, CASE WHEN event_type <> 'view'
 _ANALYSIS = """a AS (SELECT variant, count(*) AS trials, round(avg(quality), 6) AS quality_mean, min(quality) AS quality_least, max(quality) AS quality_most, count(quality) AS quality_count, round(avg(latency), 6) AS latency_mean, min(latency) AS latency_least, max(latency) AS latency_most, count(latency) AS latency_count,
   round(sum(cost), 4) AS cost_total, count(*) FILTER (feedback > 0) AS positive, count(*) FILTER (feedback < 0) AS negative FROM r GROUP BY variant)"""
 register("sco_experiment_analysis", lambda s, d: X.analysis(results(s, d)), f"WITH {_RESULTS}, {_ANALYSIS} SELECT * FROM a")
-register("sco_experiment_winner", lambda s, d: X.winner(X.analysis(results(s, d))), f"WITH {_RESULTS}, {_ANALYSIS}, b AS (SELECT variant, quality_mean, lead(quality_mean) OVER o AS nx, row_number() OVER o AS n FROM a WHERE trials >= 30 WINDOW o AS (ORDER BY quality_mean DESC, variant)) SELECT variant, CASE WHEN nx IS NULL THEN 50.0 ELSE least(round(100 * (quality_mean - nx) / abs(nx), 4), 99.0) END::DOUBLE AS confidence FROM b WHERE n = 1")
+register("sco_experiment_winner", lambda s, d: X.winner(X.analysis(results(s, d))), f"WITH {_RESULTS}, {_ANALYSIS}, b AS (SELECT variant, quality_mean, lead(quality_mean) OVER o AS nx, row_number() OVER o AS n FROM a WHERE trials >= 30 WINDOW o AS (ORDER BY quality_mean DESC, variant)) SELECT variant, CASE WHEN nx IS NULL THEN 50.0 ELSE least(round(100 * coalesce((quality_mean - nx) / nullif(abs(quality_mean), 0), 0), 4), 99.0) END::DOUBLE AS confidence FROM b WHERE n = 1")
 
 
 def predictions(spark, d):
