@@ -22,19 +22,21 @@ def components(links: DataFrame, most_rounds: int = 60, hub: int = 1000, most_hu
     a, b = links.columns[:2]
     edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     n, before = edges.count(), None
-    for _ in range(most_rounds):
+    for turn in range(most_rounds):
         limit = max(hub, 2 * n // most_hubs)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
         ahead = _with_least(both.where("v > u"), least, limit).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = ahead.where("u <> v").distinct()  # links of each node to smaller ones
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        if n > hub:
+        # links given may have hubs among the larger ends; behind the first round the larger end has few links
+        split = turn == 0 and n > hub
+        if split:
             large, low = written(large), written(low)
-        small = _with_least(large, low, limit) if n > hub else large.join(low, "u")
+        small = _with_least(large, low, limit) if split else large.join(low, "u")
         out = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges, last = written(out.where("u <> v").distinct()), edges
-        discard(last, least, *((large, low) if n > hub else ()))
+        discard(last, least, *((large, low) if split else ()))
         now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -15,8 +15,8 @@
 
 Within a bucket or cluster a member is compared with all others at once, and members are taken up until only the largest
 linked part has untried ones: links among that part can't change the result, and links of all others are known.
-So a large group of near copies costs few comparisons, and no link that joins two parts is lost. Buckets and clusters
-beyond a task's size are dealt as pairs of blocks (tiles), so that every pair still meets somewhere.
+So a large group of near copies costs few comparisons, and no link that joins two parts is lost. Larger buckets and
+clusters are dealt as pairs of blocks (tiles), so that every pair still meets somewhere.
 
 At similarity 0.8 the probability that two texts share no band is about (1 - 0.8**4)**32, 5e-8.
 
@@ -132,6 +132,11 @@ def _bands(batch: pa.RecordBatch) -> dict:
     return {"key": keys.ravel(), "rep": np.repeat(batch.column("rep").to_numpy(), BANDS)}
 
 
+def _blocks(size: str, least: int, more: int) -> F.Column:
+    """Blocks of a group: 16 at most, as each row goes to as many tiles, but for blocks of at least least and at most more times that."""
+    return F.ceil(F.col(size) / F.greatest(F.least(F.col(size) / 16, F.lit(float(least * more))), F.lit(float(least))))
+
+
 def _tiles(rows: DataFrame, blocks: str, member: str) -> DataFrame:
     """Rows dealt to the pairs of blocks (i, j) of their group; groups of one block have the one tile (0, 0)."""
     out = rows.withColumn("b", F.expr(f"CAST(pmod(xxhash64({member}), {blocks}) AS INT)"))
@@ -139,12 +144,12 @@ def _tiles(rows: DataFrame, blocks: str, member: str) -> DataFrame:
     return out.withColumn("i", F.least("b", "other")).withColumn("j", F.greatest("b", "other")).drop("b", "other")
 
 
-def candidate_links(reps: DataFrame, threshold: float, margin: float = 0.18, tile: int = 1024) -> DataFrame:
-    """Spanning links (a, b) of representatives (rep, n, sig) whose sketches are near."""
+def candidate_links(reps: DataFrame, threshold: float, margin: float = 0.18, tile: int = 512) -> DataFrame:
+    """Spanning links (a, b) of representatives (rep, n, sig) whose sketches are near; tile: members a block, see _blocks."""
     light = arrow_map(reps.select("rep", "sig"), _bands, "key bigint, rep bigint")
     buckets = light.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
     alike = buckets.groupBy("size", "x", "least", "most").agg(F.min("key").alias("key"))  # one of the buckets with the same members
-    members = written(light.join(alike.select("key", F.ceil(F.col("size") / tile).alias("blocks")), "key"))
+    members = written(light.join(alike.select("key", _blocks("size", tile, 16).alias("blocks")), "key"))
     rows = _tiles(members.join(reps.select("rep", "n", "sig"), "rep"), "blocks", "rep").select("key", "i", "j", "rep", "n", "sig")
     need = int(np.ceil(REGISTERS * ((threshold - margin) * (1 - COLLISION) + COLLISION)))
 
@@ -183,9 +188,9 @@ def common(sets: np.ndarray, cuts: np.ndarray) -> Callable[[int], np.ndarray]:
     return overlaps
 
 
-def confirmed_links(sets: DataFrame, percent: int, block: int = 1_000_000) -> DataFrame:
-    """Spanning links of (cluster, rep, shingles) whose similarity reaches percent / 100; block: shingles a block."""
-    sizes = sets.groupBy("cluster").agg(F.sum(F.octet_length("shingles") / 8).alias("total")).select("cluster", F.ceil(F.col("total") / block).alias("blocks"))
+def confirmed_links(sets: DataFrame, percent: int, block: int = 100_000) -> DataFrame:
+    """Spanning links of (cluster, rep, shingles) whose similarity reaches percent / 100; block: shingles a block, see _blocks."""
+    sizes = sets.groupBy("cluster").agg(F.sum(F.octet_length("shingles") / 8).alias("total")).select("cluster", _blocks("total", block, 40).alias("blocks"))
     rows = _tiles(sets.join(sizes, "cluster"), "blocks", "rep").select("cluster", "i", "j", "rep", "shingles")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
