@@ -35,6 +35,11 @@ def rough_tokens(text: Column) -> Column:
     return (F.length(text) / 4).cast("int") + 1
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def preview(text: Column, n: int = 200) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 
