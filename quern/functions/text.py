@@ -111,6 +111,8 @@ def date_key(text: Column) -> Column:
     tries = [F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd", "yyyy/MM/dd")]
     tries += [F.try_to_timestamp(named, F.lit(f)) for f in ("MMMM d, yyyy", "MMMM d yyyy", "d MMMM yyyy")]
     tries += [F.try_to_timestamp(quarter, F.lit("yyyy-MM-dd")), F.try_to_timestamp(F.regexp_extract(text, r"^(\d{4})", 1), F.lit("yyyy"))]
+    # spellings that no pattern finds, but that events may come with
+    tries += [F.try_to_timestamp(text, F.lit("M/d/yyyy")), F.try_to_timestamp(named, F.lit("MMM yyyy"))]
     return F.coalesce(*tries).cast("date")
 
 

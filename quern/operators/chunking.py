@@ -29,24 +29,16 @@ def fixed(docs: DataFrame, most: int = 512, overlap: int = 64, text: str = "text
     return out.select("document_id", "chunk_index", F.size(part).alias("token_count"), F.array_join(part, " ").alias("content"))
 
 
-def _greedy(parts: F.Column, most: int) -> F.Column:
-    """Folds parts (structs of n and t) into chunks of at most most tokens; an oversized part is a chunk of its own."""
-    zero = F.struct(F.array().cast("array<struct<n:int,t:string>>").alias("done"), F.lit(0).alias("n"), F.lit("").alias("t"))
-
-    def add(acc, x):
-        fits = (acc["n"] == 0) | (acc["n"] + x["n"] <= most)
-        joined = F.when(acc["t"] == "", x["t"]).otherwise(F.concat(acc["t"], F.lit("\n"), x["t"]))
-        done = F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["n"].alias("n"), acc["t"].alias("t")))))
-        return F.struct(done.alias("done"), F.when(fits, acc["n"] + x["n"]).otherwise(x["n"]).alias("n"), F.when(fits, joined).otherwise(x["t"]).alias("t"))
-
-    return F.aggregate(parts, zero, add, lambda acc: F.filter(F.concat(acc["done"], F.array(F.struct(acc["n"].alias("n"), acc["t"].alias("t")))), lambda c: c["n"] > 0))
+def packed(docs: DataFrame, most: int = 512, text: str = "text", delimiter: str = "\n") -> DataFrame:
+    """Paragraphs (between delimiters) packed greedily in order; an oversized one is a chunk of its own, chunks without words drop out."""
+    from quern.operators.chunkers import packs
+    from quern.operators.located import generated
 
+    def run(t: str | None) -> Iterator[tuple]:
+        groups = ((used, delimiter.join(held)) for held, used in packs((t or "").split(delimiter), most))
+        return ((j, *x) for j, x in enumerate(x for x in groups if x[0]))
 
-def packed(docs: DataFrame, most: int = 512, text: str = "text", delimiter: str = "\n") -> DataFrame:
-    """Paragraphs (between delimiters) packed greedily in order."""
-    parts = F.transform(F.split(F.col(text), delimiter), lambda p: F.struct(F.size(T.tokens(p)).alias("n"), p.alias("t")))
-    chunks = docs.select("document_id", F.posexplode(_greedy(parts, most)).alias("chunk_index", "c"))
-    return chunks.select("document_id", "chunk_index", F.col("c.n").alias("token_count"), F.col("c.t").alias("content"))
+    return generated(docs, "document_id", [text], "chunk_index int, token_count int, content string", run)
 
 
 def packed_turns(turns: DataFrame, most: int = 512, reserve: int = 50) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators.skew import pairs_within
 from quern.scratch import written
 
 
@@ -107,11 +108,12 @@ def calibrated(confidence: Column, negative: Column, positive: Column, positives
 def co_mentions(mentions: DataFrame, source: str, target: str) -> DataFrame:
     """(a, b, shared): ordered pairs of targets that share sources, and how many.
 
-    mentions is a set of (source, target); the self-join is on the source, so its size is what the topics' sizes allow.
+    mentions is a set of (source, target); the result holds a source's pairs, so its size is what the topics' sizes allow. A large
+    topic's targets meet as pairs of blocks, and pairs are counted within tasks before they are dealt.
     """
     m = mentions.select(F.col(source).alias("s"), F.col(target).alias("t")).distinct()
-    pairs = m.alias("x").join(m.alias("y"), F.col("x.s") == F.col("y.s")).where(F.col("x.t") < F.col("y.t"))
-    return pairs.groupBy(F.col("x.t").alias("a"), F.col("y.t").alias("b")).agg(F.count("*").alias("shared"))
+    pairs = pairs_within(m, "s").where("a_t < b_t")
+    return pairs.groupBy(F.col("a_t").alias("a"), F.col("b_t").alias("b")).agg(F.count("*").alias("shared"))
 
 
 def division(pairs: DataFrame, left: str, right: str, wanted: DataFrame) -> DataFrame:

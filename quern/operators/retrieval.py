@@ -83,7 +83,8 @@ def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "content") ->
 
 def _matching(chunks: DataFrame, terms: list[str], key: str, text: str) -> DataFrame:
     """Postings of the query terms in chunks that hold all of them: row-local, so no shuffle before the filter."""
-    words = chunks.select(key, T.tokens(F.col(text)).alias("w"))
+    # through a generator, which filters aren't pushed below: a text is cut into words once, not for each use
+    words = chunks.select(key, F.explode(F.array(T.tokens(F.col(text)))).alias("w"))
     all_of = reduce(lambda a, b: a & b, [F.array_contains("w", t) for t in terms])
     return words.where(all_of)
 

@@ -65,14 +65,29 @@ def alias_index(aliases: DataFrame) -> DataFrame:
     return aliases.select("number", F.explode(F.array_distinct(F.concat(F.transform("names", F.lower), spelled))).alias("alias")).dropDuplicates(["alias", "number"])
 
 
-def expand(queries: DataFrame, aliases: DataFrame, key: str = "id", text: str = "q") -> DataFrame:
-    """(key, numbers): explicit numbers first, then those of alias names found inside the query.
+def expand(queries: DataFrame, aliases: DataFrame, key: str = "id", text: str = "q", most: int = 1_000_000) -> DataFrame:
+    """(key, numbers): explicit numbers first, then those of alias names found inside the query, in order of number and name.
 
-    aliases is a small table (size checked): it becomes one array literal column, so each query is expanded row by row.
+    The names are a checked number of texts, sent as one automaton that finds all of them in a query at once.
     """
-    rows = aliases.select("number", F.explode("names").alias("name")).orderBy("number", "name").limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("an alias table of over 100,000 names needs a join on exact names instead")
-    low = F.lower(F.col(text))
-    named = F.filter(F.array(*[F.when(F.contains(low, F.lit(r.name.lower())), F.lit(r.number)) for r in rows]).cast("array<int>"), lambda x: x.isNotNull()) if rows else F.array().cast("array<int>")
-    return queries.select(key, F.array_distinct(F.concat(T.numbers(F.col(text)), named)).alias("numbers"))
+    from quern.operators.chunkers import _automaton
+    from quern.operators.located import generated
+
+    rows = aliases.select("number", F.explode("names").alias("name")).where("name <> ''").orderBy("number", "name").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} names: look them up by exact names")
+    numbers: dict[str, list[tuple[int, int]]] = {}
+    for place, r in enumerate(rows):
+        numbers.setdefault(r.name.lower(), []).append((place, r.number))
+    sent, found_as = (queries.sparkSession.sparkContext.broadcast(x) for x in (list(numbers), numbers))
+
+    def run(query: str | None):
+        automaton = _automaton(sent)
+        hits = {name for _, name in automaton.iter(query.lower())} if query and len(automaton) else ()
+        yield ([n for _, n in sorted(x for name in hits for x in found_as.value[name])],)
+
+    def row(query: str | None, explicit: list[int] | None):
+        for (named,) in run(query):
+            yield (list(dict.fromkeys([*(explicit or []), *named])),)
+
+    return generated(queries.select(key, F.col(text).alias("_q"), T.numbers(F.col(text)).alias("_e")), key, ["_q", "_e"], "numbers array<int>", row)

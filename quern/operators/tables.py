@@ -5,9 +5,9 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# fixed values: domains of a proposal's fields
 STATUSES = ("Draft", "Review", "Last Call", "Final", "Stagnant", "Withdrawn", "Living")
 TYPES = ("Standards Track", "Meta", "Informational")
 CATEGORIES = ("Core", "Networking", "Interface", "ERC")
@@ -33,15 +33,17 @@ def valid(column: Column, domain: tuple[str, ...]) -> Column:
 
 
 def precedence_union(tables: list[DataFrame], key: str) -> DataFrame:
-    """Rows of all tables; of equal keys the last table's."""
+    """Rows of all tables; of equal keys the last table's, of several there the largest as JSON."""
+    columns = tables[0].columns
     both = reduce(DataFrame.unionByName, [t.withColumn("_p", F.lit(j)) for j, t in enumerate(tables)])
-    order = W.partitionBy(key).orderBy(F.desc("_p"))
-    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_p")
+    row = F.struct(*columns)
+    return both.groupBy(F.col(key).alias("_k")).agg(F.max_by(row, F.struct("_p", F.to_json(row))).alias("_r")).select("_r.*")
 
 
 def upsert(target: DataFrame, source: DataFrame, key: str, update: list[str], order: str) -> DataFrame:
-    """Source rows (the last of each key by order) insert; on a known key only the update columns change."""
-    last = source.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+    """Source rows (the last of each key by order, of equal ones the largest as JSON) insert; on a known key only the update columns change."""
+    row = F.struct(*source.columns)
+    last = source.groupBy(F.col(key).alias("_k")).agg(F.max_by(row, F.struct(F.col(order), F.to_json(row))).alias("_r")).select("_r.*")
     s = last.select(F.col(key), F.lit(True).alias("_s"), *[F.col(c).alias(f"_s_{c}") for c in target.columns if c != key])
     t = target.withColumn("_t", F.lit(True))
     both = t.join(s, key, "full_outer")

@@ -31,18 +31,25 @@ register(
 
 
 def _answers(spark, d):
-    """Answers about lines of orders, with markers."""
-    c = F.concat(F.lit("Part "), F.col("l_partkey"), F.lit(" was shipped [1, "), F.col("l_linenumber"), F.lit("]. It is cheap. Supplier "), F.col("l_suppkey"), F.lit(" sent it ["), F.col("l_quantity").cast("int"), F.lit("]!"))
+    """Answers about lines of orders, with markers; some sentences of some have none."""
+    second = F.when(F.col("l_linenumber") % 2 == 0, " It is cheap [7].").otherwise(" It is cheap.")
+    c = F.concat(F.lit("Part "), F.col("l_partkey"), F.lit(" was shipped [1, "), F.col("l_linenumber"), F.lit("]."), second, F.lit(" Supplier "), F.col("l_suppkey"), F.when(F.col("l_suppkey") % 3 == 0, F.lit(" sent it!")).otherwise(F.concat(F.lit(" sent it ["), F.col("l_quantity").cast("int"), F.lit("]!"))))
     return table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("answer_id"), c.alias("text"))
 
 
-_ANSWERS = "a AS (SELECT l_orderkey || '-' || l_linenumber AS answer_id, l_linenumber AS x, l_quantity::INTEGER AS q FROM lineitem)"
-register("evi_citation_coverage", lambda s, d: E.coverage(E.ledger(_answers(s, d))), f"WITH {_ANSWERS} SELECT answer_id, 3 * n AS claims, 2 * n AS cited, round(2 / 3, 6) AS ratio FROM (SELECT answer_id, 1 AS n FROM a GROUP BY answer_id)")
+_ANSWERS = "a AS (SELECT l_orderkey || '-' || l_linenumber AS answer_id, 'Part ' || l_partkey || ' was shipped [1, ' || l_linenumber || '].' || CASE WHEN l_linenumber % 2 = 0 THEN ' It is cheap [7].' ELSE ' It is cheap.' END || ' Supplier ' || l_suppkey || CASE WHEN l_suppkey % 3 = 0 THEN ' sent it!' ELSE ' sent it [' || l_quantity::INTEGER || ']!' END AS text FROM lineitem)"
+register(
+    "evi_citation_coverage",
+    lambda s, d: E.coverage(E.ledger(_answers(s, d))),
+    f"""WITH {_ANSWERS}, l AS (SELECT answer_id, regexp_extract_all(text, '[^.!?]+[.!?]+') AS l FROM a), s AS (SELECT answer_id, i, l[i] AS s FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM l)), n AS (SELECT answer_id, i, bool_or(regexp_matches(s, '\\[\\d+(\\s*,\\s*\\d+)*\\]')) AS m FROM s GROUP BY answer_id, i), g AS (SELECT answer_id, count(*) AS claims, count(*) FILTER (m) AS cited FROM n GROUP BY answer_id) SELECT answer_id, claims, cited, round(cited / claims, 6) AS ratio FROM g""",
+)
 register(
     "evi_citation_accuracy",
     lambda s, d: _answers(s, d).select("answer_id", F.round(E.citation_accuracy(T.markers(F.col("text")), F.lit(5)), 6).alias("accuracy")),
-    f"WITH {_ANSWERS} SELECT answer_id, round((1 + (x BETWEEN 1 AND 5)::INTEGER + (q BETWEEN 1 AND 5)::INTEGER) / 3, 6) AS accuracy FROM a",
+    f"""WITH {_ANSWERS}, m AS (SELECT answer_id, flatten(list_transform(regexp_extract_all(text, '\\[(\\d+(?:\\s*,\\s*\\d+)*)\\]', 1), lambda m: list_transform(regexp_extract_all(m, '\\d+'), lambda x: x::INTEGER))) AS m FROM a) SELECT answer_id, CASE WHEN len(m) = 0 THEN 1.0 ELSE round(len(list_filter(m, lambda x: x BETWEEN 1 AND 5)) / len(m), 6) END::DOUBLE AS accuracy FROM m""",
 )
+
+
 def _pivot(spark, d):
     cells = table(spark, d, "documents").select(F.col("source").alias("feature"), F.col("lang").alias("entity"), F.col("doc_id").cast("string").alias("value"))
     return S.comparison(cells, ["de", "en", "es", "fr"])

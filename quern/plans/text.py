@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import chunking as C
+from quern.operators.knowledge import reference_id
 from quern.plans.catalog import register, table
 from quern.plans.retrieval import CHUNKS, WORDS, chunks
 
@@ -25,22 +26,22 @@ register("txt_preview", lambda s, d: table(s, d, "documents").select("doc_id", T
 register("txt_rough_tokens", lambda s, d: table(s, d, "documents").select("doc_id", T.rough_tokens(F.col("text")).alias("tokens")), "SELECT doc_id, (length(text) // 4 + 1)::INTEGER AS tokens FROM documents")
 register(
     "txt_slug",
-    lambda s, d: table(s, d, "benchmark").select("item_id", T.slug(F.col("text")).alias("slug")),
-    r"SELECT item_id, left(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\s-]', '', 'g'), '[\s-]+', '-', 'g'), 50) AS slug FROM benchmark",
+    lambda s, d: table(s, d, "documents").select("doc_id", T.slug(F.col("text")).alias("slug")),
+    r"SELECT doc_id, left(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}\s-]', '', 'g'), '[\s-]+', '-', 'g'), 50) AS slug FROM documents",
 )
 register(
     "txt_reference_id",
-    lambda s, d: table(s, d, "benchmark").select("item_id", F.when(F.length("text") > 20, F.concat(F.lit("ref:"), F.left(F.md5(F.lower(F.left("text", F.lit(100)))), F.lit(12)))).alias("ref")),
-    "SELECT item_id, CASE WHEN length(text) > 20 THEN 'ref:' || left(md5(lower(left(text, 100))), 12) END AS ref FROM benchmark",
+    lambda s, d: table(s, d, "documents").select("doc_id", reference_id(F.col("text")).alias("ref")),
+    r"""WITH t AS (SELECT doc_id, text, regexp_replace(trim(lower(left(text, 100)), ' '), '\s+', ' ', 'g') AS t, regexp_extract(text, '(?i)arXiv[:\s]*(\d{4}\.\d{4,5}(?:v\d+)?)', 1) AS a, regexp_extract(text, '10\.\d{4,}/[^\s]+') AS d FROM documents) SELECT doc_id, CASE WHEN a <> '' THEN 'arxiv:' || a WHEN d <> '' THEN 'doi:' || d WHEN length(t) > 20 THEN 'ref:' || left(md5(t), 12) END AS ref FROM t""",
 )
 
 
 def _numbered(spark, d):
     """Texts that mention proposals, made of the orders' keys."""
-    return table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("See EIP-"), F.col("o_orderkey") % 50, F.lit(" and eip "), F.col("o_custkey") % 7, F.lit(", eip-"), F.col("o_orderkey") % 50, F.lit(" as of "), F.col("o_orderdate").cast("date"), F.lit(" [1, 2] or [3].")).alias("t"))
+    return table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("See EIP-"), F.col("o_orderkey") % 50, F.lit(" and eip "), F.col("o_custkey") % 7, F.lit(", eip-"), F.col("o_orderkey") % 50, F.lit(" as of "), F.col("o_orderdate").cast("date"), F.lit(" ["), F.col("o_orderkey") % 5, F.lit(", 2] or ["), F.col("o_custkey") % 9, F.lit("].")).alias("t"))
 
 
-_N = "n AS (SELECT o_orderkey, 'See EIP-' || (o_orderkey % 50) || ' and eip ' || (o_custkey % 7) || ', eip-' || (o_orderkey % 50) || ' as of ' || o_orderdate::DATE || ' [1, 2] or [3].' AS t FROM orders)"
+_N = "n AS (SELECT o_orderkey, 'See EIP-' || (o_orderkey % 50) || ' and eip ' || (o_custkey % 7) || ', eip-' || (o_orderkey % 50) || ' as of ' || o_orderdate::DATE || ' [' || (o_orderkey % 5) || ', 2] or [' || (o_custkey % 9) || '].' AS t FROM orders)"
 register(
     "txt_mention_numbers",
     lambda s, d: _numbered(s, d).select("o_orderkey", F.array_join(T.numbers(F.col("t")).cast("array<string>"), ",").alias("numbers")),
@@ -49,7 +50,7 @@ register(
 register(
     "txt_citation_markers",
     lambda s, d: _numbered(s, d).select("o_orderkey", F.explode(T.markers(F.col("t"))).alias("marker")),
-    f"WITH {_N} SELECT o_orderkey, unnest([1, 2, 3]) AS marker FROM n",
+    f"WITH {_N} SELECT o_orderkey, unnest(flatten(list_transform(regexp_extract_all(t, '\\[(\\d+(?:\\s*,\\s*\\d+)*)\\]', 1), lambda m: list_transform(regexp_extract_all(m, '\\d+'), lambda x: x::INTEGER)))) AS marker FROM n",
 )
 register(
     "txt_word_f1",
@@ -66,8 +67,10 @@ register(
 )
 register(
     "chk_packed_lines",
-    lambda s, d: C.packed(table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text"), 128).groupBy("document_id").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens")),
-    None,
+    lambda s, d: C.packed(table(s, d, "documents").select(F.col("doc_id").alias("document_id"), "text"), 128).select("document_id", "chunk_index", "token_count", F.md5("content").alias("hash")),
+    f"""WITH RECURSIVE items AS (SELECT k, i, l[i] AS p, len({WORDS.format('l[i]')}) AS n FROM (SELECT k, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id AS k, string_split(text, chr(10)) AS l FROM documents))),
+  g AS (SELECT k, i, n, 0 AS c, n AS used FROM items WHERE i = 1 UNION ALL SELECT t.k, t.i, t.n, CASE WHEN g.used + t.n > 128 THEN g.c + 1 ELSE g.c END, CASE WHEN g.used + t.n > 128 THEN t.n ELSE g.used + t.n END FROM g JOIN items t ON t.k = g.k AND t.i = g.i + 1),
+  a AS (SELECT k, c, sum(n) AS n, string_agg(p, chr(10) ORDER BY i) AS t FROM (SELECT g.*, p FROM g JOIN items USING (k, i)) GROUP BY k, c) SELECT k AS document_id, (row_number() OVER (PARTITION BY k ORDER BY c) - 1)::INTEGER AS chunk_index, n::INTEGER AS token_count, md5(t) AS hash FROM a WHERE n > 0""",
 )
 register(
     "chk_conversation_pack",

@@ -68,14 +68,18 @@ def feed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def upsert_table(spark: SparkSession, path: str, rows: DataFrame, key: str, update: list[str], order: str) -> None:
-    """Keyed upsert into a Parquet table: the new state is written beside the old one, then takes its place."""
+    """Keyed upsert into a Parquet table: the new state is written beside the old one whole, then takes its place by renaming.
+
+    A writer that was stopped between the two leaves the new state, which the next one puts in place first.
+    """
     from quern.operators.tables import upsert
-    from quern.scratch import written
-
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:  # no table yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = rows.limit(0)
-    written(upsert(old, rows, key, update, order)).write.mode("overwrite").parquet(path)
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    old_path, new_path = (jvm.org.apache.hadoop.fs.Path(p) for p in (path.rstrip("/"), path.rstrip("/") + "__new"))
+    files = old_path.getFileSystem(conf)
+    if files.exists(new_path) and not files.exists(old_path):
+        files.rename(new_path, old_path)
+    old = spark.read.parquet(path) if files.exists(old_path) else rows.limit(0)
+    upsert(old, rows, key, update, order).write.mode("overwrite").parquet(str(new_path))
+    files.delete(old_path, True)
+    files.rename(new_path, old_path)
