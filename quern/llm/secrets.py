@@ -20,12 +20,13 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_map, plain, values
+from quern.llm.common import arrow_map, plain, values, written
 
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -172,15 +173,25 @@ _VALUE = r"(?:pass|pwd|secret|token|key|auth|bearer|credential)[\p{L}\p{N}_-]{0,
 
 def dictionary(docs: DataFrame, text: str = "text", most: int = 20_000, least_share: float = 1e-4, least_docs: int = 5) -> dict[str, int]:
     """Ranks of words: the common ones of passwords, then the ``most`` most frequent words (letters only) of docs that occur in
-    least_share of all documents, and in least_docs at least. Words right behind a credential word don't count.
+    least_share of all documents, and in least_docs at least. Words right behind a credential word don't count. Words that are
+    equally frequent are all in or all out.
 
-    Counted over all texts on the executors; the driver gets at most ``most`` words.
+    Counted over all texts on the executors; the driver gets how many words there are of each count, then at most ``most`` words.
     """
-    base = plain(docs, text).toDF("t").where("t IS NOT NULL")
-    found = F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.lower("t"), _VALUE, " "), F.lit(r"(?<![\p{L}\p{N}_])\p{L}{%d,%d}(?![\p{L}\p{N}_])" % (_LEAST, _MOST)), F.lit(0)))
+    base = plain(docs, text).toDF("t").where("t IS NOT NULL").select(F.lower("t").alias("t"))
+    hinted = reduce(lambda a, b: a | b, [F.contains("t", F.lit(h)) for h in HINTS])
+    rest = F.when(hinted, F.regexp_replace("t", _VALUE, " ")).otherwise(F.col("t"))
+    found = F.array_distinct(F.regexp_extract_all(rest, F.lit(r"(?<![\p{L}\p{N}_])\p{L}{%d,%d}(?![\p{L}\p{N}_])" % (_LEAST, _MOST)), F.lit(0)))
     counted = base.select(F.explode(found).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     least = max(least_docs, math.ceil(least_share * base.count()))
-    words = [r.w for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(most).collect()]
+    kept = written(counted.where(F.col("n") >= least))
+    total, cut = 0, None
+    for r in kept.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():
+        total += r.words
+        if total > most:
+            break
+        cut = r.n
+    words = [] if cut is None else [r.w for r in sorted(kept.where(F.col("n") >= cut).collect(), key=lambda r: (-r.n, r.w))]
     return RANK | {w: len(RANK) + j for j, w in enumerate((w for w in words if w not in RANK), 1)}
 
 
