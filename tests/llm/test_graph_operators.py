@@ -373,7 +373,8 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     items = [r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     matcher = decontaminate.Matcher(items)
     left = {i: t for i, t in left.items() if not matcher.find(t)}
-    left = {i: secrets.redacted(t, secrets.scan(t)) for i, t in left.items()}
+    rank = secrets.dictionary(spark.createDataFrame([(t,) for t in left.values()], "text string"))  # that of the stage's own texts
+    left = {i: secrets.redacted(t, secrets.scan(t, rank=rank)) for i, t in left.items()}
     got, out = {}, docs
     for name, stage in p.STAGES[:-1]:
         out = stage(spark, out, d)
