@@ -188,9 +188,9 @@ def common(sets: np.ndarray, cuts: np.ndarray) -> Callable[[int], np.ndarray]:
     return overlaps
 
 
-def confirmed_links(sets: DataFrame, percent: int, block: int = 100_000) -> DataFrame:
+def confirmed_links(sets: DataFrame, percent: int, block: int = 20_000) -> DataFrame:
     """Spanning links of (cluster, rep, shingles) whose similarity reaches percent / 100; block: shingles a block, see _blocks."""
-    sizes = sets.groupBy("cluster").agg(F.sum(F.octet_length("shingles") / 8).alias("total")).select("cluster", _blocks("total", block, 40).alias("blocks"))
+    sizes = sets.groupBy("cluster").agg(F.sum(F.octet_length("shingles") / 8).alias("total")).select("cluster", _blocks("total", block, 200).alias("blocks"))
     rows = _tiles(sets.join(sizes, "cluster"), "blocks", "rep").select("cluster", "i", "j", "rep", "shingles")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
