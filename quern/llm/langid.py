@@ -10,7 +10,7 @@ over all its bytes; the shortest code wins and the score is its posterior under
 
 The context trees are kept flat: for every n-gram known to any language the cost under each language, with all
 escapes already added, in sorted arrays. Scoring sorts a text's n-grams, looks each different one up once and
-weighs the costs with the counts, so its work is linear in the text but for the sort.
+weighs the costs with the counts, a piece of a long text at a time, so its work is linear in the text and its memory bounded.
 
 Cases: null text or text without a letter is ``und`` with score 0; without any labelled row all is ``und``; ties
 go to the language that sorts first; rows are kept as they are, repeated or not; null ids are ordinary rows. Only
@@ -32,6 +32,7 @@ from quern.llm.common import arrow_iter, arrow_map, bucket, plain, values
 
 _LETTER = regex.compile(r"\p{L}")
 _BASE_BITS = 8.0  # a byte without any context
+PIECE = 1 << 20  # bytes of a text that are looked up at a time
 
 
 @dataclass
@@ -44,9 +45,12 @@ class PPMModel:
     escapes: list[np.ndarray]  # [k]: cost of an escape, 0 where the language doesn't know the context
 
     def code_lengths(self, data: bytes) -> np.ndarray:
-        """Bits of the whole text under each language."""
-        grams, counts = _ngrams(data, self.max_order)
-        return counts @ self._cost(grams, self.max_order)
+        """Bits of the whole text under each language, added up over pieces that each see the bytes before them."""
+        total = np.zeros(len(self.langs))
+        for a in range(0, len(data), PIECE):
+            grams, counts = _ngrams(data[a : a + PIECE], self.max_order, data[max(0, a - self.max_order) : a])
+            total += counts @ self._cost(grams, self.max_order)
+        return total
 
     def _cost(self, grams: np.ndarray, k: int) -> np.ndarray:
         known = self.grams[k]
@@ -74,10 +78,10 @@ class PPMModel:
         return self.langs[best], float(1 / np.exp2(np.minimum(bits[best] - bits, 0)).sum())
 
 
-def _ngrams(data: bytes, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Different n-grams of order + 1 bytes that end at each byte, and how often; the text follows line feeds."""
+def _ngrams(data: bytes, order: int, before: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """Different n-grams of order + 1 bytes that end at each byte, and how often; the data follows before, a text's start line feeds."""
     kind = np.uint32 if order <= 3 else np.uint64
-    a = np.frombuffer(b"\n" * order + data, np.uint8).astype(kind)
+    a = np.frombuffer(before.rjust(order, b"\n") + data, np.uint8).astype(kind)
     n = len(a) - order
     g = a[order:].copy()
     for j in range(1, order + 1):

@@ -55,6 +55,15 @@ def test_code_lengths_equal_the_definition():
             assert model.code_lengths(text)[j] == pytest.approx(brute_code_length(samples[lang], text))
 
 
+def test_pieces_of_a_text_add_up(monkeypatch):
+    model = langid.fit({"aa": [b"the cat sat on the mat"], "bb": ["le chat est ici, été".encode()]})
+    text = "the chat est à la mer and on ".encode() * 40
+    whole = model.code_lengths(text)
+    for piece in (1, 2, 3, 7, 100):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert model.code_lengths(text) == pytest.approx(whole)
+
+
 def test_language_id_cases(spark):
     texts = ["the cat and the dog and the house", None, "", "123 456 !?", "der Hund und die Katze " * 2000, "the cat"]
     docs = odd_docs(spark, texts)
