@@ -71,19 +71,25 @@ def sub_question_estimate(query: Column) -> Column:
     return F.greatest(F.lit(1), S.mention_count(query)) + query.rlike(r"(?i)\b(compare|versus|vs\.?|difference)\b").cast("int")
 
 
-def analysed(query: Column) -> Column:
-    """(complexity, mode, signals, max_retrievals, max_tokens, max_calls) of a query."""
-    found = {name: S.hits(query, patterns) > 0 for name, patterns in SIGNALS.items()}
-    n, words = S.mention_count(query), F.size(F.filter(F.split(query, r"\s+"), lambda w: w != ""))
-    score = sum((F.when(found[x], w).otherwise(0) for x, w in (("multi_hop", 2), ("comparison", 2), ("timeline", 2), ("graph", 1))), F.lit(0))
-    score = score + F.when(n > 1, n - 1).otherwise(0) + F.when(words > 20, 1).otherwise(0)
-    plain = found["simple"] & ~(found["multi_hop"] | found["comparison"] | found["timeline"])
-    level = F.when(plain, "simple").when(score >= 6, "research").when(score >= 4, "complex").when(score >= 2, "moderate").otherwise("simple")
-    mode = F.when(level == "simple", "simple").when(found["graph"], "graph").when(level.isin("complex", "research"), "agentic").otherwise("hybrid")
+def analysed(queries: DataFrame, key: str, text: str = "q") -> DataFrame:
+    """(key, complexity, mode, signals, max_retrievals, max_tokens, max_calls) of each query."""
+    q = F.col(text)
+    parts = [(S.hits(q, patterns) > 0).alias(name) for name, patterns in SIGNALS.items()]
+    words = F.size(F.filter(F.split(q, r"\s+"), lambda w: w != ""))
+    # through generators, so that each pattern is matched once and the steps don't multiply
+    rows = queries.select(key, F.explode(F.array(F.struct(*parts, S.mention_count(q).alias("n"), words.alias("words")))).alias("f"))
+    f = {name: F.col(f"f.{name}") for name in (*SIGNALS, "n", "words")}
+    score = sum((F.when(f[x], w).otherwise(0) for x, w in (("multi_hop", 2), ("comparison", 2), ("timeline", 2), ("graph", 1))), F.lit(0))
+    score = score + F.when(f["n"] > 1, f["n"] - 1).otherwise(0) + F.when(f["words"] > 20, 1).otherwise(0)
+    scored = rows.select(key, "f", F.explode(F.array(score)).alias("score"))
+    plain = f["simple"] & ~(f["multi_hop"] | f["comparison"] | f["timeline"])
+    level = F.when(plain, "simple").when(F.col("score") >= 6, "research").when(F.col("score") >= 4, "complex").when(F.col("score") >= 2, "moderate").otherwise("simple")
+    graded = scored.select(key, "f", F.explode(F.array(level)).alias("complexity"))
+    mode = F.when(F.col("complexity") == "simple", "simple").when(f["graph"], "graph").when(F.col("complexity").isin("complex", "research"), "agentic").otherwise("hybrid")
     names = (("simple", "simple_pattern_match"), ("multi_hop", "multi_hop_reasoning"), ("comparison", "comparison_query"), ("timeline", "timeline_query"), ("graph", "graph_traversal_needed"))
-    signals = [F.when(found[x], F.lit(name)) for x, name in names] + [F.when(n > 1, F.concat(F.lit("multiple_eip_refs_"), n.cast("string")))]
-    budget = lambda j: reduce(lambda out, kv: F.when(level == kv[0], kv[1][j]).otherwise(out), BUDGETS.items(), F.lit(None).cast("int"))
-    return F.struct(level.alias("complexity"), mode.alias("mode"), F.array_compact(F.array(*signals)).alias("signals"), *[budget(j).alias(c) for j, c in enumerate(("max_retrievals", "max_tokens", "max_calls"))])
+    signals = [F.when(f[x], F.lit(name)) for x, name in names] + [F.when(f["n"] > 1, F.concat(F.lit("multiple_eip_refs_"), f["n"].cast("string")))]
+    budget = lambda j: reduce(lambda out, kv: F.when(F.col("complexity") == kv[0], kv[1][j]).otherwise(out), BUDGETS.items(), F.lit(None).cast("int"))
+    return graded.select(key, "complexity", mode.alias("mode"), F.array_compact(F.array(*signals)).alias("signals"), *[budget(j).alias(c) for j, c in enumerate(("max_retrievals", "max_tokens", "max_calls"))])
 
 
 def high_stakes(query: Column) -> Column:

@@ -30,7 +30,7 @@ register(
 
 
 def _analysed(spark, d):
-    out = asked(spark, d).select("o_orderkey", U.analysed(F.col("q")).alias("a")).select("o_orderkey", "a.*")
+    out = U.analysed(asked(spark, d), "o_orderkey")
     return out.withColumn("signals", F.array_join("signals", ","))
 
 
