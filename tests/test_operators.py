@@ -205,7 +205,7 @@ def test_signatures_of_documents_equal_their_definition(spark, sf_dir):
     assert len(least) == 128 * len(words) and set(bits) == set(words)
     for i, texts in words.items():
         shingles = {" ".join(w[j : j + 3]) for w in texts for j in range(max(1, len(w) - 2)) if w}
-        hashes = [int(hashlib.md5(s.encode()).hexdigest()[:16], 16) % D.PRIME for s in shingles]
+        hashes = [int(hashlib.md5(s.encode()).hexdigest(), 16) % (2**64 - 1) for s in shingles]
         for j, (a, b) in enumerate(D.parameters()):
             assert least[i, j] == min(((a * h + b) % D.PRIME for h in hashes), default=D.MAX_HASH)
         tokens = [int(hashlib.sha256(x.encode()).hexdigest()[-16:], 16) for w in texts for x in w]
