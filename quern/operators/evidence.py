@@ -10,19 +10,23 @@ from quern.functions import text as T
 
 
 def windows(texts: DataFrame, most: int = 500, overlap: int = 50, least: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start, end, span): the whole text if it is short, else sliding windows; spans below least are dropped."""
+    """(key, start, end, span): the whole text if it is short, else sliding windows that end at their last blank (if that is behind least characters)."""
     n = F.length(text)
     starts = F.when(n <= most, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(n - least - 1, F.lit(0)), F.lit(most - overlap)))
-    out = texts.select(key, F.col(text).alias("t"), F.explode(starts).alias("start"))
-    spans = out.select(key, "start", F.least(F.col("start") + most, F.length("t")).alias("end"), F.substring(F.col("t"), F.col("start") + 1, F.lit(most)).alias("span"))
+    out = texts.select(key, F.col(text).alias("t"), F.explode(starts).alias("start")).withColumn("_s", F.substring(F.col("t"), F.col("start") + 1, F.lit(most)))
+    behind = F.locate(" ", F.reverse("_s"))
+    blank = F.length("_s") - behind
+    size = F.when((F.col("start") + F.length("_s") < F.length("t")) & (behind > 0) & (blank > least), blank).otherwise(F.length("_s")).cast("int")
+    spans = out.select(key, "start", (F.col("start") + size).alias("end"), F.left("_s", size).alias("span"))
     return spans.where((F.length("span") >= least) | (F.col("start") == 0))
 
 
 def best_spans(claims: DataFrame, spans: DataFrame, on: str, claim: str = "claim", n: int = 3) -> DataFrame:
-    """The n spans that share most words with each claim (token-set similarity), within the equal-join column on."""
+    """The n spans that share most words (between white space) with each claim, within the equal-join column on; ties to the first span."""
+    words = lambda t: F.array_distinct(F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != ""))
     # word sets are columns of both sides, so that each is made once
-    left = claims.withColumn("_a", F.array_distinct(T.tokens(F.col(claim))))
-    scored = left.join(spans.withColumn("_b", F.array_distinct(T.tokens(F.col("span")))), on).withColumn("score", F.round(T.jaccard(F.col("_a"), F.col("_b")), 6)).drop("_a", "_b")
+    left = claims.withColumn("_a", words(F.col(claim)))
+    scored = left.join(spans.withColumn("_b", words(F.col("span"))), on).withColumn("score", F.round(T.jaccard(F.col("_a"), F.col("_b")), 6)).drop("_a", "_b")
     order = W.partitionBy(on).orderBy(F.desc("score"), "start")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 

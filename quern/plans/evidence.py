@@ -8,9 +8,10 @@ from quern.functions import text as T
 from quern.operators import evidence as E
 from quern.operators import structured as S
 from quern.plans.catalog import register, table
-from quern.plans.retrieval import WORDS
 
-_WINDOWS = "SELECT doc_id, s AS start, least(s + 500, length(text))::INTEGER AS \"end\", substr(text, s + 1, 500) AS span FROM (SELECT doc_id, text, unnest(CASE WHEN length(text) <= 500 THEN [0] ELSE range(0, length(text) - 50, 450) END)::INTEGER AS s FROM documents)"
+_WINDOWS = """SELECT doc_id, s AS start, (s + size)::INTEGER AS "end", left(sub, size) AS span FROM (SELECT *, CASE WHEN s + length(sub) < length(text) AND strpos(reverse(sub), ' ') > 0 AND length(sub) - strpos(reverse(sub), ' ') > 50 THEN length(sub) - strpos(reverse(sub), ' ') ELSE length(sub) END AS size
+  FROM (SELECT *, substr(text, s + 1, 500) AS sub FROM (SELECT doc_id, text, unnest(CASE WHEN length(text) <= 500 THEN [0] ELSE range(0, length(text) - 50, 450) END)::INTEGER AS s FROM documents)))"""
+_WORDSET = "list_distinct(regexp_extract_all(lower({}), '[^ \\t\\n\\f\\r\\x0b]+'))"
 register("evi_windows", lambda s, d: E.windows(table(s, d, "documents")).select("doc_id", "start", "end", F.sha2("span", 256).alias("hash")), f'SELECT doc_id, start, "end", sha256(span) AS hash FROM ({_WINDOWS}) WHERE length(span) >= 50 OR start = 0')
 
 
@@ -24,7 +25,7 @@ register(
     "evi_best_spans",
     _best,
     f"""WITH w AS (SELECT * FROM ({_WINDOWS}) WHERE length(span) >= 50 OR start = 0), c AS (SELECT doc_id, trim(regexp_extract_all(text, '[^.!?]+[.!?]+')[1], ' ') AS claim FROM documents),
-  t AS (SELECT doc_id, start, list_distinct({WORDS.format('claim')}) AS a, list_distinct({WORDS.format('span')}) AS b FROM c JOIN w USING (doc_id) WHERE claim IS NOT NULL),
+  t AS (SELECT doc_id, start, {_WORDSET.format('claim')} AS a, {_WORDSET.format('span')} AS b FROM c JOIN w USING (doc_id) WHERE claim IS NOT NULL),
   s AS (SELECT doc_id, start, CASE WHEN len(a) + len(b) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) END::DOUBLE AS score FROM t)
   SELECT doc_id, rank, start, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, start)::INTEGER AS rank FROM s) WHERE rank <= 3""",
 )
