@@ -72,10 +72,14 @@ register(
   g AS (SELECT k, i, n, 0 AS c, n AS used FROM items WHERE i = 1 UNION ALL SELECT t.k, t.i, t.n, CASE WHEN g.used + t.n > 128 THEN g.c + 1 ELSE g.c END, CASE WHEN g.used + t.n > 128 THEN t.n ELSE g.used + t.n END FROM g JOIN items t ON t.k = g.k AND t.i = g.i + 1),
   a AS (SELECT k, c, sum(n) AS n, string_agg(p, chr(10) ORDER BY i) AS t FROM (SELECT g.*, p FROM g JOIN items USING (k, i)) GROUP BY k, c) SELECT k AS document_id, (row_number() OVER (PARTITION BY k ORDER BY c) - 1)::INTEGER AS chunk_index, n::INTEGER AS token_count, md5(t) AS hash FROM a WHERE n > 0""",
 )
+_OVER = "x.n > 512 OR (g.open AND g.used + x.n > 512)"
 register(
     "chk_conversation_pack",
     lambda s, d: C.packed_turns(table(s, d, "conversations").distinct().select(F.col("conv_id").alias("document_id"), "turn", F.concat_ws(": ", "role", "text").alias("text")), 512),
-    None,
+    f"""WITH RECURSIVE t AS (SELECT conv_id AS k, turn, concat_ws(': ', role, text) AS t FROM (SELECT DISTINCT * FROM conversations)), x AS (SELECT k, turn, row_number() OVER (PARTITION BY k ORDER BY turn, t) AS i, len({WORDS.format('t')}) AS n FROM t),
+  g AS (SELECT k, i, n, turn, 0::BIGINT AS c, CASE WHEN n > 512 THEN CAST(ceil(n / 462) AS BIGINT) ELSE 0 END AS next, CASE WHEN n > 512 THEN 0 ELSE n END AS used, n <= 512 AS open FROM x WHERE i = 1
+   UNION ALL SELECT x.k, x.i, x.n, x.turn, CASE WHEN {_OVER} THEN g.next + g.open::INTEGER ELSE g.next END, CASE WHEN x.n > 512 THEN g.next + g.open::INTEGER + CAST(ceil(x.n / 462) AS BIGINT) WHEN {_OVER} THEN g.next + 1 ELSE g.next END, CASE WHEN x.n > 512 THEN 0 WHEN g.open AND g.used + x.n <= 512 THEN g.used + x.n ELSE x.n END, x.n <= 512 FROM g JOIN x ON x.k = g.k AND x.i = g.i + 1)
+  SELECT k AS document_id, c::INTEGER AS chunk_index, count(*) AS turns, sum(n)::BIGINT AS token_count, arg_min(turn, i) AS first_turn, arg_max(turn, i) AS last_turn FROM g WHERE n <= 512 GROUP BY k, c UNION ALL SELECT k, (c + u)::INTEGER, 1, least(462, n - u * 462), turn, turn FROM (SELECT *, unnest(range(0, CAST(ceil(n / 462) AS BIGINT))) AS u FROM g WHERE n > 512)""",
 )
 register(
     "chk_standard_chunk",
