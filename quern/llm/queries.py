@@ -8,6 +8,7 @@ from quern.llm.langid import op1_language_id
 from quern.llm.neardup import op6_near_duplicates
 from quern.llm.nearest import op5_nearest
 from quern.llm.packing import op4_packing
+from quern.llm.pointintime import op11_point_in_time
 from quern.llm.repeats import op7_repeated_passages
 from quern.llm.secrets import op8_secret_scan
 from quern.llm.toxicity import op2_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_roles": op9_chat_roles,
     "op10_warc": op10_warc,
+    "op11_point_in_time": op11_point_in_time,
 }
 
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, {10 * j + 1}, 10))::UBIGINT >> {35 - 5 * k}::UBIGINT) & 31) + 1)::BIGINT, 1)" for j in range(4) for k in range(8))
@@ -44,4 +46,8 @@ ORACLES: dict[str, str] = {
     "op7_repeated_passages": f"""WITH {_LOWER_WORDS}, x AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50), h AS (SELECT doc_id, i - 1 AS pos, md5(array_to_string(w[i:i+49], ' ')) AS h FROM x),
   d AS (SELECT doc_id, pos FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(DISTINCT doc_id) > 1)), g AS (SELECT doc_id, pos, coalesce(pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50, true)::INTEGER AS fresh FROM d),
   n AS (SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM g) SELECT doc_id, min(pos)::INTEGER AS start_word, (max(pos) + 50 - min(pos))::INTEGER AS n_words FROM n GROUP BY doc_id, span""",
+    "op11_point_in_time": """WITH h AS (SELECT *, sha256(doc_id::VARCHAR) AS h FROM documents), v AS (SELECT doc_id, source, n_chars, lang, ('0x' || h[1:8])::BIGINT % 20000 AS event, ('0x' || h[1:8])::BIGINT % 20000 - 60 + ('0x' || h[9:16])::BIGINT % 300 AS arrival, ('0x' || h[1:8])::BIGINT % 20000 + ('0x' || h[17:24])::BIGINT % 900 AS expiry FROM h),
+  a AS (SELECT row_number() OVER () AS n, l.doc_id, s.source, ('0x' || sha256(l.doc_id::VARCHAR)[25:32])::BIGINT % 20000 AS t FROM labels l LEFT JOIN (SELECT doc_id, min(source) AS source FROM documents GROUP BY doc_id) s USING (doc_id)),
+  w AS (SELECT n, v.*, row_number() OVER (PARTITION BY n ORDER BY event DESC, arrival, v.doc_id DESC, expiry DESC) AS r FROM a JOIN v ON v.source = a.source AND event <= t AND arrival <= t AND t < expiry)
+  SELECT a.doc_id, t, w.doc_id AS version_id, t - event AS age, CASE WHEN w.n IS NULL THEN 'none' WHEN t - event > 60 THEN 'stale' ELSE 'fresh' END AS status, CASE WHEN t - event <= 60 THEN n_chars END AS n_chars, CASE WHEN t - event <= 60 THEN lang END AS lang FROM a LEFT JOIN w ON w.n = a.n AND r = 1""",
 }
