@@ -5,6 +5,7 @@ from __future__ import annotations
 from quern.llm.chat import op9_chat_roles
 from quern.llm.decontaminate import op3_decontamination
 from quern.llm.langid import op1_language_id
+from quern.llm.manifest import op13_manifest
 from quern.llm.neardup import op6_near_duplicates
 from quern.llm.nearest import op5_nearest
 from quern.llm.packing import op4_packing
@@ -26,12 +27,17 @@ QUERIES = {
     "op9_chat_roles": op9_chat_roles,
     "op10_warc": op10_warc,
     "op11_point_in_time": op11_point_in_time,
+    "op13_manifest": op13_manifest,
 }
 
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, {10 * j + 1}, 10))::UBIGINT >> {35 - 5 * k}::UBIGINT) & 31) + 1)::BIGINT, 1)" for j in range(4) for k in range(8))
 
 _LOWER_WORDS = r"w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents)"
 
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda a, b: xor(a >> 8, list_reduce([xor(a, b) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))), 4294967295)"
+
 ORACLES: dict[str, str] = {
     "op5_nearest": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
   SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM
@@ -50,4 +56,15 @@ ORACLES: dict[str, str] = {
   a AS (SELECT row_number() OVER () AS n, l.doc_id, s.source, ('0x' || sha256(l.doc_id::VARCHAR)[25:32])::BIGINT % 20000 AS t FROM labels l LEFT JOIN (SELECT doc_id, min(source) AS source FROM documents GROUP BY doc_id) s USING (doc_id)),
   w AS (SELECT n, v.*, row_number() OVER (PARTITION BY n ORDER BY event DESC, arrival, v.doc_id DESC, expiry DESC) AS r FROM a JOIN v ON v.source = a.source AND event <= t AND arrival <= t AND t < expiry)
   SELECT a.doc_id, t, w.doc_id AS version_id, t - event AS age, CASE WHEN w.n IS NULL THEN 'none' WHEN t - event > 60 THEN 'stale' ELSE 'fresh' END AS status, CASE WHEN t - event <= 60 THEN n_chars END AS n_chars, CASE WHEN t - event <= 60 THEN lang END AS lang FROM a LEFT JOIN w ON w.n = a.n AND r = 1""",
+    "op13_manifest": f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('v' || lang, '') AS g, {_LEAF.replace('{n}', 'n_chars')} AS leaf, {_LEAF.replace('{n}', '(n_chars + 1)')} AS bad FROM documents),
+  o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY g) AS n FROM d),
+  t(g, l, p, h, n) AS (SELECT g, 0, p, leaf, n FROM o UNION ALL SELECT g, l + 1, p // 2, sha256(string_agg(h, '' ORDER BY p)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY g, l, n, p // 2),
+  s AS (SELECT g, h AS subroot, l AS tall, row_number() OVER (ORDER BY g) - 1 AS p, count(*) OVER () AS n FROM t WHERE n = 1),
+  u(l, p, h, n) AS (SELECT 0, p, subroot, n FROM s UNION ALL SELECT l + 1, p // 2, sha256(string_agg(h, '' ORDER BY p)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY l, n, p // 2),
+  r AS (SELECT h AS root, l AS tall FROM u WHERE n = 1),
+  k AS (SELECT o.doc_id, o.g, o.p, leaf, subroot, root, s.tall AS low, r.tall AS high, s.p AS q, CASE WHEN crc_7 THEN coalesce(bad, leaf) ELSE leaf END AS f FROM (SELECT *, {_CRC32} % 7 = 0 AS crc_7 FROM o) o JOIN s USING (g), r),
+  w(doc_id, p, g, q, l, low, high, f, seen) AS (SELECT doc_id, p, g, q, 0, low, high, f, '' FROM k UNION ALL
+    SELECT w.doc_id, w.p, w.g, w.q, w.l + 1, low, high, sha256(CASE WHEN (CASE WHEN w.l < low THEN w.p >> w.l ELSE w.q >> (w.l - low) END) % 2 = 1 THEN coalesce(a.h, b.h, '') || f ELSE f || coalesce(a.h, b.h, '') END), seen || coalesce(a.h, b.h, '')
+    FROM w LEFT JOIN t a ON w.l < low AND a.g = w.g AND a.l = w.l AND a.p = xor(w.p >> w.l, 1) LEFT JOIN u b ON w.l >= low AND b.l = w.l - low AND b.p = xor(w.q >> (w.l - low), 1) WHERE w.l < low + high)
+  SELECT k.doc_id, leaf, subroot, root, sha256(seen) AS proof_sha256, w.f AS folded_root, w.f = root AS verified FROM k JOIN w ON k.g = w.g AND k.p = w.p AND w.l = k.low + k.high""",
 }
