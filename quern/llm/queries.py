@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quern.llm.chat import op9_chat_roles
 from quern.llm.decontaminate import op3_decontamination
+from quern.llm.fingerprints import op12_fingerprints
 from quern.llm.langid import op1_language_id
 from quern.llm.manifest import op13_manifest
 from quern.llm.neardup import op6_near_duplicates
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_chat_roles": op9_chat_roles,
     "op10_warc": op10_warc,
     "op11_point_in_time": op11_point_in_time,
+    "op12_fingerprints": op12_fingerprints,
     "op13_manifest": op13_manifest,
 }
 
