@@ -6,8 +6,8 @@ cut into blocks of bounded size, so that a hot key spans many tasks. In a block
 rank: each edit copies the path to one leaf and makes a new root, a question binary-searches the root of its time and reads its maximum.
 
 Versions that cross a block's border: one that ends in a block without starting there is active from the block's first root on. One that
-covers a whole block is always active there, so only the best of these matters: each such version is put into O(log blocks) dyadic
-runs of blocks, reduced to the best of each run before the shuffle, and a block's best is that of the runs around it. No version is
+covers a whole block is always active there, so only the best of these matters: the best version from each first to each last block is put
+into O(log blocks) dyadic runs of blocks, and a block's best is that of the runs around it. No version is
 copied to all the blocks that it covers, and nothing but Spark's own range sample goes to the driver.
 
 Rank: latest event, then earliest arrival, then largest id, then latest expiry, then largest features. Versions of a key that are active in exactly the same
@@ -138,7 +138,8 @@ def _answers(edits: DataFrame, asks: DataFrame, block: int) -> DataFrame:
         return F.array(odd(a % 2 == 1, a), odd(b % 2 == 1, b - 1))
 
     runs = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS)), runs_of)), lambda x: x.isNotNull())
-    held = crossing.where("last > block + 1").select("best", F.inline(runs)).groupBy("level", "place").agg(F.max("best").alias("best"))
+    longest = crossing.where("last > block + 1").groupBy("block", "last").agg(F.max("best").alias("best"))
+    held = longest.select("best", F.inline(runs)).groupBy("level", "place").agg(F.max("best").alias("best"))
     asked = found.where("what = 'ask'").select("block", "key", "time", "best")
     around = asked.select("block").distinct().select("block", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS))).alias("level")).withColumn("place", F.expr("shiftright(block, level)"))
     carried = around.join(held.hint("merge"), ["level", "place"]).groupBy("block").agg(F.max("best").alias("held"))
