@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.scratch import written
+
+MOST_BROADCAST = 100_000  # keys with more than a block of rows
+
 
 def pairs_within(rows: DataFrame, key: str, block: int = 2000) -> DataFrame:
     """Every ordered pair of rows of a key as (key, a_<column>, b_<column>); rows must differ.
 
-    A key of up to block rows is one task's; a larger one of n blocks goes to n * n tasks, each with a block of either side.
+    A key of up to block rows is one task's; a larger one of n blocks goes to n * n tasks, each with a block of either side. Only the larger keys have a
+    size to look up, at most rows / block of them: they are broadcast if they are few, so that no hot key is gathered to learn its own size.
     """
     columns = [c for c in rows.columns if c != key]
-    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
-    dealt = rows.join(sizes, key).withColumn("_own", F.pmod(F.xxhash64(*columns), F.col("_n")).cast("int"))
+    large = written(rows.groupBy(key).count().where(F.col("count") > block).select(F.col(key).alias("_key"), F.ceil(F.col("count") / block).cast("int").alias("_n")))
+    large = F.broadcast(large) if large.count() <= MOST_BROADCAST else large
+    sized = rows.join(large, rows[key] == large["_key"], "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    dealt = sized.withColumn("_own", F.pmod(F.xxhash64(*columns), F.col("_n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
     left = dealt.select(key, F.col("_own").alias("_i"), other.alias("_j"), *[F.col(c).alias(f"a_{c}") for c in columns])
     right = dealt.select(key, other.alias("_i"), F.col("_own").alias("_j"), *[F.col(c).alias(f"b_{c}") for c in columns])

@@ -139,3 +139,39 @@ def test_aliases_of_odd_texts(spark):
     rows = spark.createDataFrame([(1, 5, "EIP-5 (the cap), also known as it. EIP-6 (other)"), (2, 5, None)], "id int, number int, text string")
     assert [(r.alias, r.kind) for r in located.aliases(rows, "id").collect()] == [("the cap", "eip_parenthetical")]
     assert [(r.other, r.context) for r in located.other_references(rows, "id").collect()] == [(6, "other")]
+
+
+def test_links_across_sources_keep_every_member(spark):
+    """Equal texts of one source are one class whose members share its links; texts of one source are never linked."""
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    near = base.replace("seven", "other")
+    rows = [(1, base, "s"), (2, base, "s"), (3, near, "t"), (4, base, "t"), (5, near, "s"), (6, "", "s"), (7, None, "t"), (8, "quite another text with words of its own", "t")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    index = dedup.signatures(docs).join(docs.select("doc_id", "source"), "doc_id")
+    signs = {r.doc_id: r for r in index.collect()}
+    for block in (2000, 2):
+        members, links = dedup.duplicate_classes(index, source="source", block=block)
+        rep = {r.doc_id: r.rep for r in members.collect()}
+        assert set(rep) == set(signs) and rep[2] == 1 and rep[4] == 4
+        linked = {(r.a, r.b) for r in links.collect()}
+        got = {(a, b) for a in rep for b in rep if a < b and tuple(sorted((rep[a], rep[b]))) in linked}
+        alike = lambda a, b: dedup.estimate(a.minhash, b.minhash) >= 0.7 or bin((a.simhash ^ b.simhash) & (2**64 - 1)).count("1") <= 9
+        assert got == {(a, b) for a in signs for b in signs if a < b and signs[a].source != signs[b].source and alike(signs[a], signs[b])}
+    empty = dedup.duplicate_classes(index.limit(0), source="source")
+    assert [df.count() for df in empty] == [0, 0]
+
+
+def test_values_that_differ_in_few_bits_agree_under_a_mask():
+    import random
+
+    rng = random.Random(2)
+    for n in (1, 10**5, 10**8):
+        t = dedup.agreeing(n, 9)
+        masks = dedup.bit_masks(9, t)
+        for _ in range(200):
+            x = rng.getrandbits(64)
+            y = x
+            for bit in rng.sample(range(64), 9):
+                y ^= 1 << bit
+            assert any((x ^ y) & m & (2**64 - 1) == 0 for m in masks)
+    assert [dedup.agreeing(n, 9) for n in (1, 10**4, 10**6, 10**8, 10**12)] == [1, 2, 3, 5, 5]
