@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.common import arrow_iter, bucket, plain, sorted_groups, to_arrow, written
@@ -103,30 +104,32 @@ def _lines(rows: DataFrame, conv: str, pos: str, text: str, *more: str) -> DataF
 
 
 def fit(rows: DataFrame, conv: str = "conv_id", pos: str = "turn", text: str = "text", role: str = "role", block: int = 4096) -> RoleModel:
-    """Counts over all lines whose role isn't null; pairs of lines are counted within blocks, lines without id or position by themselves."""
+    """Counts over all lines whose role isn't null and all pairs of neighbouring ones, however they are dealt to blocks; lines without id or position stand by themselves."""
     lines = _lines(rows, conv, pos, text, role).withColumnRenamed(role, "role").where("role IS NOT NULL")
     placed = _blocks(lines.where(PLACED), block, "role")
-    ahead = placed.groupBy("conv").agg(F.min("block").alias("block")).select("block", F.lit(True).alias("first"))
+    # the role that each block's first line follows: one row a block
+    lasts = placed.groupBy("conv", "block").agg(F.max(F.struct("pos", "text", "role"))["role"].alias("last"))
+    ahead = lasts.select("block", F.lag("last").over(W.partitionBy("conv").orderBy("block")).alias("before"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         table: dict[tuple, int] = {}
         for batch, cuts in sorted_groups(batches, ["block"]):
-            roles, starts = batch.column("role").to_pylist(), batch.column("first").to_pylist()
+            roles, before = batch.column("role").to_pylist(), batch.column("before").to_pylist()
             first = set(cuts.tolist())
             for i, (r, t) in enumerate(zip(roles, batch.column("text"), strict=True)):
                 keys = [("emit", r, str(f), str(v)) for f, v in enumerate(features(t.as_py()))]
                 if i not in first:
                     keys.append(("step", roles[i - 1], r, ""))
-                elif starts[i]:
-                    keys.append(("start", r, "", ""))
+                else:
+                    keys.append(("start", r, "", "") if before[i] is None else ("step", before[i], r, ""))
                 for k in keys:
                     table[k] = table.get(k, 0) + 1
         if table:
             kind, a, b, c = zip(*table, strict=True)
             yield {"kind": kind, "a": a, "b": b, "c": c, "n": list(table.values())}
 
-    grouped = _sorted(placed.join(ahead, "block", "left").select("block", "pos", "text", "role", "first"), "role")
-    alone = lines.where(f"NOT ({PLACED})").select(F.monotonically_increasing_id().alias("block"), "pos", "text", "role", F.lit(True).alias("first"))
+    grouped = _sorted(placed.join(ahead, "block", "left").select("block", "pos", "text", "role", "before"), "role")
+    alone = lines.where(f"NOT ({PLACED})").select(F.monotonically_increasing_id().alias("block"), "pos", "text", "role", F.lit(None).cast("string").alias("before"))
     each = [arrow_iter(x, count, "kind string, a string, b string, c string, n bigint") for x in (grouped, alone)]
     counted = each[0].unionAll(each[1]).groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n")).collect()
     roles = sorted({r.a for r in counted if r.kind == "emit"})

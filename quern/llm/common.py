@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from quern.scratch import discard, new_scratch, scratch_dir, written
 
-__all__ = ["WordHashes", "arrow_iter", "arrow_map", "bucket", "discard", "flat", "mix", "new_scratch", "plain", "rolling", "scratch_dir", "sorted_groups", "to_arrow", "values", "written"]
+__all__ = ["WordHashes", "arrow_iter", "arrow_map", "bucket", "discard", "flat", "mapped", "mix", "new_scratch", "plain", "rolling", "scratch_dir", "sorted_groups", "to_arrow", "values", "written"]
 
 
 BATCH_BYTES = 16 << 20
@@ -30,6 +30,14 @@ def values(column: pa.Array) -> Iterator:
     return (x.as_py() for x in column)
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow for columns of any name: it can't read names with dots or backticks, so these come in under other names."""
+    names = df.columns
+    if not any("." in n or "`" in n for n in names):
+        return df.mapInArrow(run, schema)
+    return df.toDF(*[f"_{j}" for j in range(len(names))]).mapInArrow(lambda batches: run(b.rename_columns(names) for b in batches), schema)
+
+
 def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """mapInArrow with a function from a batch to columns (a dict); column types come from schema."""
     _bounded(df)
@@ -40,7 +48,7 @@ def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: str
             if batch.num_rows:
                 yield as_batch(step(batch), target)
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def arrow_iter(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
@@ -52,7 +60,7 @@ def arrow_iter(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
         for columns in run(batches):
             yield as_batch(columns, target)
 
-    return df.mapInArrow(convert, schema)
+    return mapped(df, convert, schema)
 
 
 def to_arrow(schema: str) -> pa.Schema:

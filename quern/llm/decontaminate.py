@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_iter, plain
+from quern.llm.common import arrow_iter, mapped, plain
 
 _OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -202,7 +202,7 @@ def _keep_clean(docs: DataFrame, rows: list[tuple], limits: tuple, text: str) ->
         for batch in batches:
             yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in batch.column(text)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

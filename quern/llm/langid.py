@@ -204,7 +204,7 @@ def identify(docs: DataFrame, model: PPMModel, text: str = "text") -> DataFrame:
     """docs with lang_pred and score added (columns of these names are replaced)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    base = docs.select(*[docs[c] for c in kept])
+    base = docs.select(*[docs[f"`{c}`"] for c in kept])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + ["lang_pred string", "score double"])
 
     def step(batch: pa.RecordBatch) -> dict:

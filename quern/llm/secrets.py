@@ -173,10 +173,10 @@ _VALUE = r"(?:pass|pwd|secret|token|key|auth|bearer|credential)[\p{L}\p{N}_-]{0,
 
 def dictionary(docs: DataFrame, text: str = "text", most: int = 20_000, least_share: float = 1e-4, least_docs: int = 5) -> dict[str, int]:
     """Ranks of words: the common ones of passwords, then the ``most`` most frequent words (letters only) of docs that occur in
-    least_share of all documents, and in least_docs at least. Words right behind a credential word don't count. Words that are
-    equally frequent are all in or all out.
+    least_share of all documents, and in least_docs at least. Words right behind a credential word don't count. Of
+    equally frequent words the alphabetically first are taken.
 
-    Counted over all texts on the executors; the driver gets how many words there are of each count, then at most ``most`` words.
+    Counted over all texts on the executors; the driver gets at most ``most`` words.
     """
     base = plain(docs, text).toDF("t").where("t IS NOT NULL").select(F.lower("t").alias("t"))
     hinted = reduce(lambda a, b: a | b, [F.contains("t", F.lit(h)) for h in HINTS])
@@ -185,13 +185,7 @@ def dictionary(docs: DataFrame, text: str = "text", most: int = 20_000, least_sh
     counted = base.select(F.explode(found).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     least = max(least_docs, math.ceil(least_share * base.count()))
     kept = written(counted.where(F.col("n") >= least))
-    total, cut = 0, None
-    for r in kept.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():
-        total += r.words
-        if total > most:
-            break
-        cut = r.n
-    words = [] if cut is None else [r.w for r in sorted(kept.where(F.col("n") >= cut).collect(), key=lambda r: (-r.n, r.w))]
+    words = [r.w for r in kept.orderBy(F.desc("n"), "w").limit(most).collect()]
     return RANK | {w: len(RANK) + j for j, w in enumerate((w for w in words if w not in RANK), 1)}
 
 
@@ -220,7 +214,7 @@ def find_secrets(docs: DataFrame, text: str = "text", min_log10_guesses: float =
     """docs with secrets: an array of (start, end, kind), code points with the end exclusive. rank: a dictionary, else that of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(dictionary(docs, text) if rank is None else rank)
     kept = [c for c in docs.columns if c != "secrets"]
-    base = docs.select(*[docs[c] for c in kept])
+    base = docs.select(*[docs[f"`{c}`"] for c in kept])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + ["secrets array<struct<start:int,end:int,kind:string>>"])
 
     def step(batch: pa.RecordBatch) -> dict:

@@ -267,14 +267,14 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
     sent = docs.sparkSession.sparkContext.broadcast(model)
     added = "score double, examples array<int>, similarities array<double>"
     kept = [c for c in docs.columns if c not in ("score", "examples", "similarities")]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[docs[c] for c in kept]).schema] + [added])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[docs[f"`{c}`"] for c in kept]).schema] + [added])
 
     def step(batch: pa.RecordBatch) -> dict:
         m = sent.value
         got = [m.score(t) for t in values(batch.column(text))]
         return {c: batch.column(c) for c in batch.schema.names} | {"score": [x[0] for x in got], "examples": [x[1] for x in got], "similarities": [x[2] for x in got]}
 
-    return arrow_map(docs.select(*[docs[c] for c in kept]), step, schema)
+    return arrow_map(docs.select(*[docs[f"`{c}`"] for c in kept]), step, schema)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:

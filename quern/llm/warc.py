@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,11 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def urn(ident) -> str:
+    """An id as a URN: what isn't a letter, a digit or one of -._~ is escaped, so no id can end a header line."""
+    return f"<urn:page:{quote(str(ident), safe='', errors='surrogatepass')}>"
+
+
 def planned(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, most_broadcast: int = 20_000) -> DataFrame:
     """(page_id, url, payload, refers_to): refers_to is null for responses."""
     base = plain(pages, id_col, url, payload).toDF("page_id", "url", "payload").withColumn("payload", F.coalesce(F.col("payload").cast("string"), F.lit("")))
@@ -63,14 +69,14 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str =
             head = [
                 "WARC/1.1",
                 f"WARC-Type: {'revisit' if revisit else 'response'}",
-                *([] if ident is None else [f"WARC-Record-ID: <urn:page:{ident}>"]),
+                *([] if ident is None else [f"WARC-Record-ID: {urn(ident)}"]),
                 f"WARC-Target-URI: {' '.join((target or '').split())}",
                 "WARC-Date: 1970-01-01T00:00:00Z",
                 f"WARC-Payload-Digest: sha1:{sha1_base32(data)}",
                 f"X-Payload-Length: {len(data)}",
             ]
             if revisit:
-                head += [f"WARC-Refers-To: <urn:page:{refers}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+                head += [f"WARC-Refers-To: {urn(refers)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
             head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {0 if revisit else len(data)}"]
             # the writer adds the record's last line feed
             out.append("\r\n".join(head) + GAP + ("" if revisit else text) + GAP[:-1])
@@ -122,7 +128,7 @@ def _row(kind: str, file: str, split: int, **more) -> tuple:
 
 def _fields(f: dict[str, str]) -> dict:
     """A candidate's columns from its header."""
-    ident = lambda k: f[k][len("<urn:page:") : -1] if f.get(k, "").startswith("<urn:page:") else None
+    ident = lambda k: unquote(f[k][len("<urn:page:") : -1], errors="surrogatepass") if f.get(k, "").startswith("<urn:page:") else None
     size = f.get("x-payload-length", "")
     return {"length": int(f["content-length"]), "page": ident("warc-record-id"), "type": f["warc-type"], "refers": ident("warc-refers-to"), "digest": f.get("warc-payload-digest", "").removeprefix("sha1:"), "bytes": int(size) if size.isdecimal() else None}
 
