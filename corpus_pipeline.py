@@ -46,7 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if again.isEmpty():
         return out
     # rows that share an id are one document: the smallest row, as text
-    rows = out.join(_sized(again), out["doc_id"] == again["_again"], "left_semi").select(F.col("doc_id").alias("_id"), F.struct(*docs.columns).alias("_row"))
+    rows = out.join(_sized(again), out["doc_id"] == again["_again"], "left_semi").select(F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     once = rows.groupBy("_id").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row.*")
     return out.join(_sized(again), out["doc_id"] == again["_again"], "left_anti").unionByName(once)
 
