@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import arrow_iter, arrow_map, plain, written
 
-SEED, WALKS, PERIOD = 12, 3, 256
-FIRST, PER_OCTAVE, OCTAVES = 5, 24, 40
+SEED, WALKS, PERIOD = 12, 2, 256
+FIRST, PER_OCTAVE, OCTAVES = 5, 32, 40
 PIECE = 1 << 20
 
 
