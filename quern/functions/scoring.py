@@ -24,7 +24,6 @@ SECTIONS = ("abstract", "introduction", "conclusion", "references")
 # fixed values: query patterns by group
 COMPARISON = (r"\bcompare\b", r"\bversus\b", r"\bvs\.?\b", r"\bdifference\s+between\b", r"\bhow\s+does\s+.+\s+differ\b", r"\bsimilarities\s+between\b", r"\bcontrast\b")
 EVOLUTION = (r"\bevolve[d]?\b", r"\bhistory\s+of\b", r"\bover\s+time\b", r"\bprogression\b", r"\btimeline\b", r"\bchanged?\s+from\b", r"\bdevelop(ed|ment)?\b")
-MULTI_ENTITY = (r"\band\b.*\band\b", r"\bmultiple\b", r"\bseveral\b", r"\ball\s+the\b", r"\beach\s+of\b")
 MULTI_HOP = (r"\brelate\s+to\b", r"\bdepend(s|encies)?\s+on\b", r"\brequire[s]?\b.*\brequire[s]?\b", r"\bchain\s+of\b", r"\btransitive(ly)?\b", r"\bindirect(ly)?\b", r"\bimplications?\s+of\b")
 # fixed values: indicators of structured outputs, in the order that settles ties
 OUTPUTS = {

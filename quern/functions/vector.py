@@ -20,4 +20,5 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def literal(vector: list[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in vector])
+    """A vector as a column; an empty one has no cosine with any other."""
+    return F.array(*[F.lit(float(x)) for x in vector]).cast("array<double>")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.operators.graph import closure
-from quern.operators.retrieval import topk_per_group, vector_topk
+from quern.operators.retrieval import scored, topk_per_group, vector_topk
 from quern.scratch import written
 
 # fixed values: words that mark a query about code
@@ -25,8 +25,6 @@ NAME_KINDS = (
     ("parser", ("parse", "decode", "deserialize", "unmarshal")),
     ("encoder", ("encode", "serialize", "marshal", "format")),
 )
-MOST_SEEDS = 10_000
-
 
 def both_ways(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """(seed, id, way): what each seed (a column root) needs and what needs it, up to a depth, and what it supersedes or is superseded by."""
@@ -57,7 +55,7 @@ def graph_augmented(chunks: DataFrame, edges: DataFrame, query: list[float], men
     top = [r.number for r in primary.orderBy(F.desc("similarity"), "chunk_id").limit(3).collect()]
     seeds = spark.createDataFrame([(n,) for n in sorted({*mentions, *top} - {None})], "root bigint")
     few = written(prioritised(both_ways(edges, seeds, depth), edges, seeds, most))  # at most most rows
-    near = topk_per_group(vector_topk(chunks.join(F.broadcast(few.select(F.col("id").alias("number"))), "number", "left_semi"), query, most * MOST_SEEDS), "number", per)
+    near = topk_per_group(scored(chunks.join(F.broadcast(few.select(F.col("id").alias("number"))), "number", "left_semi"), query), "number", per)
     both = primary.select("chunk_id", "number", "similarity", F.lit(False).alias("related")).unionByName(near.select("chunk_id", "number", "similarity", F.lit(True).alias("related")))
     once = both.groupBy("chunk_id").agg(F.min(F.struct("related", "number", "similarity")).alias("r")).select("chunk_id", "r.number", "r.similarity", "r.related")
     return once.orderBy(F.desc("similarity"), "chunk_id").limit(k + 2 * few.count())
@@ -135,8 +133,8 @@ def named(hits: DataFrame, wanted: str, k: int = 10, name: str = "name") -> Data
 def reranked(hits: DataFrame, query: str, score, n: int | None = None, text: str = "content") -> DataFrame:
     """hits with relevance and their original_index (by similarity), by relevance; score is a function of two text columns."""
     order = W.orderBy(F.desc("similarity"), "chunk_id")  # of one query's hits
-    scored = hits.withColumn("original_index", F.row_number().over(order) - 1).withColumn("relevance", F.round(score(F.lit(query), F.col(text)), 6))
-    out = scored.orderBy(F.desc("relevance"), "original_index")
+    rated = hits.withColumn("original_index", F.row_number().over(order) - 1).withColumn("relevance", F.round(score(F.lit(query), F.col(text)), 6))
+    out = rated.orderBy(F.desc("relevance"), "original_index")
     return out if n is None else out.limit(n)
 
 
@@ -154,7 +152,7 @@ def agent_graph(chunks: DataFrame, edges: DataFrame, query: list[float], mention
     primary = vector_topk(chunks, query, limit).select("chunk_id", "number", "similarity").withColumn("place", F.row_number().over(order))
     seeds = spark.createDataFrame([(n,) for n in sorted(set(mentions))], "root bigint")
     few = written(both_ways(edges, seeds).select("id").distinct().orderBy("id").limit(3))
-    near = topk_per_group(vector_topk(chunks.join(F.broadcast(few.select(F.col("id").alias("number"))), "number", "left_semi"), query, 3 * MOST_SEEDS), "number", 2)
+    near = topk_per_group(scored(chunks.join(F.broadcast(few.select(F.col("id").alias("number"))), "number", "left_semi"), query), "number", 2)
     late = near.select("chunk_id", "number", "similarity", (F.lit(limit) + F.row_number().over(W.orderBy("number", "rank"))).alias("place"))
     both = primary.unionByName(late).groupBy("chunk_id").agg(F.min(F.struct("place", "number", "similarity")).alias("r"))
     return both.select("chunk_id", "r.number", "r.similarity", "r.place").orderBy("place").limit(limit + 5)

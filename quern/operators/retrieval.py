@@ -20,11 +20,15 @@ from quern.functions import vector as V
 DIGITS = 6
 
 
+def scored(chunks: DataFrame, query: list[float], vector: str = "embedding") -> DataFrame:
+    """chunks with similarity; those without one (no vector, a zero vector, or none asked for) go."""
+    return chunks.withColumn("similarity", F.round(V.cosine(F.col(vector), V.literal(query)), DIGITS)).where("similarity IS NOT NULL")
+
+
 def vector_topk(chunks: DataFrame, query: list[float], k: int = 10, key: str = "chunk_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
     """The k rows of the largest cosine similarity to one query vector; where filters before the cut."""
     rows = chunks if where is None else chunks.where(where)
-    scored = rows.withColumn("similarity", F.round(V.cosine(F.col(vector), V.literal(query)), DIGITS))
-    return scored.where("similarity IS NOT NULL").orderBy(F.desc("similarity"), key).limit(k)
+    return scored(rows, query, vector).orderBy(F.desc("similarity"), key).limit(k)
 
 
 def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int = 10, key: str = "chunk_id", vector: str = "embedding", block: int = 4096) -> DataFrame:

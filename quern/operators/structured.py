@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators.substrings import containing
 
 # fixed values: patterns of arguments for and against
 PRO = (r"(?:benefit|advantage|pro|support|favor)[\s:]+([^.]+\.)", r"(?:improves?|enables?|allows?)[\s]+([^.]+\.)")
@@ -65,29 +66,11 @@ def alias_index(aliases: DataFrame) -> DataFrame:
     return aliases.select("number", F.explode(F.array_distinct(F.concat(F.transform("names", F.lower), spelled))).alias("alias")).dropDuplicates(["alias", "number"])
 
 
-def expand(queries: DataFrame, aliases: DataFrame, key: str = "id", text: str = "q", most: int = 1_000_000) -> DataFrame:
-    """(key, numbers): explicit numbers first, then those of alias names found inside the query, in order of number and name.
-
-    The names are a checked number of texts, sent as one automaton that finds all of them in a query at once.
-    """
-    from quern.operators.chunkers import _automaton
-    from quern.operators.located import generated
-
-    rows = aliases.select("number", F.explode("names").alias("name")).where("name <> ''").orderBy("number", "name").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"over {most} names: look them up by exact names")
-    numbers: dict[str, list[tuple[int, int]]] = {}
-    for place, r in enumerate(rows):
-        numbers.setdefault(r.name.lower(), []).append((place, r.number))
-    sent, found_as = (queries.sparkSession.sparkContext.broadcast(x) for x in (list(numbers), numbers))
-
-    def run(query: str | None):
-        automaton = _automaton(sent)
-        hits = {name for _, name in automaton.iter(query.lower())} if query and len(automaton) else ()
-        yield ([n for _, n in sorted(x for name in hits for x in found_as.value[name])],)
-
-    def row(query: str | None, explicit: list[int] | None):
-        for (named,) in run(query):
-            yield (list(dict.fromkeys([*(explicit or []), *named])),)
-
-    return generated(queries.select(key, F.col(text).alias("_q"), T.numbers(F.col(text)).alias("_e")), key, ["_q", "_e"], "numbers array<int>", row)
+def expand(queries: DataFrame, aliases: DataFrame, key: str = "id", text: str = "q") -> DataFrame:
+    """(key, numbers): explicit numbers first, then those of alias names found inside the query, in order of number and name; any number of rows of either."""
+    spelled = aliases.select("number", F.explode("names").alias("spelling")).select("number", "spelling", F.lower("spelling").alias("name"))
+    asked = queries.select(key, F.lower(text).alias("_q"))
+    hits = containing(spelled, asked, key=key, text="_q").join(spelled, "name")
+    named = hits.groupBy(key).agg(F.transform(F.array_sort(F.collect_set(F.struct("number", "spelling"))), lambda x: x["number"]).alias("_n"))
+    found = F.concat(F.coalesce(T.numbers(F.col(text)), F.array().cast("array<int>")).cast("array<int>"), F.coalesce(F.col("_n").cast("array<int>"), F.array().cast("array<int>")))
+    return queries.join(named, key, "left").select(key, F.array_distinct(found).alias("numbers"))

@@ -67,8 +67,8 @@ _PARTS = (("What is EIP-24?", "EIP-24", 0), ("How does it work", "eip-7", 3), ("
 
 
 def _staged(spark, d):
-    vectors = {r.vec_id: list(r.embedding) for r in table(spark, d, "embeddings").where(F.col("vec_id").isin(*[v for *_, v in _PARTS])).collect()}
-    return A.staged(chunks(spark, d), [(t, e, vectors[v]) for t, e, v in _PARTS], 5, 14, 4000)
+    vectors = {r.vec_id: list(r.embedding or []) for r in table(spark, d, "embeddings").where(F.col("vec_id").isin(*[v for *_, v in _PARTS])).collect()}
+    return A.staged(chunks(spark, d), [(t, e, vectors.get(v, [])) for t, e, v in _PARTS], 5, 14, 4000)
 
 
 def _staged_sql() -> str:

@@ -211,13 +211,13 @@ register(
 
 
 def _bodies(spark, d):
-    return table(spark, d, "documents").select(F.concat(F.lit("src/"), "doc_id").alias("path"), F.concat(F.coalesce(F.left("text", F.lit(30)), F.lit("")), F.lit(" T"), (F.col("doc_id") % 40).cast("string"), F.lit(" uses T")).alias("body"))
+    return table(spark, d, "documents").select(F.concat(F.lit("src/"), "doc_id").alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit(" T"), (F.col("doc_id") % 40).cast("string"), F.lit(" uses T")).alias("body"))
 
 
 register(
     "chk_unit_references",
     lambda s, d: C.references(_structs(s, d).where("path <> 'src/0'"), _bodies(s, d)),
-    "WITH u AS (SELECT 'src/' || p_partkey AS path, 'T' || p_partkey AS name FROM part WHERE p_partkey > 0), b AS (SELECT 'src/' || doc_id AS path, coalesce(left(text, 30), '') || ' T' || (doc_id % 40) || ' uses T' AS body FROM documents) SELECT DISTINCT u.path, name, b.path AS referenced_in FROM u JOIN b ON contains(body, name) AND u.path <> b.path",
+    "WITH u AS (SELECT 'src/' || p_partkey AS path, 'T' || p_partkey AS name FROM part WHERE p_partkey > 0), b AS (SELECT 'src/' || doc_id AS path, coalesce(text, '') || ' T' || (doc_id % 40) || ' uses T' AS body FROM documents) SELECT DISTINCT u.path, name, b.path AS referenced_in FROM u JOIN b ON contains(body, name) AND u.path <> b.path",
 )
 
 

@@ -224,10 +224,10 @@ def files(spark, d):
     n = F.col("doc_id")
     path = F.concat(F.when(n % 6 == 0, "a/tests/").when(n % 6 == 1, "src/x_test.go.").otherwise("src/"), n, F.lit(".go"))
     spelled = F.concat(F.lit(" EIP"), F.element_at(F.array(*map(F.lit, ("", "-", "_", " ", "#"))), (n % 5 + 1).cast("int")), n % 17, F.when(n % 8 == 0, F.lit("42")).otherwise(""), F.when(n % 9 == 0, F.lit(" func BaseFee")).otherwise(""))
-    return table(spark, d, "documents").select(path.alias("path"), F.concat(F.coalesce(F.left("text", F.lit(40)), F.lit("")), spelled).alias("content"))
+    return table(spark, d, "documents").select(path.alias("path"), F.concat(F.coalesce("text", F.lit("")), spelled).alias("content"))
 
 
-_FILES = """files AS (SELECT CASE doc_id % 6 WHEN 0 THEN 'a/tests/' WHEN 1 THEN 'src/x_test.go.' ELSE 'src/' END || doc_id || '.go' AS path, coalesce(left(text, 40), '') || ' EIP' || (['', '-', '_', ' ', '#'])[doc_id % 5 + 1] || (doc_id % 17) || CASE WHEN doc_id % 8 = 0 THEN '42' ELSE '' END || CASE WHEN doc_id % 9 = 0 THEN ' func BaseFee' ELSE '' END AS content FROM documents)"""
+_FILES = """files AS (SELECT CASE doc_id % 6 WHEN 0 THEN 'a/tests/' WHEN 1 THEN 'src/x_test.go.' ELSE 'src/' END || doc_id || '.go' AS path, coalesce(text, '') || ' EIP' || (['', '-', '_', ' ', '#'])[doc_id % 5 + 1] || (doc_id % 17) || CASE WHEN doc_id % 8 = 0 THEN '42' ELSE '' END || CASE WHEN doc_id % 9 = 0 THEN ' func BaseFee' ELSE '' END AS content FROM documents)"""
 
 
 def _numbers(spark, d):

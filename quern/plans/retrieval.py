@@ -28,8 +28,9 @@ def embedded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def query_vector(spark: SparkSession, d: str) -> list[float]:
-    """The stored vector of id 0."""
-    return list(table(spark, d, "embeddings").where("vec_id = 0").first().embedding)
+    """The stored vector of id 0; empty where there is none."""
+    row = table(spark, d, "embeddings").where("vec_id = 0").first()
+    return list(row.embedding or []) if row else []
 
 
 SCORED = """scored AS (SELECT e.vec_id AS chunk_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity
@@ -75,10 +76,7 @@ register(
 
 
 def _per_group(spark, d):
-    from quern.functions import vector as V
-
-    scored = embedded(spark, d).withColumn("similarity", F.round(V.cosine(F.col("embedding"), V.literal(query_vector(spark, d))), 6))
-    return R.topk_per_group(scored, "label", 5).select("label", "rank", "chunk_id", "similarity")
+    return R.topk_per_group(R.scored(embedded(spark, d), query_vector(spark, d)), "label", 5).select("label", "rank", "chunk_id", "similarity")
 
 
 register(
