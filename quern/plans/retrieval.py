@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators import fulltext as X
 from quern.operators import retrieval as R
-from quern.plans.catalog import register, table
+from quern.plans.catalog import ORACLES, register, table
+from quern.scratch import new_scratch
 
 QUERY = "the and of"
 PHRASE = "of the"
@@ -107,6 +109,22 @@ register(
 )
 
 
+def _indexed(spark, d, search):
+    """A search in a new index of all chunks."""
+    path = new_scratch(spark)
+    X.build(chunks(spark, d), path)
+    return search(spark, path).withColumnRenamed("key", "chunk_id")
+
+
+register("ret_index_all_terms", lambda s, d: _indexed(s, d, lambda s, p: X.all_terms(s, p, QUERY)), f"WITH {CHUNKS}, t AS (SELECT chunk_id, {_TOKENS} AS w FROM chunks) SELECT chunk_id, round({_SUM_TF} / len(w), 6) AS score FROM t WHERE {_HAS_ALL}")
+register(
+    "ret_index_phrase",
+    lambda s, d: _indexed(s, d, lambda s, p: X.phrase(s, p, PHRASE)),
+    f"WITH {CHUNKS}, t AS (SELECT chunk_id, {_TOKENS} AS w FROM chunks) SELECT chunk_id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the'))::INTEGER AS n FROM t WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' of the ')",
+)
+register("ret_index_bm25", lambda s, d: _indexed(s, d, lambda s, p: X.bm25_topk(s, p, QUERY)), ORACLES["ret_fulltext_bm25"])
+
+
 def _legs(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     vec = R.ranked(R.vector_topk(embedded(spark, d), query_vector(spark, d), 20), "similarity")
