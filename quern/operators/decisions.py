@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from quern.operators.automata import breaker, scanned
+
 MOST_KNOTS = 1_000_000
 
 
@@ -102,27 +104,10 @@ def breaker_decision(score: Column, sufficient: Column, hits: Column, best: Colu
     return F.struct((F.size(found) == 0).alias("allow"), first["reason"].alias("reason"), F.size(found).alias("reasons"), first["gap"].alias("gap"), advice.alias("advice"))
 
 
-class _Breaker:
-    state, failures, trips = "closed", 0, 0
-
-
-def _breaker_step(b: _Breaker, op: str, most: int) -> tuple:
-    if op == "reset":
-        b.state, b.failures = "closed", 0
-    elif op == "half_open":
-        b.state = "half_open" if b.state == "open" else b.state
-    elif op == "success":
-        b.state, b.failures = "closed" if b.state == "half_open" else b.state, 0
-    elif b.state != "open" or op == "failure":  # an open breaker doesn't check
-        b.failures = 0 if op == "pass" else b.failures + 1
-        if op != "pass" and b.failures >= most:
-            b.state, b.trips = "open", b.trips + 1
-    return b.state, b.failures, b.trips
-
-
-def breaker_states(log: DataFrame, key: str, order: list[str], op: str = "op", most: int = 3) -> DataFrame:
-    """log with state, failures and trips behind each operation: pass and fail (checks), success, failure, half_open, reset."""
-    return folded(log, key, order, _Breaker, lambda b, row: _breaker_step(b, row[op], most), "state string, failures int, trips int")
+def breaker_states(log: DataFrame, key: str, order: list[str], op: str = "op", most: int = 3, block: int = 4096) -> DataFrame:
+    """log with state, failures and trips behind each operation: pass and fail (checks), success, failure, half_open, reset. A key's log may span many tasks."""
+    out = scanned(log, key, order, op, breaker(most), ["failures", "trips"], block=block)
+    return out.withColumns({c: F.col(c).cast("int") for c in ("failures", "trips")})
 
 
 # -- gates

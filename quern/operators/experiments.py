@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators.automata import latch, scanned
+
 # fixed values: thresholds of relative change by metric; lower is better for the last three
 THRESHOLDS = {"accuracy": 0.02, "recall": 0.03, "coverage": 0.05, "latency_p50": 0.20, "latency_p99": 0.30, "cost": 0.15}
 LOWER_IS_BETTER = ("latency_p50", "latency_p99", "cost")
@@ -69,14 +71,11 @@ def gate(current: DataFrame, baseline: DataFrame) -> DataFrame:
     return both.select("metric", F.round(change, 6).alias("change"), F.when(worse > limit, "regression").when(worse < -limit / 2, "improvement").otherwise("stable").alias("status"))
 
 
-def breaker(actions: DataFrame, key: str, order: list[str], failed: Column, limit: int = 3) -> DataFrame:
-    """Adds failures (the current run of consecutive ones) and open (latched once a run reached the limit)."""
-    upto = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    island = F.sum(F.when(failed, 0).otherwise(1)).over(upto)
-    rows = actions.withColumn("_f", failed.cast("int")).withColumn("_i", island)
-    run = F.sum("_f").over(W.partitionBy(key, "_i").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("failures", run)
-    return rows.withColumn("open", F.max((F.col("failures") >= limit).cast("int")).over(upto) == 1).drop("_f", "_i")
+def breaker(actions: DataFrame, key: str, order: list[str], failed: Column, limit: int = 3, block: int = 4096) -> DataFrame:
+    """Adds failures (the current run of consecutive ones) and open (latched once a run reached the limit); a null outcome changes nothing. A key's actions may span many tasks."""
+    log = actions.withColumn("_op", F.when(failed, "fail").when(~failed, "ok"))
+    out = scanned(log, key, order, "_op", latch(limit), ["failures"], state="open", block=block)
+    return out.withColumn("open", F.col("open") == "True").drop("_op")
 
 
 def allocate(questions: int, used_chunks: int = 0, used_tokens: int = 0, each: int = 5, chunks: int = 20, tokens: int = 8000) -> tuple[int, int, bool]:
