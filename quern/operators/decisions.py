@@ -18,8 +18,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from quern.operators.automata import breaker, scanned
+from quern.operators.isotonic import interpolated
 
-MOST_KNOTS = 1_000_000
+MOST_KNOTS = 1_000_000  # that are broadcast; beyond that rows and knots are sorted together
 
 
 def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable[[object, dict], tuple], schema: str) -> DataFrame:
@@ -46,16 +47,17 @@ def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], obje
 
 def calibrated(rows: DataFrame, knots: DataFrame, column: str = "predicted") -> DataFrame:
     """rows with calibrated: the line between the knots (boundary, value) around a prediction, the outer values beyond them; unchanged without knots."""
-    found = _knots(knots)
-    sent = rows.sparkSession.sparkContext.broadcast(found)
+    if knots.limit(MOST_KNOTS + 1).count() > MOST_KNOTS:
+        return interpolated(rows, knots, column)
+    found = [(r.boundary, r.value) for r in knots.select("boundary", "value").orderBy("boundary", "value").collect()]
+    sent = rows.sparkSession.sparkContext.broadcast(tuple(map(np.array, zip(*found, strict=True))) if found else None)
     return _interpolated(rows, lambda kind: sent.value, column, None)
 
 
 def calibrated_by_type(rows: DataFrame, knots: DataFrame, column: str = "predicted", kind: str = "kind") -> DataFrame:
     """As calibrated, with knots (kind, boundary, value) of each type; those of the null type where a type has none."""
-    n = knots.count()
-    if n > MOST_KNOTS:
-        raise ValueError(f"{n} knots; pool predictions first")
+    if knots.limit(MOST_KNOTS + 1).count() > MOST_KNOTS:
+        return interpolated(rows, knots, column, kind)
     by_kind: dict = {}
     for r in knots.orderBy("boundary", "value").collect():
         by_kind.setdefault(r.kind, []).append((r.boundary, r.value))
@@ -63,13 +65,6 @@ def calibrated_by_type(rows: DataFrame, knots: DataFrame, column: str = "predict
     return _interpolated(rows, lambda k: sent.value.get(k, sent.value.get(None)), column, kind)
 
 
-def _knots(knots: DataFrame) -> tuple | None:
-    if knots.limit(MOST_KNOTS + 1).count() > MOST_KNOTS:
-        raise ValueError("too many knots; pool predictions first")
-    rows = [(r.boundary, r.value) for r in knots.select("boundary", "value").orderBy("boundary", "value").collect()]
-    return tuple(map(np.array, zip(*rows, strict=True))) if rows else None
-
-
 def _interpolated(rows: DataFrame, knots_of: Callable, column: str, kind: str | None) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", calibrated double"
 

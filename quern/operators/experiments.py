@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.operators.automata import latch, scanned
+from quern.operators.isotonic import fit
 
 # fixed values: thresholds of relative change by metric; lower is better for the last three
 THRESHOLDS = {"accuracy": 0.02, "recall": 0.03, "coverage": 0.05, "latency_p50": 0.20, "latency_p99": 0.30, "cost": 0.15}
@@ -40,23 +39,9 @@ def calibration_error(curve: DataFrame, *by: str) -> DataFrame:
     return curve.groupBy(*by).agg(F.round(F.sum(F.col("n") * F.abs(F.col("predicted") - F.col("actual"))) / F.sum("n"), 6).alias("ece"))
 
 
-DIGITS = 4  # of a prediction: at most 10,001 boundaries
-
-
-def isotonic(points: DataFrame, predicted: str = "predicted", actual: str = "actual", least: int = 20, digits: int = DIGITS) -> DataFrame | None:
-    """(boundary, value) of the isotonic fit of predictions in [0, 1], rounded to digits, which bounds the boundaries; None with fewer points.
-
-    Equal predictions are pooled before the shuffle.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
-
-    if points.limit(least).count() < least:
-        return None
-    pooled = points.withColumn(predicted, F.round(F.col(predicted).cast("double"), digits)).groupBy(predicted).agg(F.avg(actual).alias("label"), F.count("*").cast("double").alias("weight"))
-    rows = VectorAssembler(inputCols=[predicted], outputCol="features").transform(pooled.withColumn(predicted, F.col(predicted).cast("double")))
-    model = IsotonicRegression(weightCol="weight").fit(rows)
-    return points.sparkSession.createDataFrame(pd.DataFrame({"boundary": np.array(model.boundaries), "value": np.array(model.predictions)}))
+def isotonic(points: DataFrame, predicted: str = "predicted", actual: str = "actual", least: int = 20) -> DataFrame:
+    """(boundary, value) of the exact isotonic fit; no rows with fewer than least points."""
+    return fit(points, predicted, actual, least=least)
 
 
 def gate(current: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quern.operators import decisions as D
 from quern.operators import experiments as X
-from quern.plans.catalog import register, table
+from quern.operators.isotonic import fit, interpolated
+from quern.plans.catalog import ORACLES, register, table
 from quern.plans.phrases import ASKED, asked
 from quern.plans.scoring import _POINTS, predictions
 
@@ -42,16 +43,34 @@ register(
 
 def _isotonic(spark, d):
     points = predictions(spark, d)
-    at = points.select(F.round("predicted", X.DIGITS).alias("predicted")).distinct()
-    return D.calibrated(at, X.isotonic(points)).select("predicted", F.round("calibrated", 6).alias("calibrated"))
+    return D.calibrated(points.select("predicted").distinct(), X.isotonic(points)).select("predicted", F.round("calibrated", 6).alias("calibrated"))
 
 
+def _fit_sql(points: str) -> str:
+    """The min-max formula over all runs of predictions (kind, predicted, actual): r has the fitted value v of each."""
+    return f"""g AS (SELECT kind, predicted, sum(actual) AS s, count(*) AS w FROM {points} GROUP BY ALL), o AS (SELECT kind, predicted, row_number() OVER q AS i, sum(s) OVER q AS s, sum(w) OVER q AS w, s AS s0, w AS w0 FROM g WINDOW q AS (PARTITION BY kind ORDER BY predicted)),
+  m AS (SELECT a.kind, a.i AS a, b.i AS b, (b.s - a.s + a.s0) / (b.w - a.w + a.w0) AS v FROM o a JOIN o b ON a.i <= b.i AND a.kind = b.kind), l AS (SELECT kind, a, b, min(v) OVER (PARTITION BY kind, a ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM m), r AS (SELECT kind, b AS i, max(v) AS v FROM l GROUP BY ALL)"""
+
+
+register("dec_isotonic_fit", _isotonic, f"WITH {_POINTS}, x AS (SELECT '' AS kind, * FROM p), {_fit_sql('x')} SELECT predicted, round(v, 6) AS calibrated FROM o JOIN r USING (kind, i)")
+
+
+def _isotonic_by_type(spark, d):
+    """A fit for each language of 60 labels or more, and that of all labels for the others; each prediction under its language."""
+    points = predictions(spark, d)
+    return D.calibrated_by_type(points.select("lang", "predicted").distinct(), fit(points, kind="lang", least=60), kind="lang").select("lang", "predicted", F.round("calibrated", 6).alias("calibrated"))
+
+
+register(
+    "dec_isotonic_by_type",
+    _isotonic_by_type,
+    f"""WITH {_POINTS}, n AS (SELECT lang FROM p GROUP BY lang HAVING count(*) >= 60), x AS (SELECT lang AS kind, predicted, actual FROM p SEMI JOIN n USING (lang) UNION ALL SELECT '', predicted, actual FROM p WHERE (SELECT count(*) FROM p) >= 60), {_fit_sql('x')}
+  SELECT DISTINCT lang, p.predicted, round(v, 6) AS calibrated FROM p JOIN o ON o.predicted = p.predicted AND o.kind = CASE WHEN lang IN (SELECT lang FROM n) THEN lang ELSE '' END JOIN r USING (kind, i)""",
+)
 register(
-    "dec_isotonic_fit",
-    _isotonic,
-    f"""WITH {_POINTS}, g AS (SELECT round(predicted, {X.DIGITS}) AS predicted, sum(actual) AS s, count(*) AS w FROM p GROUP BY ALL), o AS (SELECT predicted, row_number() OVER (ORDER BY predicted) AS i, sum(s) OVER (ORDER BY predicted) AS s, sum(w) OVER (ORDER BY predicted) AS w, s AS s0, w AS w0 FROM g),
-  m AS (SELECT a.i AS a, b.i AS b, (b.s - a.s + a.s0) / (b.w - a.w + a.w0) AS v FROM o a JOIN o b ON a.i <= b.i), l AS (SELECT a, b, min(v) OVER (PARTITION BY a ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM m), r AS (SELECT b AS i, max(v) AS v FROM l GROUP BY b)
-  SELECT predicted, round(v, 6) AS calibrated FROM o JOIN r USING (i)""",
+    "dec_interpolated_by_join",
+    lambda s, d: interpolated(_predicted(s, d), s.createDataFrame(list(_TYPED), "kind string, boundary double, value double"), kind="event_type").select("event_id", F.round("calibrated", 6).alias("calibrated")),
+    ORACLES["dec_calibrated_by_type"],
 )
 
 

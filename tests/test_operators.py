@@ -102,7 +102,7 @@ def test_scores_of_empty_and_bad_texts(spark):
 def test_isotonic_is_monotone(spark):
     points = spark.createDataFrame([(x / 30, float(y)) for x, y in enumerate([3, 2, 1] * 10)], "predicted double, actual double")
     values = [r.value for r in experiments.isotonic(points).orderBy("boundary").collect()]
-    assert values == sorted(values) and experiments.isotonic(points.limit(19)) is None
+    assert values == sorted(values) and experiments.isotonic(points.limit(19)).count() == 0
 
 
 def test_allocation():
