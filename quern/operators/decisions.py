@@ -149,6 +149,15 @@ def replaced_baseline(current: DataFrame, baseline: DataFrame, key: str, force:
     return taken.unionByName(baseline.join(taken.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
+def deployable(current: DataFrame, baseline: DataFrame, key: str, tests: Column, override: Column, least: int = 50) -> DataFrame:
+    """(key, allowed, blockers) of the current snapshots: failed tests, too few evaluations and regressions stand in the way, unless overridden. tests and override are expressions over them."""
+    checked = gate(current, baseline, key).select(key, "regressions")
+    few = F.concat(F.lit("Insufficient eval count ("), F.col("eval_count").cast("string"), F.lit(f" < {least})"))
+    found = F.concat(F.array_compact(F.array(F.when(~tests, "Tests failed"), F.when(F.col("eval_count") < least, few))), F.transform("regressions", lambda r: F.concat(F.lit("Regression: "), r)))
+    rows = current.join(checked, key).select(key, override.alias("_o"), found.alias("_b"))
+    return rows.select(key, (F.col("_o") | (F.size("_b") == 0)).alias("allowed"), F.when(F.col("_o"), F.array(F.lit("Manual override enabled"))).otherwise(F.col("_b")).alias("blockers"))
+
+
 # -- experiments
 
 

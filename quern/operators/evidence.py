@@ -65,3 +65,25 @@ def insert_citations(sentences: DataFrame, key: str = "answer_id") -> DataFrame:
     one = F.when(F.size("m") > 0, F.concat("sentence", F.lit(" ["), F.array_join(F.col("m").cast("array<string>"), ", "), F.lit("]"))).otherwise(F.col("sentence"))
     rows = marked.select(key, "n", one.alias("s")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("l"))
     return rows.select(key, F.array_join(F.transform("l", lambda x: x["s"]), " ").alias("text"))
+
+
+def source_recall(expected: F.Column, retrieved: F.Column) -> F.Column:
+    """Share of the distinct expected sources that were retrieved, whatever the case; 1 where none are expected."""
+    names = lambda a: F.array_distinct(F.transform(F.array_compact(F.coalesce(a, F.array().cast("array<string>"))), F.lower))
+    return F.when(F.size(names(expected)) == 0, 1.0).otherwise(F.size(F.array_intersect(names(expected), names(retrieved))) / F.size(names(expected)))
+
+
+def cited_inline(responses: DataFrame, claims: DataFrame, key: str = "answer_id", text: str = "text") -> DataFrame:
+    """(key, text): each response with its claims' citations (key, end, citation) behind the offsets where the claims end; the text between is kept.
+
+    Citations of one offset stand in their order as texts; offsets beyond the text count as its end. A response's claims are one row's list.
+    """
+    noted = claims.where("end IS NOT NULL AND citation IS NOT NULL").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("end", "citation"))).alias("_c"))
+    whole, length = F.col(text), F.length(text)
+
+    def put(done: F.Column, claim: F.Column) -> F.Column:
+        end = F.least(claim["end"].cast("int"), length)
+        return F.struct(end.alias("at"), F.concat(done["out"], F.substring(whole, done["at"] + 1, end - done["at"]), F.lit(" "), claim["citation"]).alias("out"))
+
+    placed = F.aggregate("_c", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda done: F.concat(done["out"], F.substring(whole, done["at"] + 1, length)))
+    return responses.join(noted, key, "left").select(key, F.when(F.col("_c").isNotNull(), placed).otherwise(whole).alias(text))

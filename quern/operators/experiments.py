@@ -68,3 +68,17 @@ def allocate(questions: int, used_chunks: int = 0, used_tokens: int = 0, each: i
     left = max(1, questions)
     share = max(1, min(each, (chunks - used_chunks) // left))
     return share, max(500, (tokens - used_tokens) // left), share < each
+
+
+def winner_by(results: DataFrame, metric: str, least: int = 30) -> DataFrame:
+    """(metric, variant, score, confidence): the best mean of a metric (the largest quality, the least latency or cost) among variants with enough trials.
+
+    The confidence is 100 times the gap to the next one by the best mean, at most 99, and 50 if there is no other; variants without a value of the metric don't count.
+    """
+    if metric not in ("quality", "latency", "cost"):
+        raise ValueError(f"unknown metric: {metric}")
+    means = results.groupBy("variant").agg(F.count("*").alias("trials"), F.round(F.avg(metric), 6).alias("score")).where((F.col("trials") >= least) & F.col("score").isNotNull())
+    order = W.orderBy(F.desc("score") if metric == "quality" else F.asc("score"), "variant")  # a row per variant
+    best = means.withColumn("n", F.row_number().over(order)).withColumn("next", F.lead("score").over(order)).where("n = 1")
+    gap = F.coalesce(F.abs(F.col("score") - F.col("next")) / F.nullif(F.abs("score"), F.lit(0.0)), F.lit(0.0))
+    return best.select(F.lit(metric).alias("metric"), "variant", "score", F.when(F.col("next").isNull(), 50.0).otherwise(F.least(F.round(100 * gap, 4), F.lit(99.0))).alias("confidence"))

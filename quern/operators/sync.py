@@ -147,3 +147,9 @@ def run_sources(sources: dict[str, Callable[[], int]], cycles: int = 1, pause: C
 def due(last: Column, now: str, every_hours: Column) -> Column:
     """Whether a source's next run is due."""
     return last.isNull() | ((F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(last.cast("timestamp"))) / 3600 >= every_hours)
+
+
+def with_backfill(recent: DataFrame, whole: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """The rows of an incremental run, then those of the whole listing that neither it nor any earlier run (seen) has; with backfill."""
+    done = seen.select(key).unionByName(recent.select(key)).distinct()
+    return recent.withColumn("backfill", F.lit(False)).unionByName(whole.join(done, key, "left_anti").withColumn("backfill", F.lit(True)))

@@ -83,3 +83,9 @@ def unseen(candidates: DataFrame, known: DataFrame, key: str) -> DataFrame:
 def since(rows: DataFrame, stamp: str, cursor: str) -> tuple[DataFrame, Column]:
     """Rows at or behind a cursor, and the expression of the next cursor."""
     return rows.where(F.col(stamp) >= F.lit(cursor).cast("timestamp_ntz")), F.max(stamp)
+
+
+def merged_maps(left: F.Column, right: F.Column) -> F.Column:
+    """Two maps as one; the right one's values win."""
+    kept = F.filter(F.map_entries(left), lambda e: ~F.array_contains(F.map_keys(right), e["key"]))
+    return F.when(left.isNull(), right).when(right.isNull(), left).otherwise(F.map_from_entries(F.concat(kept, F.map_entries(right))))

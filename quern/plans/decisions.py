@@ -146,6 +146,13 @@ register(
     f"WITH {_GATE} SELECT version, {_SIX}, eval_count FROM (SELECT * FROM n WHERE version IN (SELECT version FROM gated WHERE regressions = '') UNION ALL SELECT * FROM b WHERE version <> '1-URGENT' AND version NOT IN (SELECT version FROM gated WHERE regressions = ''))",
 )
 
+register(
+    "dec_deployable",
+    lambda s, d: D.deployable(*_both(s, d), "version", F.col("version") != "3-MEDIUM", F.col("version") == "2-HIGH", 400).withColumn("blockers", F.array_join("blockers", ";")),
+    f"""WITH {_GATE}, b2 AS (SELECT version, list_concat(list_filter([CASE WHEN version = '3-MEDIUM' THEN 'Tests failed' END, CASE WHEN eval_count < 400 THEN 'Insufficient eval count (' || eval_count || ' < 400)' END], lambda z: z IS NOT NULL), CASE WHEN regressions = '' THEN [] ELSE list_transform(string_split(regressions, ','), lambda z: 'Regression: ' || z) END) AS l FROM n JOIN gated USING (version))
+  SELECT version, version = '2-HIGH' OR len(l) = 0 AS allowed, CASE WHEN version = '2-HIGH' THEN 'Manual override enabled' ELSE array_to_string(l, ';') END AS blockers FROM b2""",
+)
+
 
 def _assigned(spark, d):
     variants = spark.createDataFrame([("e1", 0, "a", 2.0), ("e1", 1, "b", 1.0), ("e1", 2, "c", 1.0), ("e0", 0, "x", 3.0), ("e0", 1, "y", 1.0), ("e2", 0, "z", 1.0)], "experiment string, place int, variant string, weight double")

@@ -92,3 +92,35 @@ register(
     lambda s, d: table(s, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").cast("string").alias("start"), "event_type", "n"),
     "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
 )
+
+
+def _recall(spark, d):
+    """The languages of a source's short documents, searched for among its long ones."""
+    docs = table(spark, d, "documents")
+    per = lambda rows, name, case: rows.where("lang IS NOT NULL").groupBy("source").agg(F.collect_set(case("lang")).alias(name))
+    both = docs.select("source").distinct().join(per(docs.where("n_chars < 200"), "expected", F.upper), "source", "left").join(per(docs.where("n_chars > 3000"), "found", F.lower), "source", "left")
+    return both.select("source", F.round(E.source_recall(F.col("expected"), F.col("found")), 6).alias("recall"))
+
+
+register(
+    "evi_source_recall",
+    _recall,
+    """WITH s AS (SELECT DISTINCT source FROM documents), e AS (SELECT DISTINCT source, lang FROM documents WHERE n_chars < 200 AND lang IS NOT NULL), f AS (SELECT DISTINCT source, lang FROM documents WHERE n_chars > 3000 AND lang IS NOT NULL)
+  SELECT s.source, CASE WHEN count(e.lang) = 0 THEN 1.0 ELSE round(count(f.lang) / count(e.lang), 6) END::DOUBLE AS recall FROM s LEFT JOIN e ON e.source = s.source LEFT JOIN f ON f.source = s.source AND f.lang = e.lang GROUP BY s.source""",
+)
+
+
+def _inline(spark, d):
+    """Turns with a citation in their middle and two at their end; every fifth turn has none."""
+    turns = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text")).withColumn("id", F.concat_ws("-", "conv_id", "turn"))
+    n = F.length("text")
+    marks = F.array(F.struct((n / 2).cast("int").alias("end"), F.lit("[A-1]").alias("citation")), F.struct(n.alias("end"), F.lit("[C-3]").alias("citation")), F.struct((n + 9).alias("end"), F.lit("[D-4]").alias("citation")), F.struct(n.alias("end"), F.lit("[B-2]").alias("citation")))
+    claims = turns.where("turn % 5 <> 0").select("id", F.inline(marks))
+    return E.cited_inline(turns.select("id", "text"), claims, "id")
+
+
+register(
+    "evi_cited_inline",
+    _inline,
+    """SELECT conv_id || '-' || turn AS id, CASE WHEN turn % 5 = 0 OR text IS NULL THEN text ELSE left(text, length(text) // 2) || ' [A-1]' || substr(text, length(text) // 2 + 1) || ' [B-2] [C-3] [D-4]' END AS text FROM (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL)""",
+)

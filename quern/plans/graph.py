@@ -150,3 +150,12 @@ def _view(spark, d):
 
 
 register("graph_dependency_view_nodes", _view, f"WITH RECURSIVE {EDGES}, {_closure_sql(ROOT, 3)} SELECT id, min(depth)::INTEGER AS depth, 'dependency' AS kind, round(1.0::DOUBLE / min(depth), 6) AS weight FROM c GROUP BY id")
+
+
+def _degrees(spark, d):
+    c = citations(spark, d).select(F.col("citing").cast("string").alias("citing"), "cited")
+    ends = c.select(F.col("cited").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionAll(c.select("citing", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("i").alias("cited_by"), F.sum("o").alias("cites"))
+
+
+register("graph_citation_degrees", _degrees, f"WITH {CITED} SELECT node, sum(i)::BIGINT AS cited_by, sum(o)::BIGINT AS cites FROM (SELECT cited AS node, 1 AS i, 0 AS o FROM c UNION ALL SELECT citing::VARCHAR, 0, 1 FROM c) GROUP BY node")

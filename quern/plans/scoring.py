@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import scoring as S
@@ -173,3 +176,16 @@ register(
   g AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (level = 'contradiction') AS c, count(*) FILTER (level = 'strong') AS s, count(*) FILTER (level = 'partial') AS p, round(avg(e), 6) AS entailment FROM l GROUP BY l_orderkey)
   SELECT l_orderkey, CASE WHEN c > 0 THEN 'contradiction' WHEN s / n >= 0.8 THEN 'strong' WHEN s / n >= 0.5 OR (s + p) / n >= 0.8 THEN 'partial' ELSE 'weak' END AS support, entailment FROM g""",
 )
+
+
+def _winner_sql(metric: str, way: str) -> str:
+    return f"""SELECT '{metric}' AS metric, variant, score, CASE WHEN nx IS NULL THEN 50.0 ELSE least(round(100 * coalesce(abs(score - nx) / nullif(abs(score), 0), 0), 4), 99.0) END::DOUBLE AS confidence
+  FROM (SELECT variant, score, lead(score) OVER o AS nx, row_number() OVER o AS n FROM (SELECT variant, round(avg({metric}), 6) AS score FROM r GROUP BY variant HAVING count(*) >= 30 AND count({metric}) > 0) WINDOW o AS (ORDER BY score {way}, variant)) WHERE n = 1"""
+
+
+_WAYS = {"quality": "DESC", "latency": "", "cost": ""}
+register(
+    "sco_winner_by_metric",
+    lambda s, d: reduce(DataFrame.unionByName, [X.winner_by(results(s, d), m) for m in _WAYS]),
+    f"WITH {_RESULTS} " + " UNION ALL ".join(_winner_sql(m, way) for m, way in _WAYS.items()),
+)

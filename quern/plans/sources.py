@@ -339,3 +339,23 @@ register(
   t AS (SELECT c.o_orderkey, string_agg(DISTINCT a, '|' ORDER BY a) AS t FROM c JOIN (SELECT canonical, unnest(aliases) AS a FROM entries) x ON list_contains(c, canonical) AND NOT contains(lower(q), lower(a)) GROUP BY c.o_orderkey)
   SELECT o_orderkey, array_to_string(c, ',') AS canonicals, array_to_string(list_sort(list_distinct(list_transform(c, lambda x: regexp_extract(x, '(\\d+)', 1)::INTEGER))), ',') AS numbers, coalesce(t, '') AS terms FROM c LEFT JOIN t USING (o_orderkey)""",
 )
+
+
+def _hits(spark, d):
+    """Orders as search hits of proposals (their customers modulo 40): every third one's title begins with the proposal, topics repeat."""
+    n, k = F.col("o_custkey") % 40, F.col("o_orderkey")
+    title = F.when((k % 3 == 0) & (n % 4 > 0), F.concat(F.lit("EIP-"), n, F.lit(": title"))).otherwise(F.concat(F.lit("On EIP-"), n))
+    return table(spark, d, "orders").select(n.alias("number"), (k % 997).alias("topic_id"), title.alias("title"), (k % 50).alias("posts_count"), k.alias("place"))
+
+
+_HIT_ROWS = "h AS (SELECT o_custkey % 40 AS number, o_orderkey % 997 AS topic_id, o_orderkey % 3 = 0 AND o_custkey % 40 % 4 > 0 AS titled, o_orderkey % 50 AS posts, o_orderkey AS place FROM orders)"
+register(
+    "src_canonical_topic",
+    lambda s, d: P.canonical_topic(_hits(s, d)),
+    f"WITH {_HIT_ROWS} SELECT number, topic_id FROM (SELECT *, row_number() OVER (PARTITION BY number ORDER BY titled DESC, CASE WHEN titled THEN -posts ELSE 0 END, place, topic_id) AS n FROM h) WHERE n = 1",
+)
+register(
+    "src_topics_of_proposals",
+    lambda s, d: P.topics_of(_hits(s, d)),
+    f"WITH {_HIT_ROWS} SELECT number, topic_id, rank::INTEGER AS rank FROM (SELECT number, topic_id, row_number() OVER (PARTITION BY number ORDER BY min(place), topic_id) AS rank FROM h GROUP BY number, topic_id) WHERE rank <= 10",
+)

@@ -141,3 +141,28 @@ register(
     lambda s, d: table(s, d, "events").select("event_id", F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k"), F.col("event_type").alias("type"))).alias("merged")),
     """SELECT event_id, '{"k":"' || json_extract_string(props, '$.k') || '","type":"' || event_type || '"}' AS merged FROM events""",
 )
+
+
+def _maps(spark, d):
+    """Event properties under a newer record, which has k for even ids only."""
+    new = F.create_map(F.lit("type"), F.col("event_type"))
+    right = F.when(F.col("event_id") % 2 == 0, B.merged_maps(new, F.create_map(F.lit("k"), F.lit("new")))).otherwise(new)
+    merged = F.map_entries(B.merged_maps(F.from_json("props", "map<string,string>"), right))
+    return table(spark, d, "events").select("event_id", F.array_join(F.array_sort(F.transform(merged, lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias("merged"))
+
+
+register(
+    "tab_map_merge",
+    _maps,
+    """SELECT event_id, array_to_string(list_sort(list_concat(list_transform(list_filter(coalesce(json_keys(props), []), lambda k: k <> 'type' AND (k <> 'k' OR event_id % 2 = 1)), lambda k: k || '=' || json_extract_string(props, '$.' || k)), list_filter(['type=' || event_type, CASE WHEN event_id % 2 = 0 THEN 'k=new' END], lambda x: x IS NOT NULL))), ';') AS merged FROM events""",
+)
+
+
+def _backfilled(spark, d):
+    from quern.operators.sync import with_backfill
+
+    events = table(spark, d, "events").select("event_id", "user_id", "ts")
+    return with_backfill(events.where("ts >= TIMESTAMP_NTZ '2024-01-25 00:00:00'"), events, events.where("event_id % 3 = 0").select("event_id"), "event_id").select("event_id", "backfill")
+
+
+register("src_backfill", _backfilled, "SELECT event_id, ts < TIMESTAMP '2024-01-25' AS backfill FROM events WHERE ts >= TIMESTAMP '2024-01-25' OR event_id % 3 <> 0")
