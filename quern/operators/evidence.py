@@ -9,24 +9,47 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 
 
-def windows(texts: DataFrame, most: int = 500, overlap: int = 50, least: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start, end, span): the whole text if it is short, else sliding windows that end at their last blank (if that is behind least characters)."""
-    n = F.length(text)
-    starts = F.when(n <= most, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(n - least - 1, F.lit(0)), F.lit(most - overlap)))
-    out = texts.select(key, F.col(text).alias("t"), F.explode(starts).alias("start")).withColumn("_s", F.substring(F.col("t"), F.col("start") + 1, F.lit(most)))
+def windows(texts: DataFrame, most: int = 500, overlap: int = 50, least: int = 50, key: str = "doc_id", text: str = "text", beside: tuple[str, ...] = ()) -> DataFrame:
+    """(key, start, end, span, and the columns named in beside): the whole text if it is short, else sliding windows that end at their last blank (if that is behind least characters)."""
+    n, step = F.length(text), most - overlap
+    starts = F.when(n <= most, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(n - least - 1, F.lit(0)), F.lit(step)))
+    # cut once into pieces between the starts, as a substring of a long text is counted from its beginning each time
+    pieces = texts.select(key, *beside, n.alias("n"), starts.alias("_starts"), F.explode(F.array(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)))).alias("_p"))
+    cut = F.transform("_starts", lambda at, i: F.struct(at.alias("start"), F.left(F.array_join(F.slice("_p", i + 1, F.lit(-(-most // step))), ""), F.lit(most)).alias("_s")))
+    out = pieces.where("n IS NOT NULL").select(key, *beside, "n", F.inline(cut))
     behind = F.locate(" ", F.reverse("_s"))
     blank = F.length("_s") - behind
-    size = F.when((F.col("start") + F.length("_s") < F.length("t")) & (behind > 0) & (blank > least), blank).otherwise(F.length("_s")).cast("int")
-    spans = out.select(key, "start", (F.col("start") + size).alias("end"), F.left("_s", size).alias("span"))
+    size = F.when((F.col("start") + F.length("_s") < F.col("n")) & (behind > 0) & (blank > least), blank).otherwise(F.length("_s")).cast("int")
+    spans = out.select(key, *beside, "start", (F.col("start") + size).alias("end"), F.left("_s", size).alias("span"))
     return spans.where((F.length("span") >= least) | (F.col("start") == 0))
 
 
+def _words(text: Column) -> Column:
+    """The distinct words between white space, in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
+
+
+def best_spans_inside(texts: DataFrame, claim: Column, key: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
+    """(key, rank, start, end, score): the n windows of each text that share most words with a claim, an expression over the text's own row; without a claim none.
+
+    Windows are scored beside their claim, so only keys, places and scores are shuffled, and at most n of each key and task.
+    """
+    rows = texts.where(claim.isNotNull()).select(key, F.col(text).alias("_text"), _words(claim).alias("_a"))
+    spans = windows(rows, key=key, text="_text", beside=("_a",))
+    # through a generator, so that a window's words are made once
+    worded = spans.select(key, "start", "end", "_a", F.explode(F.array(_words(F.col("span")))).alias("_b"))
+    both = worded.select(key, "start", "end", F.size("_a").alias("_m"), F.size("_b").alias("_k"), F.size(F.array_intersect("_a", "_b")).alias("_i"))
+    union = F.col("_m") + F.col("_k") - F.col("_i")
+    scored = both.select(key, "start", "end", F.round(F.when(union == 0, 0.0).otherwise(F.col("_i") / union), 6).alias("score"))
+    order = W.partitionBy(key).orderBy(F.desc("score"), "start")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(key, "rank", "start", "end", "score")
+
+
 def best_spans(claims: DataFrame, spans: DataFrame, on: str, claim: str = "claim", n: int = 3) -> DataFrame:
     """The n spans that share most words (between white space) with each claim, within the equal-join column on; ties to the first span."""
-    words = lambda t: F.array_distinct(F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != ""))
     # word sets are columns of both sides, so that each is made once
-    left = claims.withColumn("_a", words(F.col(claim)))
-    scored = left.join(spans.withColumn("_b", words(F.col("span"))), on).withColumn("score", F.round(T.jaccard(F.col("_a"), F.col("_b")), 6)).drop("_a", "_b")
+    left = claims.withColumn("_a", _words(F.col(claim)))
+    scored = left.join(spans.withColumn("_b", _words(F.col("span"))), on).withColumn("score", F.round(T.jaccard(F.col("_a"), F.col("_b")), 6)).drop("_a", "_b")
     order = W.partitionBy(on).orderBy(F.desc("score"), "start")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 

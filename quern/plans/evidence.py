@@ -16,9 +16,8 @@ register("evi_windows", lambda s, d: E.windows(table(s, d, "documents")).select(
 
 
 def _best(spark, d):
-    docs = table(spark, d, "documents")
-    claims = docs.select("doc_id", F.try_element_at(T.sentences(F.col("text")), F.lit(1)).alias("claim"))
-    return E.best_spans(claims.where("claim IS NOT NULL"), E.windows(docs), "doc_id").select("doc_id", "rank", "start", "score")
+    claim = F.try_element_at(T.sentences(F.col("text")), F.lit(1))
+    return E.best_spans_inside(table(spark, d, "documents"), claim).select("doc_id", "rank", "start", "score")
 
 
 register(
