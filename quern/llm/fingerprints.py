@@ -12,6 +12,8 @@ equal hashes; the best walk counts.
 Each text also has an edited one, whose last third is taken from the next document. Documents are sorted by id over the cluster and read in order, so a task meets each one's next; only
 the last document of each part of the sort waits for the first one of the next part, in a second step over one row a part.
 
+Near duplicates (near_groups) share bit-sampled bands of their fingerprints and are verified by the whole ones.
+
 Cases: null texts are empty; the fingerprints of empty texts are equal, and their likeness to others is 0, to each other 1; rows of equal ids are neighbours, ordered by their texts'
 hash, then text; null ids come last; a single document follows itself; an empty table gives no rows. Texts are read whole, in pieces of 2**20 characters. Only the named columns are read.
 """
@@ -29,7 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_iter, arrow_map, plain, written
+from quern.llm.common import arrow_iter, arrow_map, mix, plain, sorted_groups, written
+from quern.llm.graph import components
+from quern.llm.neardup import _stars, _tiles, linked_parts
 
 SEED, WALKS, PERIOD = 12, 2, 256
 FIRST, PER_OCTAVE, OCTAVES = 5, 32, 40
@@ -196,6 +200,114 @@ def fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
     return found.where("what = 'row'").select(*ended.columns).unionByName(ended)
 
 
+# -- near duplicates
+
+
+BAND_SYMBOLS, BANDS = 6, 24  # of a walk and an octave
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+@functools.cache
+def _band_places(octave: int) -> np.ndarray:
+    """(BANDS, BAND_SYMBOLS) places among the samples of an octave and the one before it."""
+    starts = _shared()[2]
+    rng = np.random.default_rng(SEED + 1000 + octave)
+    low, high = int(starts[octave - 1]), int(starts[octave + 1])
+    return np.stack([rng.choice(np.arange(low, high), BAND_SYMBOLS, replace=False) for _ in range(BANDS)])
+
+
+def band_keys(fp: bytes) -> list[int]:
+    """Keys of sampled bits of the last two octaves that each walk has gone through; of a text that ends before the second octave does, its whole fingerprint."""
+    steps, _, firsts = _shared()[1:]
+    keys = []
+    for w, (end, symbols) in enumerate(_walks(fp)):
+        whole = int(np.searchsorted(firsts, end, side="right")) - 2  # the last octave that lies before the end
+        for octave in range(max(1, whole - 1), whole + 1):
+            bits = symbols[_band_places(octave)].astype(np.uint64) @ (np.uint64(16) ** np.arange(BAND_SYMBOLS, dtype=np.uint64))
+            salted = bits + np.uint64(((w * 64 + octave) * BANDS) << 24) + (np.arange(BANDS, dtype=np.uint64) << np.uint64(24))
+            keys += mix(salted * _ODD).view(np.int64).tolist()
+    return keys or [int.from_bytes(hashlib.sha256(fp).digest()[:8], "big", signed=True)]
+
+
+class _Many:
+    """Fingerprints as arrays, for the likeness of one to all."""
+
+    def __init__(self, fps: list[bytes]):
+        walks = [list(_walks(fp)) for fp in fps]
+        self.walks = []
+        for w in range(WALKS):
+            ends = np.array([x[w][0] for x in walks])
+            symbols = np.full((len(fps), max(len(x[w][1]) for x in walks)), 255, np.uint8)
+            for row, x in zip(symbols, walks, strict=True):
+                row[: len(x[w][1])] = x[w][1]
+            self.walks.append((ends, symbols))
+
+    def to(self, x: int) -> np.ndarray:
+        steps, starts, firsts = _shared()[1:]
+        ends = self.walks[0][0]
+        best = np.where((ends == 0) & (ends[x] == 0), 1.0, 0.0)  # empty texts are equal
+        for ends, symbols in self.walks:
+            if not symbols.shape[1]:
+                continue
+            k = int(np.searchsorted(starts, symbols.shape[1]))
+            end = np.maximum(ends, ends[x])
+            # samples up to the longer walk's end, by octave
+            number = np.clip(np.searchsorted(steps, end)[:, None] - starts[None, :k], 0, np.append(np.diff(starts[:k]), symbols.shape[1] - starts[k - 1]))
+            agree = np.add.reduceat((symbols == symbols[x]) & (symbols[x] < 255), starts[:k], axis=1)
+            weight = np.where(number > 0, np.clip(end[:, None] - firsts[None, :k], 0, np.diff(firsts)[:k]), 0)
+            share = (agree / np.maximum(number, 1) * weight).sum(axis=1) / np.maximum(weight.sum(axis=1), 1)
+            best = np.maximum(best, (share - 1 / 16) / (1 - 1 / 16))
+        return best
+
+
+def near_groups(docs: DataFrame, least: float = 0.8, ident: str = "doc_id", text: str = "text", tile: int = 512) -> DataFrame:
+    """(id, class_id) of every row: the smallest id that a chain of pairs with a likeness of `least` or more reaches, itself included.
+
+    Equal texts are one class. Classes meet where they share a band, that is BAND_SYMBOLS sampled characters of one octave pair and walk; buckets of more than `tile` classes are dealt as
+    pairs of blocks, and each task verifies by the whole fingerprints and gives the links that span its groups. Texts of fewer than about 30 characters only meet equal
+    ones; empty texts are a class; null ids stand alone (class_id null).
+    """
+    base = plain(docs, ident, text).toDF("id", "text").withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    kind = docs.schema[ident].dataType.simpleString()
+    named = base.where("id IS NOT NULL").withColumn("mark", F.sha2("text", 256))
+    reps = named.groupBy("mark").agg(F.min("id").alias("rep"))
+    firsts = named.join(reps.hint("merge"), (named["mark"] == reps["mark"]) & (named["id"] == reps["rep"]), "left_semi").select("id", "text")
+
+    def sketch(batch: pa.RecordBatch) -> dict:
+        return {"rep": batch.column(0), "fp": [fingerprint(t.as_py()) for t in batch.column(1)]}
+
+    classes = written(arrow_map(firsts, sketch, f"rep {kind}, fp binary").dropDuplicates(["rep"]))
+
+    def spread(batch: pa.RecordBatch) -> dict:
+        keys = [band_keys(fp.as_py()) for fp in batch.column("fp")]
+        return {"key": np.concatenate([np.array(k, np.int64) for k in keys]), "rep": batch.column("rep").take(pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys])))}
+
+    light = written(arrow_map(classes, spread, f"key bigint, rep {kind}").distinct())
+    sizes = light.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    large = written(sizes.where(F.col("n") > tile).select("key", F.ceil(F.col("n") / tile).cast("int").alias("blocks")))
+    few = F.broadcast(large) if large.count() <= 100_000 else large
+    small = light.join(few.select("key"), "key", "left_anti").join(sizes.select("key").withColumn("blocks", F.lit(1)), "key")
+    rows = _tiles(light.join(few, "key").unionByName(small).join(classes, "rep"), "blocks", "rep").select("key", "i", "j", "rep", "fp")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch, cuts in sorted_groups(batches, ["key", "i", "j"]):
+            ids, fps, a, b = batch.column("rep").to_numpy(), batch.column("fp").to_pylist(), [], []
+            for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if end - start > 1:
+                    many = _Many(fps[start:end])
+                    p, q = _stars(ids[start:end], linked_parts(end - start, lambda x: many.to(x) >= least))  # noqa: B023
+                    a.append(p)
+                    b.append(q)
+            if a:
+                yield {"a": np.concatenate(a), "b": np.concatenate(b)}
+
+    links = arrow_iter(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), link, "a bigint, b bigint")
+    groups = components(links)
+    members = named.select("id", "mark").join(reps.hint("merge"), "mark").join(groups, F.col("rep") == F.col("node"), "left")
+    alone = base.where("id IS NULL").select("id", F.col("id").alias("class_id"))
+    return members.select("id", F.coalesce("component", "rep").alias("class_id")).unionByName(alone)
+
+
 def op12_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, with their likeness and that to the next document's."""
     found = fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))

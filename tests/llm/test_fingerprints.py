@@ -80,3 +80,38 @@ def test_repeated_and_null_ids(spark):
     got = fp.fingerprints(df).collect()
     assert sorted((r.id is None, r.n_chars) for r in got) == [(False, 4)] * 3 + [(True, 5)] * 2
     assert len({r.fingerprint for r in got}) == 3
+
+
+def test_bands_find_what_all_pairs_find(spark):
+    """Groups by bands equal those of all pairs; copies, near copies, short and empty texts; any block size."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(rng.choice([40, 200, 900]))) for _ in range(14)]
+    rows = list(enumerate(texts))
+    for t in texts[:8]:
+        for _ in range(4):
+            changed = list(t)
+            for _ in range(2):
+                p = rng.randrange(len(changed))
+                changed[p : p + 1] = rng.choice([[], ["z"], [changed[p], "y"]])
+            rows.append((len(rows), "".join(changed)))
+    rows += [(100, texts[2]), (101, ""), (102, None), (103, "short"), (104, "short"), (105, "shorter"), (None, texts[0])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS)
+    prints = {i: fp.fingerprint(t or "") for i, t in rows if i is not None}
+    least = {i: i for i in prints}
+    changed = True
+    while changed:
+        changed = False
+        for a in prints:
+            for b in prints:
+                if prints[a] == prints[b] or (min(len(dict(rows)[a] or ""), len(dict(rows)[b] or "")) > 60 and fp.likeness(prints[a], prints[b]) >= 0.8):
+                    if least[b] < least[a]:
+                        least[a], changed = least[b], True
+    many = fp._Many(list(prints.values()))
+    for j, x in enumerate(prints.values()):
+        assert many.to(j) == pytest.approx([fp.likeness(x, y) for y in prints.values()])
+    for tile in (512, 4):
+        got = {r.id: r.class_id for r in fp.near_groups(df, tile=tile).collect()}
+        assert got == least | {None: None}
+    assert len(set(least.values())) < len(least) - 25
+    assert fp.near_groups(df.limit(0)).count() == 0
