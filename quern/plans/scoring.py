@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import scoring as S
 from quern.functions import text as T
 from quern.operators import experiments as X
+from quern.operators.quantiles import exact
 from quern.plans.catalog import register, table
 from quern.plans.phrases import ASKED, asked, sql_any, sql_sum
 
@@ -50,7 +51,8 @@ register("sco_isotonic_calibration", lambda s, d: X.isotonic(predictions(s, d)),
 
 
 def _snapshot(rows):
-    return rows.agg(F.avg("quality").alias("accuracy"), F.avg((F.col("quality") > 0.5).cast("int")).alias("recall"), F.avg(F.lit(1.0)).alias("coverage"), F.avg("latency").alias("latency_p50"), F.max("latency").alias("latency_p99"), F.sum("cost").alias("cost"))
+    means = rows.groupBy("variant").agg(F.avg("quality").alias("accuracy"), F.avg((F.col("quality") > 0.5).cast("int")).alias("recall"), F.avg(F.lit(1.0)).alias("coverage"), F.sum("cost").alias("cost"))
+    return means.join(exact(rows, "latency", {"latency_p50": 0.5, "latency_p99": 0.99}, ("variant",)), "variant").drop("variant")
 
 
 def _gate(spark, d):
@@ -58,7 +60,13 @@ def _gate(spark, d):
     return X.gate(_snapshot(r.where("variant = 'b'")), _snapshot(r.where("variant = 'a'")))
 
 
-_SNAP = "SELECT avg(quality) AS accuracy, avg((quality > 0.5)::INTEGER) AS recall, 1.0::DOUBLE AS coverage, avg(latency) AS latency_p50, max(latency) AS latency_p99, sum(cost) AS cost FROM r WHERE variant = '{}'"
+_SNAP = "SELECT avg(quality) AS accuracy, avg((quality > 0.5)::INTEGER) AS recall, 1.0::DOUBLE AS coverage, quantile_disc(latency, 0.5)::DOUBLE AS latency_p50, quantile_disc(latency, 0.99)::DOUBLE AS latency_p99, sum(cost) AS cost FROM r WHERE variant = '{}'"
+_QUANTILES = {"p1": 0.01, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+register(
+    "sco_latency_quantiles",
+    lambda s, d: exact(results(s, d), "latency", _QUANTILES, ("variant",)),
+    f"WITH {_RESULTS} SELECT variant, " + ", ".join(f"quantile_disc(latency, {p})::DOUBLE AS {n}" for n, p in _QUANTILES.items()) + " FROM r GROUP BY variant",
+)
 register(
     "sco_regression_gate",
     _gate,
