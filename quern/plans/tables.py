@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import tables as B
-from quern.plans.catalog import register, table
+from quern.plans.catalog import ORACLES, register, table
+from quern.scratch import new_scratch
+from quern.sources.keyed import KeyedTable
 
 register(
     "tab_metadata_filter",
@@ -90,6 +92,20 @@ def _upsert(spark, d):
 register("tab_upsert_last_write", _upsert, "SELECT doc_id, source || '!' AS source, CASE WHEN lang <> 'fr' THEN lang ELSE upper(lang) END AS lang FROM documents")
 
 
+def _kept_table(spark, d):
+    """The same upsert into a stored keyed table, in three batches, one of them twice."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", F.col("doc_id").alias("v"))
+    stored = KeyedTable(spark, new_scratch(spark), "doc_id", "doc_id bigint, source string, lang string, v bigint")
+    stored.upsert(docs.where("lang <> 'fr'"), ["source"], "v")
+    source = docs.withColumn("source", F.concat("source", F.lit("!"))).withColumn("lang", F.upper("lang"))
+    for part in (0, 1, 2, 1):
+        stored.upsert(source.where(F.col("doc_id") % 3 == part), ["source"], "v")
+    return stored.read().select("doc_id", "source", "lang")
+
+
+register("tab_keyed_table", _kept_table, ORACLES["tab_upsert_last_write"])
+
+
 def _cascade(spark, d):
     gone = table(spark, d, "orders").where("o_orderstatus = 'F'")
     return B.cascade_delete(table(spark, d, "orders"), table(spark, d, "lineitem"), gone, "o_orderkey", "l_orderkey")[1].groupBy("l_returnflag").agg(F.count("*").alias("n"))
