@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["retrieval", "graph", "tables", "text", "scoring", "dedup", "evidence", "control", "small", "understanding", "claims", "knowledge", "chunkers", "augmented", "decisions", "sources", "service"]
+_MODULES = ["retrieval", "graph", "tables", "text", "scoring", "dedup", "evidence", "control", "small", "understanding", "claims", "knowledge", "chunkers", "augmented", "decisions", "sources", "service", "real"]
 
 
 def load():

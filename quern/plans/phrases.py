@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +51,37 @@ PHRASES = (
 )
 
 
+_real = ContextVar("real", default=False)
+
+
+def on_real_rows(query):
+    """The same query over REAL in place of the phrases."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        mark = _real.set(True)
+        try:
+            return query(spark, d)
+        finally:
+            _real.reset(mark)
+
+    return run
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of conversations and whole documents as queries, under the names of the phrases' columns."""
+    turns = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("q"))
+    turns = turns.select((F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("o_orderkey"), F.col("turn").cast("bigint").alias("o_custkey"), "q")
+    docs = table(spark, d, "documents").select((-1 - F.col("doc_id")).alias("o_orderkey"), (F.col("doc_id") % 100).alias("o_custkey"), F.col("text").alias("q"))
+    return turns.unionByName(docs).where("q IS NOT NULL")
+
+
+REAL = "q AS (SELECT * FROM (SELECT (conv_id * 1000 + turn)::BIGINT AS o_orderkey, turn::BIGINT AS o_custkey, min(text) AS q FROM conversations GROUP BY conv_id, turn UNION ALL SELECT -1 - doc_id, doc_id % 100, text FROM documents) WHERE q IS NOT NULL)"
+
+
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    """(o_orderkey, o_custkey, q)"""
+    """(o_orderkey, o_custkey, q): the phrases with numbers of the orders."""
+    if _real.get():
+        return _texts(spark, d)
     text = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("o_orderkey") % len(PHRASES) + 1).cast("int"))
     for mark, number in (("{a}", F.col("o_orderkey") % 97), ("{b}", F.col("o_custkey") % 89)):
         text = F.replace(text, F.lit(mark), number.cast("string"))
