@@ -56,6 +56,13 @@ def _fit_sql(points: str) -> str:
 register("dec_isotonic_fit", _isotonic, f"WITH {_POINTS}, x AS (SELECT '' AS kind, * FROM p), {_fit_sql('x')} SELECT predicted, round(v, 6) AS calibrated FROM o JOIN r USING (kind, i)")
 
 
+register(
+    "sco_isotonic_calibration",
+    lambda s, d: X.isotonic(predictions(s, d)),
+    f"WITH {_POINTS}, x AS (SELECT '' AS kind, * FROM p), {_fit_sql('x')}, b AS (SELECT v, min(predicted) AS low, max(predicted) AS high FROM o JOIN r USING (kind, i) GROUP BY v) SELECT low AS boundary, v AS value FROM b UNION SELECT high, v FROM b",
+)
+
+
 def _isotonic_by_type(spark, d):
     """A fit for each language of 60 labels or more, and that of all labels for the others; each prediction under its language."""
     points = predictions(spark, d)

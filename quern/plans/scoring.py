@@ -47,7 +47,6 @@ _POINTS = "p AS (SELECT lang, least(n_chars / 5000, 1.0)::DOUBLE AS predicted, q
 _CURVE = "SELECT {by}least(floor(predicted * 10), 9)::INTEGER AS bin, count(*) AS n, round(avg(predicted), 6) AS predicted, round(avg(actual), 6) AS actual FROM p GROUP BY ALL"
 register("sco_reliability_curve", lambda s, d: X.reliability(predictions(s, d)), f"WITH {_POINTS} {_CURVE.format(by='')}")
 register("sco_ece_by_type", lambda s, d: X.calibration_error(X.reliability(predictions(s, d), "predicted", "actual", 10, "lang"), "lang"), f"WITH {_POINTS}, c AS ({_CURVE.format(by='lang, ')}) SELECT lang, round(sum(n * abs(predicted - actual)) / sum(n), 6) AS ece FROM c GROUP BY lang")
-register("sco_isotonic_calibration", lambda s, d: X.isotonic(predictions(s, d)), None)
 
 
 def _snapshot(rows):
