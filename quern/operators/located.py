@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -89,54 +91,47 @@ def inside(spans: DataFrame, positions: DataFrame, key: str, position: str = "po
     return at.groupBy(*positions.columns).agg(*flags)
 
 
-def _is_alias(alias: str) -> bool:
-    low = alias.lower()
-    return 2 <= len(alias) <= 100 and not re.fullmatch(r"[\d\s]+", alias) and low not in NO_ALIAS and not low.startswith(NO_OPENING)
+def _rows(texts: DataFrame, key: str, number: str, text: str, patterns: tuple[str, ...], ignore_case: bool = True) -> DataFrame:
+    """(_k, rule, n, found, start, context) of the patterns' whole matches; _k holds key and number."""
+    keyed = texts.select(F.struct(F.col(key).alias("key"), F.col(number).alias("number")).alias("_k"), F.col(text).alias("_t"))
+    return located(keyed, "_k", patterns, "_t", around=50, group=0, ignore_case=ignore_case).withColumnRenamed("pattern", "rule")
 
 
-def _is_acronym(name: str, short: str) -> bool:
-    return 2 <= len(short) <= 8 and len(name.split()) >= len(short)
-
-
-def _aliases(number: int, t: str | None) -> Iterator[tuple]:
-    """Candidates in the order of the rules, the first of each spelling."""
-    t, seen = t or "", set()
-
-    def candidates() -> Iterator[tuple[str, str, str]]:
-        for m in re.finditer(PARENTHETICAL, t, re.I):
-            if int(m[1]) == number and _is_alias(m[2].strip()):
-                yield m[2].strip(), "eip_parenthetical", m[0]
-        for p, kind in ALIASES:
-            for m in re.finditer(p, t, re.I):
-                if _is_alias(m[1].strip()):
-                    yield m[1].strip(), kind, t[max(0, m.start() - 50) : m.end() + 50]
-        for m in re.finditer(ACRONYM, t):
-            if _is_acronym(m[1], m[2]):
-                yield from ((x, "acronym_definition", m[0]) for x in (m[1], m[2]))
-
-    for alias, kind, context in candidates():
-        if alias.lower() not in seen:
-            seen.add(alias.lower())
-            yield len(seen) - 1, f"EIP-{number}", alias, kind, context
+def _first(rows: DataFrame, same: str, key: str, *names: str) -> DataFrame:
+    """Of candidates (_k, rule, n, part) the first with each value of same, numbered in order within _k."""
+    order = ("rule", "n", "part")
+    once = rows.withColumn("_r", F.row_number().over(W.partitionBy("_k", same).orderBy(*order))).where("_r = 1")
+    return once.select(F.col("_k.key").alias(key), (F.row_number().over(W.partitionBy("_k").orderBy(*order)) - 1).alias("n"), *names)
 
 
 def aliases(texts: DataFrame, key: str, number: str = "number", text: str = "text") -> DataFrame:
-    """(key, n, canonical, alias, kind, context): what a proposal's text says it is called."""
-    return generated(texts, key, [number, text], "n int, canonical string, alias string, kind string, context string", _aliases)
+    """(key, n, canonical, alias, kind, context): what a proposal's text says it is called, the first of each spelling by rule and place. Keys are unique."""
+    phrases = _rows(texts, key, number, text, (PARENTHETICAL, *[p for p, _ in ALIASES]))
+    short = _rows(texts, key, number, text, (ACRONYM,), ignore_case=False)
+    own = F.regexp_extract("found", f"(?i){PARENTHETICAL}", 1).try_cast("bigint") == F.col("_k.number")
+    rules = F.create_map(*[x for j, (p, kind) in enumerate(ALIASES, 1) for x in (F.lit(j), F.struct(F.lit(f"(?i){p}").alias("p"), F.lit(kind).alias("kind")))])
+    rule = rules[F.col("rule")]
+    meant = F.when(F.col("rule") == 0, F.struct(F.regexp_extract("found", f"(?i){PARENTHETICAL}", 2).alias("alias"), F.lit("eip_parenthetical").alias("kind"), F.col("found").alias("context")))
+    meant = meant.otherwise(F.struct(F.call_function("regexp_extract", F.col("found"), rule["p"], F.lit(1)).alias("alias"), rule["kind"].alias("kind"), F.col("context").alias("context")))
+    said = phrases.where((F.col("rule") > 0) | own).select("_k", "rule", "n", F.lit(0).alias("part"), meant.alias("m"))
+    said = said.select("_k", "rule", "n", "part", T.strip(F.col("m.alias")).alias("alias"), "m.kind", "m.context")
+    low, size = F.lower("alias"), F.length("alias")
+    openings = reduce(lambda x, y: x | y, [F.startswith(low, F.lit(o)) for o in NO_OPENING])
+    said = said.where(size.between(2, 100) & ~F.col("alias").rlike(r"^[\d\s]+$") & ~low.isin(*NO_ALIAS) & ~openings)
+    name, letters = F.regexp_extract("found", ACRONYM, 1), F.regexp_extract("found", ACRONYM, 2)
+    spelled = short.where((F.length(letters) <= 8) & (F.size(F.split(name, r"\s+")) >= F.length(letters)))
+    spelled = spelled.select("_k", F.lit(len(ALIASES) + 1).alias("rule"), "n", F.posexplode(F.array(name, letters)).alias("part", "alias"), F.lit("acronym_definition").alias("kind"), F.col("found").alias("context"))
+    both = said.unionByName(spelled).withColumn("_low", F.lower("alias")).withColumn("canonical", F.concat(F.lit("EIP-"), F.col("_k.number").cast("string")))
+    return _first(both, "_low", key, "canonical", "alias", "kind", "context")
 
 
 def other_references(texts: DataFrame, key: str, number: str = "number", text: str = "text") -> DataFrame:
-    """(key, n, other, context): other proposals that a text names; first those followed by a parenthesis, with it."""
-
-    def run(own: int, t: str | None) -> Iterator[tuple]:
-        seen = {own}
-        for p in (PARENTHETICAL, r"EIP-?(\d+)"):
-            for m in re.finditer(p, t or "", re.I):
-                if int(m[1]) not in seen:
-                    seen.add(int(m[1]))
-                    yield len(seen) - 2, int(m[1]), m[2].strip() if m.re.groups > 1 else None
-
-    return generated(texts, key, [number, text], "n int, other bigint, context string", run)
+    """(key, n, other, context): other proposals that a text names; first those followed by a parenthesis, with it. Keys are unique."""
+    found = _rows(texts, key, number, text, (PARENTHETICAL, r"EIP-?(\d+)"))
+    other = F.regexp_extract("found", r"(?i)EIP-?(\d+)", 1).try_cast("bigint")
+    inside = F.when(F.col("rule") == 0, T.strip(F.regexp_extract("found", f"(?i){PARENTHETICAL}", 2)))
+    rows = found.select("_k", "rule", "n", F.lit(0).alias("part"), other.alias("other"), inside.alias("context"))
+    return _first(rows.where(F.col("other") != F.col("_k.number")), "other", key, "other", "context")
 
 
 def sentence_packs(t: str, most: int = 500, least: int = 50) -> Iterator[tuple[int, int]]:
