@@ -7,7 +7,7 @@ from quern.plans import load
 CATALOG = load()
 
 
-@pytest.mark.parametrize("name", ["src_openapi", "src_openrpc"])
+@pytest.mark.parametrize("name", ["src_openapi", "src_openrpc", "src_rpc_schemas"])
 def test_costly_rows_of_small_files_are_spread(spark, sf_dir, name):
     """One file of few bytes was read, and so parsed, by one task."""
     assert CATALOG.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
