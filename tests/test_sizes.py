@@ -23,3 +23,14 @@ def test_yaml_is_read_by_libyaml(monkeypatch):
     assert _loaded("a: {b: [1, x]}") == {"a": {"b": [1, "x"]}} and used
     monkeypatch.undo()
     assert _loaded("a: [") is None and _loaded(None) is None
+
+
+def test_short_python_files_stay_short_whatever_their_number(spark, tmp_path):
+    import duckdb
+    from pyspark.sql import functions as F
+
+    spark.range(99_990, 100_020).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    name = "src_python_documentation"
+    assert sorted(map(tuple, CATALOG.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(c.execute(CATALOG.ORACLES[name]).fetchall())
