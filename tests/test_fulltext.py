@@ -44,3 +44,13 @@ def test_a_query_reads_its_buckets_only(spark, tmp_path, texts):
     plan = fulltext.blocks(spark, path, ["to"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,to)]" in plan or "In(term" in plan or "EqualTo(term,to)" in plan
+
+
+def test_no_word_is_shuffled(spark, tmp_path, texts):
+    """Each place of each word was shuffled, and gathered twice."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))
+    df = spark.createDataFrame(texts, "chunk_id string, content string")
+    before = sum(s.shuffleWriteBytes() for s in stages())
+    fulltext.build(df, f"{tmp_path}/index")
+    assert sum(s.shuffleWriteBytes() for s in stages()) == before
