@@ -2,6 +2,7 @@
 
 import pytest
 
+from quern.operators import located
 from quern.plans import load
 
 CATALOG = load()
@@ -34,3 +35,13 @@ def test_short_python_files_stay_short_whatever_their_number(spark, tmp_path):
     c.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     name = "src_python_documentation"
     assert sorted(map(tuple, CATALOG.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(c.execute(CATALOG.ORACLES[name]).fetchall())
+
+
+def test_generated_rows_are_handed_on_in_small_batches(spark):
+    """A batch of rows was unpacked whole, and all it gave was held until its end."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    rows = spark.range(0, 50, 1, 1).selectExpr("id", "repeat('ab ', 1000) AS text")
+    found = located.generated(rows, "id", ["text"], "n int, part string", lambda t: enumerate(t.split()))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= located.MOST_BATCH
+    assert found.count() == 50_000
+    assert found.groupBy("id").count().where("count = 1000").count() == 50
