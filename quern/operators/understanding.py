@@ -98,18 +98,23 @@ def high_stakes(query: Column) -> Column:
 
 def triggers(queries: DataFrame, key: str, text: str = "q", confidence: str = "confidence", conflicts: str | None = None, threshold: float = 0.7) -> DataFrame:
     """(key, n, priority, strategy): the reasons to ask several models, in the order of their rules."""
-    q, c, stakes, kind = F.col(text), F.col(confidence), high_stakes(F.col(text)), S.classified(F.col(text))
-    low, clash = F.lower(q), F.lit(False) if conflicts is None else F.coalesce(F.col(conflicts), F.lit(False))
+    clash = F.lit(False) if conflicts is None else F.coalesce(F.col(conflicts), F.lit(False))
+    # through generators, so that each text is lower-cased and each pattern matched once
+    asked = queries.select(key, F.col(confidence).alias("_c"), clash.alias("_clash"), F.explode(F.array(F.lower(F.col(text)))).alias("_low"))
+    low, parts = F.col("_low"), {"stakes": HIGH_STAKES, "thorough": THOROUGH, "conflicts": CONFLICTS, "compare": S.COMPARISON, "evolve": S.EVOLUTION, "hop": S.MULTI_HOP}
+    asked = asked.select(key, "_c", "_clash", F.explode(F.array(F.struct(*[S.hits(low, patterns).alias(name) for name, patterns in parts.items()], S.mention_count(low).alias("n")))).alias("f"))
+    c, clash, stakes = F.col("_c"), F.col("_clash"), F.least(F.col("f.stakes") * 0.25, F.lit(1.0))
+    kind = S.kind_of(*[F.col(f"f.{name}") for name in ("compare", "evolve", "hop", "n")])
     rules = (
         (c < threshold, ((F.lit(threshold) - c) * 100).cast("int"), "merge"),
         (stakes >= 0.5, (stakes * 50).cast("int"), "vote"),
-        (S.hits(low, THOROUGH) > 0, F.lit(40), "merge"),
-        (clash | (S.hits(low, CONFLICTS) > 0), F.lit(45), "vote"),
+        (F.col("f.thorough") > 0, F.lit(40), "merge"),
+        (clash | (F.col("f.conflicts") > 0), F.lit(45), "vote"),
         (kind["kind"] == "multi_hop", F.lit(35), "merge"),
         ((kind["kind"] == "complex") & (kind["confidence"] < 0.7), F.lit(25), "best"),
     )
     rows = F.array_compact(F.array(*[F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(n).alias("n"), p.alias("priority"), F.lit(s).alias("strategy"))) for n, (hit, p, s) in enumerate(rules)]))
-    return queries.select(key, F.explode(rows).alias("t")).select(key, "t.*")
+    return asked.select(key, F.explode(rows).alias("t")).select(key, "t.*")
 
 
 def ensembles(queries: DataFrame, key: str, text: str = "q", confidence: str = "confidence", **more) -> DataFrame:
