@@ -20,6 +20,22 @@ def test_every_name_in_every_text(spark):
     assert substrings.containing(none, spark.createDataFrame(texts, "key int, text string")).count() == 0
 
 
+def test_a_text_meets_only_names_whose_head_it_has(spark, monkeypatch):
+    """Every q-gram of a text that any name had was stored, and every name met all texts that hold one of its q-grams."""
+    stored = []
+    monkeypatch.setattr(substrings, "written", lambda df: (lambda out: stored.append(out.count()) or out)(df.localCheckpoint()))
+    names = spark.range(1000, 3000).select(F.concat(F.lit("T"), "id").alias("name"))
+    texts = spark.range(20).select(F.col("id").alias("key"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1000), F.lit(1100)), lambda n: n.cast("string")), F.lit("T2999x")).alias("text"))
+    assert {tuple(r) for r in substrings.containing(names, texts).select("key", "name").collect()} == {(i, "T2999") for i in range(20)}
+    assert max(stored) <= 200
+
+
+def test_names_are_sought_in_passes_and_parts_leave_in_bounded_sets(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "MOST_HEADS", 2)
+    monkeypatch.setattr(substrings, "MOST_PARTS", 2)
+    test_every_name_in_every_text(spark)
+
+
 def test_a_large_group_hides_no_small_one(spark):
     """The k best of each related group count, however many rows another group has."""
     many = spark.range(120_000).select(F.col("id").alias("chunk_id"), F.lit(1).cast("bigint").alias("number"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
