@@ -2,7 +2,7 @@
 
 import pytest
 
-from quern.operators import located
+from quern.operators import graph, located, skew
 from quern.plans import load
 
 CATALOG = load()
@@ -45,3 +45,21 @@ def test_generated_rows_are_handed_on_in_small_batches(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= located.MOST_BATCH
     assert found.count() == 50_000
     assert found.groupBy("id").count().where("count = 1000").count() == 50
+
+
+def test_tasks_of_a_self_join_grow_with_its_rows(spark, monkeypatch):
+    """Rows were sorted for two sides by as few tasks as their compressed bytes gave."""
+    monkeypatch.setattr(skew, "MOST_ROWS", 50)
+    rows = spark.range(2000).selectExpr("id div 4 AS k", "id AS v")
+    found = skew.pairs_within(rows, "k")
+    assert found.rdd.getNumPartitions() == 40 and found.count() == 2000 * 4
+
+
+def test_small_and_large_groups_are_paired_alike(spark):
+    rows = [(None, 1), (None, 2), *[(1, v) for v in range(7)], *[(2, v) for v in range(3)], (3, 9)]
+    expected = sorted((k, a, b) for k, a in rows for other, b in rows if k is not None and k == other)
+    for block in (2, 3, 100):
+        got = skew.pairs_within(spark.createDataFrame(rows, "k int, v int"), "k", block)
+        assert got.columns == ["k", "a_v", "b_v"] and sorted(map(tuple, got.collect())) == expected
+    twice = spark.createDataFrame([*rows, (1, 0)], "k int, v int")
+    assert {tuple(r) for r in graph.co_mentions(twice, "k", "v").where("shared > 1").collect()} == {(0, 1, 2), (0, 2, 2), (1, 2, 2)}
