@@ -63,3 +63,19 @@ def test_small_and_large_groups_are_paired_alike(spark):
         assert got.columns == ["k", "a_v", "b_v"] and sorted(map(tuple, got.collect())) == expected
     twice = spark.createDataFrame([*rows, (1, 0)], "k int, v int")
     assert {tuple(r) for r in graph.co_mentions(twice, "k", "v").where("shared > 1").collect()} == {(0, 1, 2), (0, 2, 2), (1, 2, 2)}
+
+
+def test_documents_hand_on_only_shingles_of_items(spark, tmp_path):
+    """Every distinct shingle of the corpus was shuffled to meet those of a few items."""
+    from quern.plans import dedup
+
+    items = [(1, "a b c d"), (2, "X y"), (3, ""), (4, None), (5, "no such words here")]
+    docs = [(1, "z a B c z"), (2, None), (3, ""), (4, "x Y"), (5, "x y z"), (6, "a b c a b c")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = CATALOG.QUERIES["dup_benchmark_overlap"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [s" in plan and "LeftSemi, BuildRight" in plan
+    expected = {(1, 0.5), (2, 1.0), (5, 0.0)}
+    assert {tuple(r) for r in found.collect()} == expected
+    assert {tuple(r) for r in dedup._contaminated(spark, str(tmp_path), most=0).collect()} == expected
